@@ -1,13 +1,24 @@
-"""The queries of this subpackage by name."""
+"""The queries of this subpackage by name, and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-from quarry.llm import decontamination, jaccard, quality, token_counts
+from quarry.llm import chat_template, decontamination, jaccard, language_id, pii, quality, sentencepiece_lattice, sharding, token_counts, toxicity
+from quarry.llm.oracle import DECONTAMINATION_SQL, JACCARD_SQL
 
 QUERIES = {
+    "op1_pii": pii.op1,
     "op2_ngram_jaccard_join": jaccard.op2,
+    "op3_chat_formatting": chat_template.op3,
     "op4_benchmark_decontamination": decontamination.op4,
+    "op5_toxicity": toxicity.op5,
+    "op6_sharding": sharding.op6,
     "op7_token_counts": token_counts.op7,
+    "op8_sentencepiece": sentencepiece_lattice.op8,
+    "op9_language_id": language_id.op9,
     "op10_quality_rules": quality.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_ngram_jaccard_join": JACCARD_SQL,
+    "op3_chat_formatting": chat_template.OP3_SQL,
+    "op4_benchmark_decontamination": DECONTAMINATION_SQL,
+}
