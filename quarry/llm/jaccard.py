@@ -10,10 +10,11 @@ of equal sets are one node.
 2. Candidates.  If two sets link, their prefixes in the global order share a shingle, and at their
    first common one the rest that is left must still hold enough: positions bound the overlap.
    Prefix shingles are shuffled by hash, sorted, and read as a stream; no group is gathered.
-   A shingle of few sets gives its surviving pairs at once.  A shingle of many is dealt out in
-   blocks: pairs of blocks are tasks of bounded size, and before a pair leaves a task its sets'
-   bit vectors must differ in few enough places (a lower bound of the symmetric difference), so
-   that not all pairs of a group are emitted, only those that can link.
+   A shingle of few sets gives its surviving pairs at once.  A shingle of many gives the pairs with
+   its first set; when their links have joined what they can, the rest is dealt out in blocks:
+   pairs of blocks are tasks of bounded size.  A pair leaves a task only if its sets are in
+   different components and their bit vectors differ in few enough places (a lower bound of the
+   symmetric difference), so that not all pairs of a group are emitted, only those that can link.
 3. Overlaps.  The global order is cut into FRAGMENTS vertical fragments.  Each candidate's overlap
    is counted in each fragment separately and the parts are summed for each pair.
 4. Components of the links by label propagation with pointer jumping, each round written to the
@@ -119,17 +120,19 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, *, size: int = SIZE, percent:
 
 
 def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW) -> DataFrame:
-    """a, b, na, nb: candidate pairs (b is not null); or a token's row of a large group: token, a, na, place (b is null).
+    """Candidates by kind: STAR pairs (a, b, na, nb) of a group's first set with the others, the further pairs (PAIR) of
+    a small group, and the rows (ROW: token, a, na, place) of a large one.
 
     nodes: one row a node.  Rows arrive sorted by (token, n, node), so a group is a run.  At most few
-    rows of a run are kept; once it is known to be large each row is passed on as it comes.
+    rows of a run are kept; once it is known to be large each row is passed on as it comes, and only
+    its first row is remembered.
     """
     rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
     dealt = rows.select("token", F.col("n").cast("int").alias("n"), "node", "place").repartition("token").sortWithinPartitions("token", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [np.zeros(0, np.int64)] * 4
-        open_large: int | None = None  # the token of a large run that may go on
+        open_large: list | None = None  # the first row of a large run that may go on
 
         def emit(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal carry, open_large
@@ -137,25 +140,33 @@ def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW)
             begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size = np.diff(np.append(begin, len(token)))
             is_large = size > few
-            is_large[0] |= open_large is not None and token[0] == open_large
+            goes_on = open_large is not None and token[0] == open_large[0]
+            is_large[0] |= goes_on
+            first = [[c[b] for c in cols] for b in begin[is_large]]
+            if goes_on:
+                first[0] = open_large
             carry, open_large = [c[len(token) :] for c in cols], None
+            large = list(zip(begin[is_large].tolist(), size[is_large].tolist(), first, strict=True))
             if not last:
                 if is_large[-1]:
-                    open_large = int(token[-1])
+                    open_large = first[-1]
                 else:
                     carry = [c[begin[-1] :] for c in cols]
                     begin, size, is_large = begin[:-1], size[:-1], is_large[:-1]
             small = np.flatnonzero(~is_large & (size > 1))
             pairs = [survivors(*(c[b : b + k] for c in cols[1:]), percent) for b, k in zip(begin[small].tolist(), size[small].tolist(), strict=True)]
+            for b, k, row in large:
+                of, n, node, place = (c[b : b + k] for c in cols)
+                pairs.append(star(row, n, node, place, percent))
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, ROW), pa.int64()), pa.array(node), none, pa.array(n), none, pa.array(of), pa.array(place)], names=NAMES)
             if pairs:
-                a, b, na, nb = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                once = np.unique(np.stack([a, b]), axis=1, return_index=True)[1]  # a pair shares many shingles
+                kind, a, b, na, nb = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                order = np.lexsort((kind, b, a))  # a pair shares many shingles
+                fresh = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))[: len(order)]
+                once = order[fresh]
                 none = pa.nulls(len(once), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[once], pa.int64()) for x in (a, b, na, nb)), none, none], names=NAMES)
-            for i in np.flatnonzero(is_large):
-                of, n, node, place = (pa.array(c[begin[i] : begin[i] + size[i]], pa.int64()) for c in cols)
-                none = pa.nulls(len(of), pa.int64())
-                yield pa.RecordBatch.from_arrays([node, none, n, none, of, place], names=NAMES)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[once], pa.int64()) for x in (kind, a, b, na, nb)), none, none], names=NAMES)
 
         for batch in batches:
             cols = [np.concatenate([c, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, c in enumerate(carry)]
@@ -164,20 +175,33 @@ def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW)
         if len(carry[0]):
             yield from emit(carry, True)
 
-    return dealt.mapInArrow(run, "a long, b long, na long, nb long, token long, place long")
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
 
 
-NAMES = ["a", "b", "na", "nb", "token", "place"]
+NAMES = ["kind", "a", "b", "na", "nb", "token", "place"]
+STAR, PAIR, ROW = 0, 1, 2
+
+
+def star(first: list, n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """The pairs of a group's first row with others that sizes and positions allow."""
+    good = (np.minimum(n - place, first[1] - first[3]) >= needed(n, first[1], percent)) & (node != first[2])
+    n, node = n[good], node[good]
+    k = len(n)
+    return ordered(np.full(k, STAR), np.full(k, first[2]), node, np.full(k, first[1]), n)
+
+
+def ordered(kind: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The smaller name first."""
+    swap = a > b
+    return kind, np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
 
 
 def survivors(n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Pairs of a small group whose sizes and positions allow a link, the smaller name first."""
+    """Pairs of a small group whose sizes and positions allow a link; those with its first row are its star."""
     i, j = np.triu_indices(len(n), 1)
     good = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed(n[i], n[j], percent)) & (node[i] != node[j])
     i, j = i[good], j[good]
-    swap = node[i] > node[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    return node[i], node[j], n[i], n[j]
+    return ordered(np.where(i == 0, STAR, PAIR), node[i], node[j], n[i], n[j])
 
 
 def suspects_sets(docs: DataFrame, chosen: DataFrame, *, size: int = SIZE, told: int = TOLD) -> DataFrame:
@@ -204,8 +228,8 @@ def suspects_sets(docs: DataFrame, chosen: DataFrame, *, size: int = SIZE, told:
 
 
 def vector(shingles: np.ndarray) -> bytes:
-    """Bit vector with a bit for each shingle, of at least 16 bits a shingle; its length is a power of two."""
-    width = 1 << max(6, int(2 * len(shingles) - 1).bit_length())
+    """Bit vector with a bit for each shingle, of at least 4 bits a shingle; its length is a power of two."""
+    width = 1 << max(5, int((len(shingles) + 1) // 2 - 1).bit_length())
     out = np.zeros(width * 8, dtype=np.uint8)
     out[(shingles % U(width * 8)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -221,7 +245,7 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
 
 def block_pairs(frame: pd.DataFrame, same: bool, own: np.ndarray, percent: int) -> pd.DataFrame:
     """Pairs, one of each side (own: whether a row is of the first block), that sizes, positions and bit vectors allow."""
-    n, place, node = (frame[c].to_numpy(np.int64) for c in ("n", "place", "node"))
+    n, place, node, label = (frame[c].to_numpy(np.int64) for c in ("n", "place", "node", "label"))
     raw = frame["bits"].to_list()
     width = np.array([len(x) for x in raw])
     by_width = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
@@ -232,14 +256,14 @@ def block_pairs(frame: pd.DataFrame, same: bool, own: np.ndarray, percent: int)
             w = min(wx, wy)
             if max(wx, wy) > 4 * w:  # sizes that far apart never link
                 continue
-            x_bits, y_bits = (folded(bits[k], w).view(np.uint64) for k in (wx, wy))
+            x_bits, y_bits = (np.ascontiguousarray(folded(bits[k], w)).view(np.uint64) for k in (wx, wy))
             for row, x in enumerate(left):
                 if not own[x]:
                     continue
                 need = needed(n[right], n[x], percent)
                 good = (np.minimum(n[right] - place[right], n[x] - place[x]) >= need) & (np.minimum(n[right], n[x]) >= need)
                 good &= (right > x) if same else ~own[right]
-                good &= node[right] != node[x]
+                good &= label[right] != label[x]  # of one component already
                 at = np.flatnonzero(good)
                 if len(at):
                     apart = np.bitwise_count(y_bits[at] ^ x_bits[row]).sum(axis=1, dtype=np.int64)
@@ -252,14 +276,14 @@ def block_pairs(frame: pd.DataFrame, same: bool, own: np.ndarray, percent: int)
     return pd.DataFrame(pairs, columns=["a", "b", "na", "nb"]).drop_duplicates()
 
 
-def large_pairs(large: DataFrame, sets: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs of the large groups: blocks against blocks."""
+def large_pairs(large: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """Candidate pairs of the large groups across components: blocks against blocks.  nodes: node, label, bits."""
     blocks = large.groupBy("token").count().select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = large.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("a", "token"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("token", F.col("a").alias("node"), F.col("na").alias("n"), "place", "own", other)
     rows = rows.select("token", "node", "n", "place", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(sets.select("node", "bits"), "node")
+    rows = rows.join(nodes, "node")
 
     def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
@@ -285,6 +309,24 @@ def fragments(sets: DataFrame, count: int = FRAGMENTS) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(run, "node long, fragment int, part array<long>")
 
 
+def apart_enough(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """The pairs whose bit vectors do not rule a link out."""
+    bits = sets.select("node", "bits")
+    both = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+            apart = np.zeros(len(na), dtype=np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                w = min(len(x), len(y))
+                p, q = (folded(np.frombuffer(v, dtype=np.uint8).reshape(1, -1), w) for v in (x, y))
+                apart[k] = np.bitwise_count(p ^ q).sum()
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(apart <= na + nb - 2 * needed(na, nb, percent)))
+
+    return both.mapInArrow(run, "a long, b long, na long, nb long")
+
+
 def links(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT, count: int = FRAGMENTS) -> DataFrame:
     """a, b, overlap of the pairs that link."""
     cut = fragments(sets, count)
@@ -316,22 +358,31 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node for each row of docs; node, label of the nodes that have links)."""
+    """(doc_id, n, node for each row of docs; node, label of the nodes that have links).
+
+    Stars come first.  What they join needs no further pairs, so that a large group of near copies
+    costs as many links as it has members; every other candidate pair across components is tested.
+    """
     ready(docs.sparkSession)
     base = written(prefixes(docs, count_sketch(docs, size=size), size=size, percent=percent), "prefixes")
-    nodes = base.where("node is not null").dropDuplicates(["node"])
-    found = written(shared_shingles(nodes, percent=percent), "candidates")
-    few = found.where("b is not null").select("a", "b", "na", "nb")
-    large = found.where("b is null")
-    suspect = few.select(F.col("a").alias("node")).union(few.select(F.col("b").alias("node"))).union(large.select(F.col("a").alias("node"))).distinct()
+    found = written(shared_shingles(base.where("node is not null").dropDuplicates(["node"]), percent=percent), "candidates")
+    pairs, large = found.where(F.col("kind") != ROW), found.where(F.col("kind") == ROW)
+    suspect = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select(F.col("a").alias("node"))).distinct()
     # one document's text for each suspect node; a node of null ids only has no name in any component
     named = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     chosen = written(named.join(suspect, "node", "left_semi").select("doc_id", "node"), "suspects")
     sets = written(suspects_sets(docs, chosen, size=size), "sets")
-    pairs = few.union(large_pairs(large, sets, percent=percent)).distinct()
-    linked = written(links(pairs, sets, percent=percent, count=count), "links")
-    labels = chosen.join(linked.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("label"))
-    out = components(linked, labels)
+    own = chosen.select("node", F.col("doc_id").alias("label"))
+
+    stars = pairs.where(F.col("kind") == STAR).select("a", "b", "na", "nb").distinct()
+    joined = written(links(apart_enough(stars, sets, percent=percent), sets, percent=percent, count=count), "links")
+    labels = components(joined, own)
+
+    further = pairs.where(F.col("kind") == PAIR).select("a", "b", "na", "nb").distinct()
+    across = further.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b", "na", "nb")
+    left = apart_enough(across, sets, percent=percent).union(large_pairs(large, sets.select("node", "bits").join(labels, "node"), percent=percent)).distinct()
+    more = written(links(left, sets, percent=percent, count=count), "links")
+    out = components(joined.union(more), own)
     dropped(found)
     dropped(sets)
     return base.select("doc_id", "n", "node"), out
