@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from quarry.queries import sales
+from quarry.queries import corpus, sales, trails
 from quarry.queries.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "sales"]
+__all__ = ["ORACLE", "QUERIES", "corpus", "sales", "trails"]
