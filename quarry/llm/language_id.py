@@ -35,6 +35,8 @@ CERTAIN = 0.5
 DECLARED, SUFFIX = 0.9, 0.8
 #: Rows that a parent's distribution counts for.
 SHRINK = 20.0
+#: Trigrams that the shared distribution counts for in each language's model.
+OWN = 2000.0
 HOSTS = 100_000
 #: Languages of some country suffixes; others say nothing.
 SUFFIXES = {"uk": "en", "us": "en", "ie": "en", "au": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es"}
@@ -99,11 +101,14 @@ def train(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, bits: int
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.int64())], names=["cell", "n"])
 
     told = rows.select("_text", index_of(F.col("_declared"), languages).alias("g")).where("g is not null and _text is not null")
-    counts = np.full(len(languages) * size, 0.5)
+    counts = np.zeros(len(languages) * size)
     table = told.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts[table.column("cell").to_numpy()] += table.column("n").to_numpy()
     counts = counts.reshape(len(languages), size)
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    # a language leans on what all texts share as far as it has little text of its own
+    shared = counts.sum(axis=0) + 0.5
+    shared /= shared.sum()
+    return np.log((counts + OWN * shared) / (counts.sum(axis=1, keepdims=True) + OWN)).astype(np.float32)
 
 
 def with_likelihoods(rows: DataFrame, model: np.ndarray, *, trust: float = TRUST) -> DataFrame:
