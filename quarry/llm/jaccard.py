@@ -45,7 +45,7 @@ PERCENT = 80
 SKETCH_BITS = 19
 FRAGMENTS = 4
 #: A shingle of more sets than this is dealt out in blocks of BLOCK sets.
-FEW, BLOCK = 48, 256
+FEW, BLOCK = 10, 256
 #: Suspects up to this many are told to the tasks; more are joined.
 TOLD = 500_000
 
