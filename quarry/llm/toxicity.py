@@ -107,39 +107,53 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(rows), "_id").select("text", "toxic")
 
 
-def terms(text: str) -> set[str]:
-    """Words (between spaces) and word beginnings of a folded text."""
-    out = set()
-    for w in set(text.split()):
+def terms(text: str) -> dict[str, str]:
+    """Words (between spaces) and word beginnings of a folded text, with the word before one of their places."""
+    out, before = {}, ""
+    for w in text.split():
         if 3 <= len(w) <= 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in BEGINNINGS if k <= len(w))
+            out[f" {w} "] = before
+            for k in BEGINNINGS:
+                if k <= len(w):
+                    out[f" {w[:k]}"] = before
+        before = w
     return out
 
 
-def frequencies(rows: DataFrame) -> DataFrame:
-    """term, n: toxic rows with it, and all, for the terms that enough toxic rows have."""
+def frequencies(rows: DataFrame) -> pd.DataFrame:
+    """term, toxic and clean rows with it, for terms with enough different words before them among toxic rows.
+
+    Words before a term tell an insult, which stands anywhere, from the rare words of a text that was
+    copied many times: those always follow the same word.
+    """
 
     def count(batches: Iterator[pa.RecordBatch], only: int, wanted: set[str] | None) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
+        total: dict[tuple[str, str], int] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t for t, _ in total], pa.string()), pa.array([b for _, b in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "before", "n"])
+
         for batch in batches:
             for some, texts in pieces(batch.filter(pc.equal(batch.column(1), only))):
                 for t in folded(texts):
-                    found = terms(t)
-                    for x in found if wanted is None else found & wanted:
-                        total[x] = total.get(x, 0) + 1
-            if len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-                total = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
-
-    toxic = rows.mapInArrow(lambda b: count(b, 1, None), "term string, n long").groupBy("term").agg(F.sum("n").alias("toxic")).where(F.col("toxic") >= LEAST_SUPPORT)
+                    for x, before in terms(t).items():
+                        if wanted is None or x in wanted:
+                            key = (x, before if wanted is None else "")
+                            total[key] = total.get(key, 0) + 1
+                if len(total) > 200_000:
+                    yield out()
+                    total = {}
+        yield out()
+
+    schema = "term string, before string, n long"
+    pairs = rows.mapInArrow(lambda b: count(b, 1, None), schema).groupBy("term", "before").agg(F.sum("n").alias("n"))
+    toxic = pairs.groupBy("term").agg(F.sum("n").alias("toxic"), F.count("*").alias("places")).where(F.col("places") >= LEAST_SUPPORT)
     toxic = toxic.orderBy(F.desc("toxic"), "term").limit(MOST_ENTRIES * 5)  # the terms of a bounded sample; far fewer reach the support
-    have = {r["term"]: r["toxic"] for r in toxic.toLocalIterator()}
+    have = {r["term"]: (r["toxic"], r["places"]) for r in toxic.toLocalIterator()}
     wanted = set(have)
-    clean = rows.mapInArrow(lambda b: count(b, 0, wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    clean = rows.mapInArrow(lambda b: count(b, 0, wanted), schema).groupBy("term").agg(F.sum("n").alias("n"))
     other = {r["term"]: r["n"] for r in clean.toLocalIterator()}
-    return pd.DataFrame({"term": list(have), "toxic": list(have.values()), "clean": [other.get(t, 0) for t in have]})
+    return pd.DataFrame({"term": list(have), "toxic": [a for a, _ in have.values()], "places": [p for _, p in have.values()], "clean": [other.get(t, 0) for t in have]})
 
 
 def lexicon(table: pd.DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -147,9 +161,9 @@ def lexicon(table: pd.DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]
     support = max(LEAST_SUPPORT, 0.004 * n_toxic)
     weight = {}
     count = {}
-    for term, a, b in table[["term", "toxic", "clean"]].itertuples(index=False):
+    for term, a, places, b in table[["term", "toxic", "places", "clean"]].itertuples(index=False):
         w = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if a >= support and w >= LEAST_WEIGHT:
+        if places >= support and w >= LEAST_WEIGHT:
             weight[term], count[term] = round(w, 4), a
     out: dict[str, float] = {}
     for term in sorted(weight, key=lambda t: (len(t.rstrip()), t.endswith(" "), t)):
