@@ -37,6 +37,7 @@ DECLARED, SUFFIX = 0.9, 0.8
 SHRINK = 20.0
 #: Trigrams that the shared distribution counts for in each language's model.
 OWN = 2000.0
+NEVER = -30.0
 HOSTS = 100_000
 #: Languages of some country suffixes; others say nothing.
 SUFFIXES = {"uk": "en", "us": "en", "ie": "en", "au": "en", "de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es"}
@@ -108,7 +109,9 @@ def train(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, bits: int
     # a language leans on what all texts share as far as it has little text of its own
     shared = counts.sum(axis=0) + 0.5
     shared /= shared.sum()
-    return np.log((counts + OWN * shared) / (counts.sum(axis=1, keepdims=True) + OWN)).astype(np.float32)
+    out = np.log((counts + OWN * shared) / (counts.sum(axis=1, keepdims=True) + OWN))
+    out[counts.sum(axis=1) == 0] = NEVER  # a language that no row declares is no candidate
+    return out.astype(np.float32)
 
 
 def with_likelihoods(rows: DataFrame, model: np.ndarray, *, trust: float = TRUST) -> DataFrame:

@@ -108,14 +108,14 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def terms(text: str) -> dict[str, str]:
-    """Words (between spaces) and word beginnings of a folded text, with the word before one of their places."""
+    """Words (between spaces) and word beginnings of a folded text, with the word before their first place."""
     out, before = {}, ""
     for w in text.split():
         if 3 <= len(w) <= 40:
-            out[f" {w} "] = before
+            out.setdefault(f" {w} ", before)
             for k in BEGINNINGS:
                 if k <= len(w):
-                    out[f" {w[:k]}"] = before
+                    out.setdefault(f" {w[:k]}", before)
         before = w
     return out
 
