@@ -94,14 +94,15 @@ def blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
     return [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [rows]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns keep, n_words, hits (array of the merged [start, end) word ranges) and items (sorted ids)."""
+def find(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """doc_id, the columns keep, n_words, hits (array of the merged [start, end) word ranges) and items (sorted ids); the three names begin with prefix."""
+    n_words, hits_, items_ = (prefix + x for x in ("n_words", "hits", "items"))
     spark = docs.sparkSession
     kept = [c for c in dict.fromkeys((*keep, "text")) if c != "doc_id"]
     schema_in = docs.select("doc_id", *kept).schema
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema_in)
-    out = docs.select("doc_id", *kept, F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("items"))
-    schema = f"{names}, n_words long, hits array<struct<start:int,end:int>>, items array<bigint>"
+    out = docs.select("doc_id", *kept, F.lit(0).cast("long").alias(n_words), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias(hits_), F.expr("cast(array() as array<bigint>)").alias(items_))
+    schema = f"{names}, {n_words} long, {hits_} array<struct<start:int,end:int>>, {items_} array<bigint>"
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     for block in blocks(benchmark, block_bytes):

@@ -197,6 +197,8 @@ def test_decontamination_against_brute_force(spark, block):
 
 def test_decontamination_keeps_columns(spark, odd):
     kept = D.find(odd, spark.createDataFrame([], "item_id long, text string"), keep=tuple(odd.columns))
+    clash = D.find(odd.withColumn("hits", F.lit(3)), spark.createDataFrame([(1, "same text here")], "item_id long, text string"), keep=("hits",), prefix="_")
+    assert sorted(r.doc_id for r in clash.where("hits = 3 and size(_hits) > 0").collect()) == [6, 7]
     assert set(odd.columns) < set(kept.columns) and kept.where("size(hits) > 0").count() == 0 and kept.count() == len(ODD)
 
 
