@@ -12,6 +12,16 @@ FEW_ROWS, SHOWN, CLAIM_COLUMNS = 20, 3, 12
 RELIABILITY = {"METRIC": "HIGH", "POLICY": "HIGH", "REPORT": "MEDIUM", "PRODUCT": "MEDIUM", "OTHER": "LOW"}
 
 
+def header_metric(headers: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """headers' columns with metric, exact and unit: a header's name, without its unit in brackets, is a metric's exact name or an alias of it.
+
+    lexicon: name, metric, exact; its equality join needs no bound on either side.
+    """
+    bracket = r"[(（]([^()（）]+)[)）]\s*$"
+    named = headers.withColumns({"unit": F.nullif(F.regexp_extract("header", bracket, 1), F.lit("")), "name": F.lower(F.trim(F.regexp_replace("header", bracket, "")))})
+    return named.join(lexicon.select(F.lower("name").alias("name"), "metric", "exact"), "name").drop("name")
+
+
 def claim(columns: list[str]) -> Column:
     """col=value; ... of the first columns."""
     parts = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in columns[:CLAIM_COLUMNS]]

@@ -31,6 +31,39 @@ def mismatched_versions(left: DataFrame, right: DataFrame, key: str) -> DataFram
     return left.join(right, key).where("version <> expected_version")
 
 
+PROVINCES = r"(?:覆盖|covers)\s*([0-9]+)\s*(?:个省|provinces|nations)"
+
+
+def scope_mismatches(texts: DataFrame, dimension: DataFrame) -> DataFrame:
+    """Texts that claim another number of provinces for their region than the dimension has."""
+    claimed = texts.withColumn("claimed", F.explode(F.transform(F.regexp_extract_all("text", F.lit(PROVINCES), F.lit(1)), lambda x: x.cast("long"))))
+    return claimed.join(dimension.select("region_name", "province_count"), "region_name").where(F.col("claimed") != F.col("province_count")).drop("text")
+
+
+def chunks_of_failed(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents without a text layer that did not fail, or failed ones that have chunks all the same."""
+    n = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    joined = documents.join(n, "document_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+    return joined.where((~F.col("has_text_layer") & (F.col("status") != "FAILED")) | ((F.col("status") == "FAILED") & (F.col("n_chunks") > 0)))
+
+
+def unpaired(documents: DataFrame) -> DataFrame:
+    """Internal documents that name an external partner which is not there, and the other way round."""
+    d, p = documents.alias("d"), documents.alias("p")
+    pair = (F.col("d.pair_with") == F.col("p.logical_key")) & (F.col("d.source_kind") != F.col("p.source_kind"))
+    return d.where(F.col("d.pair_with").isNotNull()).join(p, pair, "left_anti")
+
+
+def answered_absent(questions: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Questions on topics the corpus lacks that were not refused."""
+    return questions.join(outcomes.where(~F.col("refused")), "query_id", "left_semi")
+
+
+def self_retrieval(sample: DataFrame, hits: DataFrame) -> DataFrame:
+    """Sampled chunks that a search for themselves does not bring back."""
+    return sample.join(hits.select(F.col("query_id").alias("chunk_id"), "key").where("chunk_id = key"), "chunk_id", "left_anti")
+
+
 def recall_at(expected: DataFrame, hits: DataFrame, k: int) -> DataFrame:
     """query_id, recall: the share of expected keys among the first k."""
     found = expected.join(hits.where(F.col("rank") <= k).select("query_id", "key").distinct().withColumn("_hit", F.lit(1)), ["query_id", "key"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.catalog import CATALOG, Principal, visible
 from quarry.operators import evidence as E
+from quarry.operators import quality as K
 from quarry.operators import retrieval as R
 from quarry.operators import review as V
 from quarry.queries.registry import query
@@ -217,3 +218,17 @@ def version_delete_and_publish(spark, sf):
     status = F.when(F.col("o_orderpriority") == "5-LOW", "PROCESSING").otherwise(F.col("o_orderstatus"))
     points = T.raw(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("document_id"), status.alias("status"))
     return sinks.published(sinks.without_version(points, "1-URGENT"), "5-LOW").select("k", "status")
+
+
+@query("scope_mismatches", "SELECT r_name AS region_name, CAST(4 + r_regionkey % 3 AS BIGINT) AS claimed, count(*) AS province_count FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey HAVING count(*) <> 4 + r_regionkey % 3")
+def scope_mismatches(spark, sf):
+    regions = T.raw(spark, sf, "region").select(F.col("r_name").alias("region_name"), F.concat(F.lit("the region covers "), (4 + F.col("r_regionkey") % 3).cast("string"), F.lit(" nations")).alias("text"))
+    dimension = T.regions(spark, sf).groupBy("region_name").agg(F.count("*").alias("province_count"))
+    return K.scope_mismatches(regions, dimension)
+
+
+@query("header_metrics", "SELECT * FROM (VALUES ('Net Sales（万元）', '万元', 'net_sales', true), ('revenue (元)', '元', 'net_sales', false), ('Returns', NULL, 'return_amount', false)) v(header, unit, metric, exact)")
+def header_metrics(spark, sf):
+    lexicon = spark.createDataFrame([(a, m.code, i == 0) for m in CATALOG.metrics for i, a in enumerate(m.aliases)], "name string, metric string, exact boolean")
+    headers = spark.createDataFrame([("Net Sales（万元）",), ("revenue (元)",), ("Returns",), ("Colour",)], "header string")
+    return E.header_metric(headers, lexicon)

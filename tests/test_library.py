@@ -220,3 +220,31 @@ def test_every_query_has_rows_or_a_schema(spark, sf):
     assert len(Q.QUERIES) >= 75 and set(Q.ORACLE) <= set(Q.QUERIES)
     for name in ("rate_window", "chunks", "page_blocks", "normalised_text", "word_segmentation"):
         assert Q.QUERIES[name](spark, sf).limit(1).count() == 1
+
+
+def live(df, name, tmp_path, mode="append"):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"ck-{name}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+def test_token_bucket_and_heartbeats(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(1, i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate((0, 0, 0, 10, 4000))] + [(2, 9, t0)], "user_id long, event_id long, ts timestamp")
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = S.stream(spark, str(tmp_path / "in"), e)
+    got = {r.event_id: r.allowed for r in live(S.token_bucket(source, rate=0.1, burst=2.0), "bucket_test", tmp_path).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 9: True}
+    slow = {r.event_id: r.allowed for r in live(S.token_bucket(source, rate=0.1, burst=2.0, scale=0.5), "bucket_slow", tmp_path).collect()}
+    assert slow[3] is False
+    gone = live(S.heartbeats(source, 30, late="1 minute"), "heartbeat_test", tmp_path).collect()
+    assert {r.user_id for r in gone} == {2}
+
+
+def test_corpus_checks(spark):
+    d = spark.createDataFrame([("a", True, "ACTIVE", "k1", "k2", "INTERNAL"), ("b", False, "FAILED", "k2", None, "EXTERNAL"), ("c", False, "ACTIVE", "k3", "k9", "INTERNAL")], "document_id string, has_text_layer boolean, status string, logical_key string, pair_with string, source_kind string")
+    c = spark.createDataFrame([("b", 1)], "document_id string, n int")
+    assert {r.document_id for r in K.chunks_of_failed(d, c).collect()} == {"b", "c"}
+    assert [r.document_id for r in K.unpaired(d).collect()] == ["c"]
+    asked = spark.createDataFrame([(1,), (2,)], "query_id long")
+    assert [r.query_id for r in K.answered_absent(asked, spark.createDataFrame([(1, True), (2, False)], "query_id long, refused boolean")).collect()] == [2]
