@@ -45,7 +45,9 @@ PERCENT = 80
 SKETCH_BITS = 19
 FRAGMENTS = 4
 #: A shingle of more sets than this is dealt out in blocks of BLOCK sets.
-FEW, BLOCK = 10, 256
+FEW, BLOCK = 48, 256
+#: Bits a shingle of the vectors in which large groups are compared.
+WIDE = 16
 #: Suspects up to this many are told to the tasks; more are joined.
 TOLD = 500_000
 
@@ -205,7 +207,7 @@ def survivors(n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int)
 
 
 def suspects_sets(docs: DataFrame, chosen: DataFrame, *, size: int = SIZE, told: int = TOLD) -> DataFrame:
-    """node, n, shingles (sorted, 8 bytes each), bits (see vector) for the chosen documents (doc_id, node), computed again from their texts."""
+    """node, n, shingles (sorted, 8 bytes each), bits and wide (see vector) for the chosen documents (doc_id, node), computed again from their texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if chosen.count() <= told:
@@ -222,14 +224,14 @@ def suspects_sets(docs: DataFrame, chosen: DataFrame, *, size: int = SIZE, told:
             for _, some in pieces(batch):
                 sets = shingle_sets([t.translate(LOWER) for t in some], size)
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary())], names=["node", "n", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary()), pa.array([vector(s, WIDE) for s in sets], pa.binary())], names=["node", "n", "shingles", "bits", "wide"])
 
-    return texts.mapInArrow(run, "node long, n long, shingles binary, bits binary")
+    return texts.mapInArrow(run, "node long, n long, shingles binary, bits binary, wide binary")
 
 
-def vector(shingles: np.ndarray) -> bytes:
-    """Bit vector with a bit for each shingle, of at least 4 bits a shingle; its length is a power of two."""
-    width = 1 << max(5, int((len(shingles) + 1) // 2 - 1).bit_length())
+def vector(shingles: np.ndarray, room: int = 4) -> bytes:
+    """Bit vector with a bit for each shingle, of at least room bits a shingle; its length is a power of two."""
+    width = 1 << max(5, int((room * len(shingles) + 7) // 8 - 1).bit_length())
     out = np.zeros(width * 8, dtype=np.uint8)
     out[(shingles % U(width * 8)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -380,7 +382,7 @@ def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: in
 
     further = pairs.where(F.col("kind") == PAIR).select("a", "b", "na", "nb").distinct()
     across = further.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b", "na", "nb")
-    left = apart_enough(across, sets, percent=percent).union(large_pairs(large, sets.select("node", "bits").join(labels, "node"), percent=percent)).distinct()
+    left = apart_enough(across, sets, percent=percent).union(large_pairs(large, sets.select("node", F.col("wide").alias("bits")).join(labels, "node"), percent=percent)).distinct()
     more = written(links(left, sets, percent=percent, count=count), "links")
     out = components(joined.union(more), own)
     dropped(found)
