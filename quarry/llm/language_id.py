@@ -196,6 +196,10 @@ def identify(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, keep: t
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = evidence(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source"))
-    found = identify(rows, keep=("doc_id",))
-    return found.select("doc_id", F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_rejected").alias("rejected"))
+    """All documents and all pages: kind, doc_id or page_id, language, posterior, rejected."""
+    none = F.lit(None).cast("long")
+    docs = evidence(documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), "text", "lang", "source"))
+    pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("kind"), none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html"))
+    columns = ("kind", "doc_id", "page_id", "_text", "_declared", "_host", "_suffix")
+    found = identify(docs.select(*columns).unionByName(pages.select(*columns)), keep=columns[:3])
+    return found.select(*columns[:3], F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_rejected").alias("rejected"))
