@@ -1,8 +1,8 @@
 """N-gram Jaccard join with vertical partitioning, and its connected components.
 
 A document's set is its distinct shingles of SIZE words.  Two documents link when
-100 * |x & y| >= PERCENT * |x | y|.  The join finds every link between different sets; documents
-of equal sets are one node.
+100 * |x & y| >= PERCENT * |x | y|.  The join finds every link between different sets and
+counts them for each document; documents of equal sets are one node.
 
 1. Global order.  All shingles of all texts are counted in a sketch of fixed size (two rows of
    counters, summed over the tasks).  The order is (estimate, hash), rare shingles first.  An
@@ -10,12 +10,13 @@ of equal sets are one node.
 2. Candidates.  If two sets link, their prefixes in the global order share a shingle, and at their
    first common one the rest that is left must still hold enough: positions bound the overlap.
    Prefix shingles are shuffled by hash, sorted, and read as a stream; no group is gathered.
-   A shingle of few sets gives its surviving pairs at once.  A shingle of many gives the pairs with
-   its first set; when their links have joined what they can, the rest is dealt out in blocks:
-   pairs of blocks are tasks of bounded size.  A pair leaves a task only if its sets are in
-   different components and their bit vectors differ in few enough places (a lower bound of the
-   symmetric difference), so that not all pairs of a group are emitted, only those that can link.
-3. Overlaps.  The global order is cut into FRAGMENTS vertical fragments.  Each candidate's overlap
+   A shingle of few sets gives its surviving pairs at once.  The sets of a shingle of many are dealt
+   out in blocks: pairs of blocks are tasks of bounded size, which count every overlap exactly by
+   products of incidence matrices.  Of their links only a spanning forest and each node's number
+   leave a task, so that what is emitted grows with the rows and not with the pairs.  A link counts
+   in the group of the first shingle that its sets share, and there only if no small group found it.
+3. Overlaps of the pairs of small groups.  The hashes are cut into FRAGMENTS vertical fragments (equal
+   ranges of the hash, not of the global order).  Each candidate's overlap
    is counted in each fragment separately and the parts are summed for each pair.
 4. Components of the links by label propagation with pointer jumping, each round written to the
    shared folder.
@@ -24,7 +25,8 @@ Sets are 64-bit shingle hashes and a node is named by a 64-bit hash of its set a
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing (their
 component is their own doc_id); a text of fewer than SIZE words has its whole sequence as one
-shingle; repeated rows are nodes with one set; a null doc_id never names a component.
+shingle; repeated rows are nodes with one set; a null doc_id never names a component,
+and a set that only rows without an id have is linked with nothing.
 """
 
 from __future__ import annotations
@@ -46,8 +48,6 @@ SKETCH_BITS = 19
 FRAGMENTS = 4
 #: A shingle of more sets than this is dealt out in blocks of BLOCK sets.
 FEW, BLOCK = 48, 256
-#: Bits a shingle of the vectors in which large groups are compared.
-WIDE = 16
 #: Suspects up to this many are told to the tasks; more are joined.
 TOLD = 500_000
 
@@ -89,6 +89,12 @@ def slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> U(64 - bits)).astype(np.int64), ((hashes >> U(8)) & U((1 << bits) - 1)).astype(np.int64)
 
 
+def in_order(shingles: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
+    """A set in the global order."""
+    a, b = slots(shingles, bits)
+    return shingles[np.lexsort((shingles, np.minimum(sketch[0][a], sketch[1][b])))]
+
+
 def node_of(shingles: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
     import xxhash
@@ -111,8 +117,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, *, size: int = SIZE, percent:
                 keep = np.where(n > 0, n - -((-percent * n) // 100) + 1, 0)
                 chosen = []
                 for s, k in zip(sets, keep, strict=True):
-                    a, b = slots(s, bits)
-                    chosen.append(s[np.lexsort((s, np.minimum(table[0][a], table[1][b])))[:k]].view(np.int64))
+                    chosen.append(in_order(s, table, bits)[:k].view(np.int64))
                 at = np.concatenate(([0], np.cumsum(keep))).astype(np.int32)
                 flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
                 nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
@@ -122,8 +127,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, *, size: int = SIZE, percent:
 
 
 def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW) -> DataFrame:
-    """Candidates by kind: STAR pairs (a, b, na, nb) of a group's first set with the others, the further pairs (PAIR) of
-    a small group, and the rows (ROW: token, a, na, place) of a large one.
+    """Candidates by kind: the pairs (PAIR: a, b, na, nb) of a small group, and the rows (ROW: token, a, na, place) of a large one.
 
     nodes: one row a node.  Rows arrive sorted by (token, n, node), so a group is a run.  At most few
     rows of a run are kept; once it is known to be large each row is passed on as it comes, and only
@@ -148,7 +152,7 @@ def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW)
             if goes_on:
                 first[0] = open_large
             carry, open_large = [c[len(token) :] for c in cols], None
-            large = list(zip(begin[is_large].tolist(), size[is_large].tolist(), first, strict=True))
+            large = list(zip(begin[is_large].tolist(), size[is_large].tolist(), strict=True))
             if not last:
                 if is_large[-1]:
                     open_large = first[-1]
@@ -157,9 +161,8 @@ def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW)
                     begin, size, is_large = begin[:-1], size[:-1], is_large[:-1]
             small = np.flatnonzero(~is_large & (size > 1))
             pairs = [survivors(*(c[b : b + k] for c in cols[1:]), percent) for b, k in zip(begin[small].tolist(), size[small].tolist(), strict=True)]
-            for b, k, row in large:
+            for b, k in large:
                 of, n, node, place = (c[b : b + k] for c in cols)
-                pairs.append(star(row, n, node, place, percent))
                 none = pa.nulls(k, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, ROW), pa.int64()), pa.array(node), none, pa.array(n), none, pa.array(of), pa.array(place)], names=NAMES)
             if pairs:
@@ -181,15 +184,7 @@ def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW)
 
 
 NAMES = ["kind", "a", "b", "na", "nb", "token", "place"]
-STAR, PAIR, ROW = 0, 1, 2
-
-
-def star(first: list, n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """The pairs of a group's first row with others that sizes and positions allow."""
-    good = (np.minimum(n - place, first[1] - first[3]) >= needed(n, first[1], percent)) & (node != first[2])
-    n, node = n[good], node[good]
-    k = len(n)
-    return ordered(np.full(k, STAR), np.full(k, first[2]), node, np.full(k, first[1]), n)
+PAIR, ROW = 0, 1
 
 
 def ordered(kind: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -199,17 +194,18 @@ def ordered(kind: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb:
 
 
 def survivors(n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Pairs of a small group whose sizes and positions allow a link; those with its first row are its star."""
+    """Pairs of a small group whose sizes and positions allow a link."""
     i, j = np.triu_indices(len(n), 1)
     good = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed(n[i], n[j], percent)) & (node[i] != node[j])
     i, j = i[good], j[good]
-    return ordered(np.where(i == 0, STAR, PAIR), node[i], node[j], n[i], n[j])
+    return ordered(np.full(len(i), PAIR), node[i], node[j], n[i], n[j])
 
 
-def suspects_sets(docs: DataFrame, chosen: DataFrame, *, size: int = SIZE, told: int = TOLD) -> DataFrame:
-    """node, n, shingles (sorted, 8 bytes each), bits and wide (see vector) for the chosen documents (doc_id, node), computed again from their texts."""
+def suspects_sets(docs: DataFrame, chosen: DataFrame, sketch: np.ndarray, *, size: int = SIZE, told: int = TOLD) -> DataFrame:
+    """node, n, shingles (sorted, 8 bytes each), ordered (the same in the global order) and bits (see vector) for the chosen documents (doc_id, node), computed again from their texts."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared, slot_bits = spark.sparkContext.broadcast(sketch), int(sketch.shape[1]).bit_length() - 1
     if chosen.count() <= told:
         wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in chosen.select("doc_id").toLocalIterator()], dtype=np.int64)))
     else:
@@ -224,9 +220,9 @@ def suspects_sets(docs: DataFrame, chosen: DataFrame, *, size: int = SIZE, told:
             for _, some in pieces(batch):
                 sets = shingle_sets([t.translate(LOWER) for t in some], size)
                 sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary()), pa.array([vector(s, WIDE) for s in sets], pa.binary())], names=["node", "n", "shingles", "bits", "wide"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary()), pa.array([in_order(s, shared.value, slot_bits).tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles", "bits", "ordered"])
 
-    return texts.mapInArrow(run, "node long, n long, shingles binary, bits binary, wide binary")
+    return texts.mapInArrow(run, "node long, n long, shingles binary, bits binary, ordered binary")
 
 
 def vector(shingles: np.ndarray, room: int = 4) -> bytes:
@@ -245,41 +241,85 @@ def folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def block_pairs(frame: pd.DataFrame, same: bool, own: np.ndarray, percent: int) -> pd.DataFrame:
-    """Pairs, one of each side (own: whether a row is of the first block), that sizes, positions and bit vectors allow."""
-    n, place, node, label = (frame[c].to_numpy(np.int64) for c in ("n", "place", "node", "label"))
-    raw = frame["bits"].to_list()
-    width = np.array([len(x) for x in raw])
-    by_width = {int(w): np.flatnonzero(width == w) for w in np.unique(width)}
-    bits = {w: np.frombuffer(b"".join(raw[i] for i in at), dtype=np.uint8).reshape(-1, w) for w, at in by_width.items()}
-    found = []
-    for wx, left in by_width.items():
-        for wy, right in by_width.items():
-            w = min(wx, wy)
-            if max(wx, wy) > 4 * w:  # sizes that far apart never link
-                continue
-            x_bits, y_bits = (np.ascontiguousarray(folded(bits[k], w)).view(np.uint64) for k in (wx, wy))
-            for row, x in enumerate(left):
-                if not own[x]:
-                    continue
-                need = needed(n[right], n[x], percent)
-                good = (np.minimum(n[right] - place[right], n[x] - place[x]) >= need) & (np.minimum(n[right], n[x]) >= need)
-                good &= (right > x) if same else ~own[right]
-                good &= label[right] != label[x]  # of one component already
-                at = np.flatnonzero(good)
-                if len(at):
-                    apart = np.bitwise_count(y_bits[at] ^ x_bits[row]).sum(axis=1, dtype=np.int64)
-                    at = at[apart <= n[x] + n[right[at]] - 2 * need[at]]
-                    y = right[at]
-                    found.append(np.stack([np.full(len(y), node[x]), node[y], np.full(len(y), n[x]), n[y]], axis=1))
-    pairs = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-    swap = pairs[:, 0] > pairs[:, 1]
-    pairs[swap] = pairs[swap][:, [1, 0, 3, 2]]
-    return pd.DataFrame(pairs, columns=["a", "b", "na", "nb"]).drop_duplicates()
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 1 << 12) -> np.ndarray:
+    """Shared shingles of each left set (row) with each right one (column): exact, in parts of at most chunk shingles."""
+    flat = np.concatenate([*left, *right])
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, at = np.unique(flat, return_inverse=True)
+    own = row < len(left)
+    both = (np.bincount(at[own], minlength=at.max(initial=-1) + 1) > 0) & (np.bincount(at[~own], minlength=at.max(initial=-1) + 1) > 0)
+    place = np.cumsum(both) - 1
+    shared = both[at]
+    row, at, own = row[shared], place[at[shared]], own[shared]
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    for c in range(0, int(both.sum()), chunk):
+        here = (at >= c) & (at < c + chunk)
+        x, y = np.zeros((len(left), chunk), np.float32), np.zeros((len(right), chunk), np.float32)
+        x[row[here & own], at[here & own] - c] = 1
+        y[row[here & ~own] - len(left), at[here & ~own] - c] = 1
+        out += np.rint(x @ y.T).astype(np.int64)
+    return out
+
+
+def spanning(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric adjacency matrix."""
+    out, todo = [], near.any(axis=1)
+    while todo.any():
+        reached = [int(np.argmax(todo))]
+        todo[reached[0]] = False
+        for x in reached:
+            found = np.flatnonzero(near[x] & todo)
+            todo[found] = False
+            reached.extend(found.tolist())
+            out.extend((x, int(y)) for y in found)
+    return out
+
+
+def block_links(frame: pd.DataFrame, same: bool, own: np.ndarray, percent: int) -> pd.DataFrame:
+    """Of all links between two blocks (own: whether a row is of the first): a spanning forest (a, b, 0) and for each node (a, null, k) the copies it links with.
+
+    A link belongs to the group of the first shingle that its sets share in the global order, and to
+    none if it was found in a small group (skip): so each is counted once.
+    """
+    n, place, node, copies = (frame[c].to_numpy(np.int64) for c in ("n", "place", "node", "copies"))
+    left = np.flatnonzero(own)
+    right = left if same else np.flatnonzero(~own)
+    none = pd.DataFrame({"a": [], "b": [], "k": []}, dtype="Int64")
+    if not len(left) or not len(right):
+        return none
+    rest = n - place
+    hope = np.minimum(rest[left][:, None], rest[right][None, :]) >= needed(n[left][:, None], n[right][None, :], percent)
+    if same:
+        hope = np.triu(hope, 1)
+    left, right, hope = left[hope.any(axis=1)], right[hope.any(axis=0)], hope[hope.any(axis=1)][:, hope.any(axis=0)]
+    if not len(left):
+        return none
+    raw = frame["ordered"].to_list()
+    sets = {int(x): np.frombuffer(raw[x], dtype=np.uint64) for x in {*left.tolist(), *right.tolist()}}
+    shared = overlaps([sets[x] for x in left.tolist()], [sets[y] for y in right.tolist()])
+    link = hope & (100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared))
+    if not link.any():
+        return none
+    link &= overlaps([sets[x][: place[x]] for x in left.tolist()], [sets[y][: place[y]] for y in right.tolist()]) == 0
+    skip = frame["skip"].to_list()
+    for r, x in enumerate(left):
+        if skip[x] is not None:
+            link[r, np.isin(node[right], skip[x])] = False
+    for c, y in enumerate(right):
+        if skip[y] is not None:
+            link[np.isin(node[left], skip[y]), c] = False
+    total = np.zeros(len(n), dtype=np.int64)
+    np.add.at(total, left, link @ copies[right])
+    np.add.at(total, right, link.T @ copies[left])
+    near = np.zeros((len(n), len(n)), dtype=bool)
+    near[np.ix_(left, right)] = link
+    edges = np.array(spanning(near | near.T), dtype=np.int64).reshape(-1, 2)
+    some = np.flatnonzero(total)
+    return pd.DataFrame({"a": pd.array(np.concatenate([node[edges[:, 0]], node[some]]), "Int64"), "b": pd.array([*node[edges[:, 1]].tolist(), *[None] * len(some)], "Int64"), "k": pd.array(np.concatenate([np.zeros(len(edges), np.int64), total[some]]), "Int64")})
 
 
 def large_pairs(large: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Candidate pairs of the large groups across components: blocks against blocks.  nodes: node, label, bits."""
+    """Links of the large groups, blocks against blocks, as block_links() tells them.  nodes: node, ordered, copies, skip."""
     blocks = large.groupBy("token").count().select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rows = large.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("a", "token"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -289,9 +329,9 @@ def large_pairs(large: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, b
 
     def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, i, j = key
-        return block_pairs(frame, i == j, frame["own"].to_numpy() == i, percent)
+        return block_links(frame, i == j, frame["own"].to_numpy() == i, percent)
 
-    return rows.groupBy("token", "i", "j").applyInPandas(pairs, "a long, b long, na long, nb long")
+    return rows.groupBy("token", "i", "j").applyInPandas(pairs, "a long, b long, k long")
 
 
 def fragments(sets: DataFrame, count: int = FRAGMENTS) -> DataFrame:
@@ -359,44 +399,58 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
             return state.select("node", "label")
 
 
-def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node for each row of docs; node, label of the nodes that have links).
+def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: int = FRAGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, node for each row of docs; node, label of the nodes that have links; node, copies, linked of the same).
 
-    Stars come first.  What they join needs no further pairs, so that a large group of near copies
-    costs as many links as it has members; every other candidate pair across components is tested.
+    Every candidate pair of different sets is tested.  copies: rows with an id that have this set; linked: rows with
+    an id of other sets that link with it.
     """
     ready(docs.sparkSession)
-    base = written(prefixes(docs, count_sketch(docs, size=size), size=size, percent=percent), "prefixes")
+    sketch = count_sketch(docs, size=size)
+    base = written(prefixes(docs, sketch, size=size, percent=percent), "prefixes")
     found = written(shared_shingles(base.where("node is not null").dropDuplicates(["node"]), percent=percent), "candidates")
-    pairs, large = found.where(F.col("kind") != ROW), found.where(F.col("kind") == ROW)
+    pairs, large = found.where(F.col("kind") == PAIR), found.where(F.col("kind") == ROW)
     suspect = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select(F.col("a").alias("node"))).distinct()
     # one document's text for each suspect node; a node of null ids only has no name in any component
-    named = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = written(named.join(suspect, "node", "left_semi").select("doc_id", "node"), "suspects")
-    sets = written(suspects_sets(docs, chosen, size=size), "sets")
-    own = chosen.select("node", F.col("doc_id").alias("label"))
-
-    stars = pairs.where(F.col("kind") == STAR).select("a", "b", "na", "nb").distinct()
-    joined = written(links(apart_enough(stars, sets, percent=percent), sets, percent=percent, count=count), "links")
-    labels = components(joined, own)
-
-    further = pairs.where(F.col("kind") == PAIR).select("a", "b", "na", "nb").distinct()
-    across = further.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b", "na", "nb")
-    left = apart_enough(across, sets, percent=percent).union(large_pairs(large, sets.select("node", F.col("wide").alias("bits")).join(labels, "node"), percent=percent)).distinct()
-    more = written(links(left, sets, percent=percent, count=count), "links")
-    out = components(joined.union(more), own)
+    named = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    chosen = written(named.join(suspect, "node", "left_semi").select("doc_id", "node", "copies"), "suspects")
+    sets = written(suspects_sets(docs, chosen, sketch, size=size).dropDuplicates(["node"]), "sets")  # ids may repeat
+    own, copies = chosen.select("node", F.col("doc_id").alias("label")), chosen.select("node", "copies")
+
+    tested = apart_enough(pairs.select("a", "b", "na", "nb").distinct(), sets, percent=percent)
+    joined = written(links(tested, sets, percent=percent, count=count), "links")
+    # at most few - 1 for each shingle of a prefix
+    skip = joined.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("skip"))
+    nodes = sets.select("node", "ordered").join(copies, "node").join(skip, "node", "left")
+    more = written(large_pairs(large, nodes, percent=percent), "links")
+    out = components(joined.select("a", "b").union(more.where("b is not null").select("a", "b")), own)
+
+    ways = joined.select("a", "b").union(joined.select(F.col("b"), F.col("a")))
+    of_small = ways.join(copies.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("k"))
+    of_large = more.where("b is null").select(F.col("a").alias("node"), "k")
+    linked = of_small.union(of_large).groupBy("node").agg(F.sum("k").alias("linked"))
     dropped(found)
     dropped(sets)
-    return base.select("doc_id", "n", "node"), out
+    return base.select("doc_id", "n", "node"), out, linked
 
 
-def classes(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
-    base, labels = join(docs, **options)
-    least = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(labels, "node", "left").select("node", F.coalesce("label", "least").alias("component"))
-    return base.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+def classes(docs: DataFrame, *, with_links: bool = False, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs, and with_links also n_links: the other rows with an id that it links with."""
+    base, labels, linked = join(docs, **options)
+    least = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("copies"))
+    named = least.join(labels, "node", "left").select("node", "copies", F.coalesce("label", "least").alias("component"))
+    told = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")]
+    if with_links:
+        named = named.join(linked, "node", "left")
+        alike = F.col("copies") - F.col("doc_id").isNotNull().cast("long")
+        told.append((F.coalesce("linked", F.lit(0)) + F.coalesce(alike, F.lit(0))).alias("n_links"))
+    return base.join(named, "node", "left").select(*told)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
+
+
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2 with n_links, which its SQL does not have."""
+    return classes(documents(spark, sf_dir), with_links=True)

@@ -8,6 +8,7 @@ from quarry.llm.oracle import DECONTAMINATION_SQL, JACCARD_SQL
 QUERIES = {
     "op1_pii": pii.op1,
     "op2_ngram_jaccard_join": jaccard.op2,
+    "op2_ngram_jaccard_links": jaccard.op2_links,
     "op3_chat_formatting": chat_template.op3,
     "op4_benchmark_decontamination": decontamination.op4,
     "op5_toxicity": toxicity.op5,
