@@ -49,6 +49,17 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001
 
 
+#: Tables of up to this many narrow rows are told to all tasks; larger ones are joined by a shuffle, with the same result.
+TOLD = 500_000
+
+
+def hinted(df: DataFrame, most: int = TOLD) -> DataFrame:
+    """df with a broadcast hint if a count shows that it has at most so many rows."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

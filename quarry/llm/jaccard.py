@@ -2,22 +2,22 @@
 
 A document's set is its distinct shingles of SIZE words.  Two documents link when
 100 * |x & y| >= PERCENT * |x | y|.  The join finds every link between different sets and
-counts them for each document; documents of equal sets are one node.
+counts them for each document; documents of equal sets are one node, one row in all that follows.
 
 1. Global order.  All shingles of all texts are counted in a sketch of fixed size (two rows of
-   counters, summed over the tasks).  The order is (estimate, hash), rare shingles first.  An
-   estimate that is off costs time, never a link: any total order gives the same result.
-2. Candidates.  If two sets link, their prefixes in the global order share a shingle, and at their
-   first common one the rest that is left must still hold enough: positions bound the overlap.
-   Prefix shingles are shuffled by hash, sorted, and read as a stream; no group is gathered.
-   A shingle of few sets gives its surviving pairs at once.  The sets of a shingle of many are dealt
-   out in blocks: pairs of blocks are tasks of bounded size, which count every overlap exactly by
-   products of incidence matrices.  Of their links only a spanning forest and each node's number
-   leave a task, so that what is emitted grows with the rows and not with the pairs.  A link counts
-   in the group of the first shingle that its sets share, and there only if no small group found it.
-3. Overlaps of the pairs of small groups.  The hashes are cut into FRAGMENTS vertical fragments (equal
-   ranges of the hash, not of the global order).  Each candidate's overlap
-   is counted in each fragment separately and the parts are summed for each pair.
+   counters, summed over the tasks in levels).  The order is (estimate, hash), rare shingles first.
+   An estimate that is off costs time, never a link: any total order gives the same result.
+2. Clusters.  If two sets link, their prefixes in the global order share a shingle, and at their
+   first common one the rest that is left must still hold enough.  Prefix shingles are dealt by ranges
+   of (shingle, size, node), so that a frequent shingle is split over many tasks, and read as a stream.
+   The nodes of a shingle are chained: those of few nodes where sizes and positions allow a link, those
+   of many, or across the borders of tasks, where sizes allow it.  So each shingle gives fewer edges than
+   rows, and linked sets always fall into one component of these edges, their cluster.
+3. Overlaps.  Each set of a cluster is cut at the same FRAGMENTS - 1 places of the global order.  A cluster's
+   nodes are dealt out in blocks; a task gets two blocks, counts the overlap of every pair of its sets in
+   each vertical fragment separately (products of incidence matrices) and sums the parts for each pair.
+   So each pair is tested exactly once.  Of the links only stars of the parts that hang together and each
+   node's number leave the task: what is emitted grows with the rows and not with the pairs.
 4. Components of the links by label propagation with pointer jumping, each round written to the
    shared folder.
 
@@ -25,8 +25,8 @@ Sets are 64-bit shingle hashes and a node is named by a 64-bit hash of its set a
 
 Defined results: null, empty and wordless texts have no shingles and link with nothing (their
 component is their own doc_id); a text of fewer than SIZE words has its whole sequence as one
-shingle; repeated rows are nodes with one set; a null doc_id never names a component,
-and a set that only rows without an id have is linked with nothing.
+shingle; repeated rows are one node; a null doc_id never names a component but its text links like
+any other (a component of such rows only is null); n_links counts other rows that have an id.
 """
 
 from __future__ import annotations
@@ -39,17 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, dropped, pieces, ready, written
+from quarry.llm.common import documents, dropped, hinted, pieces, ready, written
 from quarry.llm.textkernel import LOWER, U, Words, shingle_sets, windows
 
 SIZE = 5
 PERCENT = 80
 SKETCH_BITS = 19
 FRAGMENTS = 4
-#: A shingle of more sets than this is dealt out in blocks of BLOCK sets.
-FEW, BLOCK = 48, 256
-#: Suspects up to this many are told to the tasks; more are joined.
-TOLD = 500_000
+#: Of a shingle of more nodes than this only sizes are compared when clusters are made.
+FEW = 48
+#: Nodes and shingles of a block, on average.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 22
+#: Tasks whose sketches are summed in one group.
+LEVEL = 256
+#: Label of a component without any doc_id.
+NOBODY = (1 << 63) - 1
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -78,7 +82,10 @@ def count_sketch(docs: DataFrame, *, size: int = SIZE, bits: int = SKETCH_BITS)
             total += np.frombuffer(x, dtype=np.int64)
         return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
-    parts = docs.select("text").mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary")
+    parts = docs.select("text").mapInArrow(run, "part int, counts binary")
+    near = F.floor(F.spark_partition_id() / LEVEL).cast("int").alias("near")
+    parts = parts.select("part", near, "counts").groupBy("part", "near").applyInPandas(add, "part int, counts binary")
+    parts = parts.groupBy("part").applyInPandas(add, "part int, counts binary")
     out = np.zeros((2 << bits) // part * part, dtype=np.int64).reshape(-1, part)
     for r in parts.toLocalIterator():
         out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -89,10 +96,31 @@ def slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> U(64 - bits)).astype(np.int64), ((hashes >> U(8)) & U((1 << bits) - 1)).astype(np.int64)
 
 
-def in_order(shingles: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
-    """A set in the global order."""
-    a, b = slots(shingles, bits)
-    return shingles[np.lexsort((shingles, np.minimum(sketch[0][a], sketch[1][b])))]
+def in_order(shingles: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set in the global order, and its estimates."""
+    a, b = slots(shingles, int(sketch.shape[1]).bit_length() - 1)
+    estimate = np.minimum(sketch[0][a], sketch[1][b])
+    order = np.lexsort((shingles, estimate))
+    return shingles[order], estimate[order]
+
+
+def pivots(sketch: np.ndarray, count: int = FRAGMENTS) -> list[tuple[int, np.uint64]]:
+    """Places (estimate, hash) of the global order that cut the counted shingles into count nearly equal shares."""
+    row = sketch[0]
+    bits = int(sketch.shape[1]).bit_length() - 1
+    order = np.lexsort((np.arange(len(row)), row))
+    mass = np.cumsum(row[order], dtype=np.int64)
+    at = np.searchsorted(mass, mass[-1] * np.arange(1, count) // count)
+    return [(int(row[order[i]]), U(int(order[i]) << (64 - bits))) for i in at]
+
+
+def cuts(ordered: np.ndarray, estimate: np.ndarray, places: list[tuple[int, np.uint64]]) -> list[int]:
+    """Where the fragments of an ordered set begin and end."""
+    out = [0]
+    for e, h in places:
+        low, high = np.searchsorted(estimate, e, "left"), np.searchsorted(estimate, e, "right")
+        out.append(int(low + np.searchsorted(ordered[low:high], h)))
+    return [*out, len(ordered)]
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -104,9 +132,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, *, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), node, prefix (the first shingles in the global order)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(sketch)
-    bits = int(sketch.shape[1]).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -115,9 +141,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, *, size: int = SIZE, percent:
                 sets = shingle_sets([t.translate(LOWER) for t in texts], size)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 keep = np.where(n > 0, n - -((-percent * n) // 100) + 1, 0)
-                chosen = []
-                for s, k in zip(sets, keep, strict=True):
-                    chosen.append(in_order(s, table, bits)[:k].view(np.int64))
+                chosen = [in_order(s, table)[0][:k].view(np.int64) for s, k in zip(sets, keep, strict=True)]
                 at = np.concatenate(([0], np.cumsum(keep))).astype(np.int32)
                 flat = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
                 nodes = pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())
@@ -126,122 +150,195 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, *, size: int = SIZE, percent:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
 
 
-def shared_shingles(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW) -> DataFrame:
-    """Candidates by kind: the pairs (PAIR: a, b, na, nb) of a small group, and the rows (ROW: token, a, na, place) of a large one.
+# --- clusters --------------------------------------------------------------------------------
 
-    nodes: one row a node.  Rows arrive sorted by (token, n, node), so a group is a run.  At most few
-    rows of a run are kept; once it is known to be large each row is passed on as it comes, and only
-    its first row is remembered.
-    """
-    rows = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
-    dealt = rows.select("token", F.col("n").cast("int").alias("n"), "node", "place").repartition("token").sortWithinPartitions("token", "n", "node")
+
+def survivors(n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes of one shingle a spanning forest of the pairs whose sizes and positions allow a link."""
+    rest = n - place
+    near = np.minimum(rest[:, None], rest[None, :]) >= needed(n[:, None], n[None, :], percent)
+    np.fill_diagonal(near, False)
+    edges = np.array(stars(near), dtype=np.int64).reshape(-1, 2)
+    return node[edges[:, 0]], node[edges[:, 1]]
+
+
+def stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """For each component of a symmetric adjacency matrix, edges from its first member to each other one."""
+    out, todo = [], near.any(axis=1)
+    while todo.any():
+        root = int(np.argmax(todo))
+        reached = [root]
+        todo[root] = False
+        for x in reached:
+            found = np.flatnonzero(near[x] & todo)
+            todo[found] = False
+            reached.extend(found.tolist())
+        out.extend((root, x) for x in reached[1:])
+    return out
+
+
+class Chain:
+    """Nodes of one shingle by size as they come: each hangs on the first of similar size."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.leader, self.last = percent, None, None
+
+    def add(self, n: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, i = [], [], 0
+        while i < len(n):
+            if self.leader is None or n[i] * self.percent > 100 * self.leader[0]:
+                if self.last is not None and n[i] * self.percent <= 100 * self.last[0]:
+                    a.append(np.array([self.last[1]]))
+                    b.append(node[i : i + 1])
+                self.leader = (int(n[i]), int(node[i]))
+            j = i + int(np.searchsorted(n[i:], 100 * self.leader[0] // self.percent, "right"))
+            own = node[i:j]
+            own = own[own != self.leader[1]]
+            a.append(np.full(len(own), self.leader[1]))
+            b.append(own)
+            self.last = (int(n[j - 1]), int(node[j - 1]))
+            i = j
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def cluster_edges(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW) -> DataFrame:
+    """a, b: edges between nodes that share a shingle of their prefixes.  nodes: node, n, prefix, one row a node."""
+    spark = nodes.sparkSession
+    rows = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token")).select("token", "n", "node", "place")
+    dealt = rows.repartitionByRange("token", "n", "node").sortWithinPartitions("token", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = [np.zeros(0, np.int64)] * 4
-        open_large: list | None = None  # the first row of a large run that may go on
+        from pyspark import TaskContext
+
+        partition = TaskContext.get().partitionId()
+        carry = [np.zeros(0, np.int64)] * 4  # rows of a run that may go on
+        chain: Chain | None = None  # of a run that is known to be large
+        token_of_chain, first, border = None, True, []
 
         def emit(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal carry, open_large
-            token = cols[0]
+            nonlocal carry, chain, token_of_chain, first
+            token, n, node, place = cols
             begin = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             size = np.diff(np.append(begin, len(token)))
-            is_large = size > few
-            goes_on = open_large is not None and token[0] == open_large[0]
-            is_large[0] |= goes_on
-            first = [[c[b] for c in cols] for b in begin[is_large]]
-            if goes_on:
-                first[0] = open_large
-            carry, open_large = [c[len(token) :] for c in cols], None
-            large = list(zip(begin[is_large].tolist(), size[is_large].tolist(), strict=True))
+            a, b = [], []
+            if first:
+                border.append((0, int(token[0]), int(n[0]), int(node[0])))
+            big = np.flatnonzero(size > few).tolist()
+            goes_on = chain is not None and token[0] == token_of_chain
+            # the first and the last run of a partition may go on in another one
+            ends = {0} if first or goes_on else set()
+            ends |= {len(begin) - 1} if last else set()
+            large = sorted({*big, *ends})
+            carry = [c[:0] for c in cols]
+            done = len(begin)
             if not last:
-                if is_large[-1]:
-                    open_large = first[-1]
-                else:
+                done -= 1
+                if len(begin) - 1 not in large:
                     carry = [c[begin[-1] :] for c in cols]
-                    begin, size, is_large = begin[:-1], size[:-1], is_large[:-1]
-            small = np.flatnonzero(~is_large & (size > 1))
-            pairs = [survivors(*(c[b : b + k] for c in cols[1:]), percent) for b, k in zip(begin[small].tolist(), size[small].tolist(), strict=True)]
-            for b, k in large:
-                of, n, node, place = (c[b : b + k] for c in cols)
-                none = pa.nulls(k, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, ROW), pa.int64()), pa.array(node), none, pa.array(n), none, pa.array(of), pa.array(place)], names=NAMES)
-            if pairs:
-                kind, a, b, na, nb = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                order = np.lexsort((kind, b, a))  # a pair shares many shingles
-                fresh = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))[: len(order)]
-                once = order[fresh]
-                none = pa.nulls(len(once), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[once], pa.int64()) for x in (kind, a, b, na, nb)), none, none], names=NAMES)
+            for r in large:
+                if r != 0 or not goes_on:
+                    chain = Chain(percent)
+                    token_of_chain = token[begin[r]]
+                x, y = chain.add(n[begin[r] : begin[r] + size[r]], node[begin[r] : begin[r] + size[r]])
+                a.append(x)
+                b.append(y)
+            if not (len(begin) - 1 in large and not last):
+                chain = None
+            small = np.ones(len(begin), dtype=bool)
+            small[large] = False
+            small[done:] = False
+            two = begin[small & (size == 2)]
+            rest = np.minimum(n[two] - place[two], n[two + 1] - place[two + 1])
+            two = two[rest >= needed(n[two], n[two + 1], percent)]
+            a.append(node[two])
+            b.append(node[two + 1])
+            for r in np.flatnonzero(small & (size > 2)).tolist():
+                here = slice(begin[r], begin[r] + size[r])
+                x, y = survivors(n[here], node[here], place[here], percent)
+                a.append(x)
+                b.append(y)
+            if last:
+                border.append((1, int(token[-1]), int(n[-1]), int(node[-1])))
+            first = False
+            yield edges_of(np.concatenate(a), np.concatenate(b))
+
+        def edges_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            low, high = np.minimum(a, b), np.maximum(a, b)
+            both = np.unique(np.stack([low, high], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            none = pa.nulls(len(both), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *[none] * 4], names=NAMES)
 
         for batch in batches:
             cols = [np.concatenate([c, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, c in enumerate(carry)]
-            if len(cols[0]):
-                yield from emit(cols, False)
+            if len(cols[0]) > 1:
+                keep = cols
+                # one row is held back, so that the end is known when it comes
+                yield from emit([c[:-1] for c in keep], False)
+                carry = [np.concatenate([c, k[-1:]]) for c, k in zip(carry, keep, strict=True)]
+            else:
+                carry = cols
         if len(carry[0]):
             yield from emit(carry, True)
+        if border:
+            side, token, n, node = (pa.array(list(x), pa.int64()) for x in zip(*border, strict=True))
+            k = len(border)
+            yield pa.RecordBatch.from_arrays([node, pa.nulls(k, pa.int64()), token, n, side, pa.array([partition] * k, pa.int64())], names=NAMES)
 
-    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in NAMES))
+    found = written(dealt.mapInArrow(run, ", ".join(f"{x} long" for x in NAMES)), "candidates")
+    borders = sorted((r["partition"], r["side"], r["token"], r["n"], r["a"]) for r in found.where("token is not null").collect())  # two rows a task
+    joined = [(x[4], y[4]) for x, y in zip(borders, borders[1:]) if x[0] != y[0] and x[2] == y[2] and y[3] * percent <= 100 * x[3]]
+    return found.where("token is null").select("a", "b").union(spark.createDataFrame(joined, "a long, b long")).distinct()
 
 
-NAMES = ["kind", "a", "b", "na", "nb", "token", "place"]
-PAIR, ROW = 0, 1
+NAMES = ["a", "b", "token", "n", "side", "partition"]
 
 
-def ordered(kind: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The smaller name first."""
-    swap = a > b
-    return kind, np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
+def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label: the least label reachable.  edges (a, b) both ways are made here; labels (node, label) has every node of an edge."""
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
+    state = written(labels.select("node", "label", F.col("node").alias("via")), "labels")
+    while True:
+        around = both.join(state.select(F.col("node").alias("b"), F.col("label").alias("near"), F.col("via").alias("near_via")), "b")
+        best = around.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("near", "near_via")).alias("best"))
+        step = state.join(best, "node", "left").select("node", F.col("label").alias("old"), F.least(F.struct(F.col("label"), F.col("via")), F.struct(F.col("best.near").alias("label"), F.col("best.near_via").alias("via"))).alias("now"))
+        step = step.select("node", "old", F.col("now.label").alias("label"), F.col("now.via").alias("via"))
+        jump = step.select(F.col("node").alias("via"), F.col("label").alias("further"), F.col("via").alias("further_via"))
+        # the node a label came from may by now have a smaller one
+        new = step.join(jump, "via", "left").select("node", "old", F.least(F.struct(F.col("label"), F.col("via")), F.struct(F.col("further").alias("label"), F.col("further_via").alias("via"))).alias("now"))
+        new = written(new.select("node", "old", F.col("now.label").alias("label"), F.col("now.via").alias("via")), "labels")
+        changed = new.where("label <> old").limit(1).count()
+        dropped(state)
+        state = new
+        if not changed:
+            dropped(both)
+            return state.select("node", "label")
 
 
-def survivors(n: np.ndarray, node: np.ndarray, place: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
-    """Pairs of a small group whose sizes and positions allow a link."""
-    i, j = np.triu_indices(len(n), 1)
-    good = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed(n[i], n[j], percent)) & (node[i] != node[j])
-    i, j = i[good], j[good]
-    return ordered(np.full(len(i), PAIR), node[i], node[j], n[i], n[j])
+# --- overlaps --------------------------------------------------------------------------------
 
 
-def suspects_sets(docs: DataFrame, chosen: DataFrame, sketch: np.ndarray, *, size: int = SIZE, told: int = TOLD) -> DataFrame:
-    """node, n, shingles (sorted, 8 bytes each), ordered (the same in the global order) and bits (see vector) for the chosen documents (doc_id, node), computed again from their texts."""
-    spark = docs.sparkSession
+def suspects_sets(docs: DataFrame, chosen: DataFrame, sketch: np.ndarray, *, size: int = SIZE, count: int = FRAGMENTS) -> DataFrame:
+    """chosen's rows (node, doc_id, ...) with shingles (in the global order, 8 bytes each) and at (where fragments begin), computed again from the texts."""
+    places = pivots(sketch, count)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared, slot_bits = spark.sparkContext.broadcast(sketch), int(sketch.shape[1]).bit_length() - 1
-    if chosen.count() <= told:
-        wanted = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in chosen.select("doc_id").toLocalIterator()], dtype=np.int64)))
-    else:
-        wanted = None
-        texts = texts.join(chosen.select("doc_id"), "doc_id", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    wanted = hinted(chosen.select(F.col("doc_id").alias("wanted")).distinct())
+    texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if wanted is not None:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                batch = batch.filter(pa.array(np.isin(ids, wanted.value)))
             for _, some in pieces(batch):
-                sets = shingle_sets([t.translate(LOWER) for t in some], size)
-                sets = [s for s in sets if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s) for s in sets], pa.binary()), pa.array([in_order(s, shared.value, slot_bits).tobytes() for s in sets], pa.binary())], names=["node", "n", "shingles", "bits", "ordered"])
-
-    return texts.mapInArrow(run, "node long, n long, shingles binary, bits binary, ordered binary")
-
+                sets = [s for s in shingle_sets([t.translate(LOWER) for t in some], size) if len(s)]
+                told = [in_order(s, shared.value) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([o.tobytes() for o, _ in told], pa.binary()), pa.array([cuts(o, e, places) for o, e in told], pa.list_(pa.int32()))], names=["node", "shingles", "at"])
 
-def vector(shingles: np.ndarray, room: int = 4) -> bytes:
-    """Bit vector with a bit for each shingle, of at least room bits a shingle; its length is a power of two."""
-    width = 1 << max(5, int((room * len(shingles) + 7) // 8 - 1).bit_length())
-    out = np.zeros(width * 8, dtype=np.uint8)
-    out[(shingles % U(width * 8)).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+    sets = texts.mapInArrow(run, "node long, shingles binary, at array<int>")
+    # ids may repeat, with one text or with several
+    return sets.join(hinted(chosen.drop("doc_id")), "node").dropDuplicates(["node"])
 
 
-def folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """The vectors (rows) that the same sets have at a smaller width."""
-    while bits.shape[1] > width:
-        half = bits.shape[1] // 2
-        bits = bits[:, :half] | bits[:, half:]
-    return bits
-
-
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 1 << 12) -> np.ndarray:
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 1 << 11) -> np.ndarray:
     """Shared shingles of each left set (row) with each right one (column): exact, in parts of at most chunk shingles."""
     flat = np.concatenate([*left, *right])
     row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
@@ -251,190 +348,112 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 1 <<
     place = np.cumsum(both) - 1
     shared = both[at]
     row, at, own = row[shared], place[at[shared]], own[shared]
-    out = np.zeros((len(left), len(right)), dtype=np.int64)
-    for c in range(0, int(both.sum()), chunk):
-        here = (at >= c) & (at < c + chunk)
-        x, y = np.zeros((len(left), chunk), np.float32), np.zeros((len(right), chunk), np.float32)
+    out = np.zeros((len(left), len(right)), dtype=np.int32)
+    total = int(both.sum())
+    for c in range(0, total, chunk):
+        width = min(chunk, total - c)
+        here = (at >= c) & (at < c + width)
+        x, y = np.zeros((len(left), width), np.float32), np.zeros((len(right), width), np.float32)
         x[row[here & own], at[here & own] - c] = 1
         y[row[here & ~own] - len(left), at[here & ~own] - c] = 1
-        out += np.rint(x @ y.T).astype(np.int64)
+        out += (x @ y.T).astype(np.int32)  # whole numbers below 2**24: exact
     return out
 
 
-def spanning(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric adjacency matrix."""
-    out, todo = [], near.any(axis=1)
-    while todo.any():
-        reached = [int(np.argmax(todo))]
-        todo[reached[0]] = False
-        for x in reached:
-            found = np.flatnonzero(near[x] & todo)
-            todo[found] = False
-            reached.extend(found.tolist())
-            out.extend((x, int(y)) for y in found)
-    return out
-
-
-def block_links(frame: pd.DataFrame, same: bool, own: np.ndarray, percent: int) -> pd.DataFrame:
-    """Of all links between two blocks (own: whether a row is of the first): a spanning forest (a, b, 0) and for each node (a, null, k) the copies it links with.
+def block_links(node: np.ndarray, n: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], at: list[list[int]], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(roots, members) of the stars of all links between two blocks (left and right: places of their rows, the same for one block), and for each row the copies it links with.
 
-    A link belongs to the group of the first shingle that its sets share in the global order, and to
-    none if it was found in a small group (skip): so each is counted once.
+    The overlap of every pair is summed over the vertical fragments; once no pair can reach what it needs, the rest is left out.
     """
-    n, place, node, copies = (frame[c].to_numpy(np.int64) for c in ("n", "place", "node", "copies"))
-    left = np.flatnonzero(own)
-    right = left if same else np.flatnonzero(~own)
-    none = pd.DataFrame({"a": [], "b": [], "k": []}, dtype="Int64")
-    if not len(left) or not len(right):
-        return none
-    rest = n - place
-    hope = np.minimum(rest[left][:, None], rest[right][None, :]) >= needed(n[left][:, None], n[right][None, :], percent)
+    same = len(left) == len(right) and bool((left == right).all())
+    want = needed(n[left][:, None], n[right][None, :], percent)
+    found = np.zeros(want.shape, dtype=np.int32)
+    rest_left, rest_right = n[left].copy(), n[right].copy()
+    for f in range(len(at[0]) - 1):
+        ours, theirs = ([sets[x][at[x][f] : at[x][f + 1]] for x in side.tolist()] for side in (left, right))
+        found += overlaps(ours, theirs)
+        rest_left -= np.array([len(x) for x in ours])
+        rest_right -= np.array([len(x) for x in theirs])
+        if not (found + np.minimum(rest_left[:, None], rest_right[None, :]) >= want).any():
+            break
+    link = found >= want
     if same:
-        hope = np.triu(hope, 1)
-    left, right, hope = left[hope.any(axis=1)], right[hope.any(axis=0)], hope[hope.any(axis=1)][:, hope.any(axis=0)]
-    if not len(left):
-        return none
-    raw = frame["ordered"].to_list()
-    sets = {int(x): np.frombuffer(raw[x], dtype=np.uint64) for x in {*left.tolist(), *right.tolist()}}
-    shared = overlaps([sets[x] for x in left.tolist()], [sets[y] for y in right.tolist()])
-    link = hope & (100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared))
-    if not link.any():
-        return none
-    link &= overlaps([sets[x][: place[x]] for x in left.tolist()], [sets[y][: place[y]] for y in right.tolist()]) == 0
-    skip = frame["skip"].to_list()
-    for r, x in enumerate(left):
-        if skip[x] is not None:
-            link[r, np.isin(node[right], skip[x])] = False
-    for c, y in enumerate(right):
-        if skip[y] is not None:
-            link[np.isin(node[left], skip[y]), c] = False
+        np.fill_diagonal(link, False)
     total = np.zeros(len(n), dtype=np.int64)
-    np.add.at(total, left, link @ copies[right])
-    np.add.at(total, right, link.T @ copies[left])
+    total[left] += link @ copies[right]
+    if not same:
+        total[right] += link.T @ copies[left]
     near = np.zeros((len(n), len(n)), dtype=bool)
     near[np.ix_(left, right)] = link
-    edges = np.array(spanning(near | near.T), dtype=np.int64).reshape(-1, 2)
-    some = np.flatnonzero(total)
-    return pd.DataFrame({"a": pd.array(np.concatenate([node[edges[:, 0]], node[some]]), "Int64"), "b": pd.array([*node[edges[:, 1]].tolist(), *[None] * len(some)], "Int64"), "k": pd.array(np.concatenate([np.zeros(len(edges), np.int64), total[some]]), "Int64")})
-
-
-def large_pairs(large: DataFrame, nodes: DataFrame, *, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """Links of the large groups, blocks against blocks, as block_links() tells them.  nodes: node, ordered, copies, skip."""
-    blocks = large.groupBy("token").count().select("token", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    rows = large.join(blocks, "token").withColumn("own", F.pmod(F.xxhash64("a", "token"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("token", F.col("a").alias("node"), F.col("na").alias("n"), "place", "own", other)
-    rows = rows.select("token", "node", "n", "place", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = rows.join(nodes, "node")
-
-    def pairs(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        return block_links(frame, i == j, frame["own"].to_numpy() == i, percent)
-
-    return rows.groupBy("token", "i", "j").applyInPandas(pairs, "a long, b long, k long")
-
-
-def fragments(sets: DataFrame, count: int = FRAGMENTS) -> DataFrame:
-    """node, fragment, part: the set cut at fixed places of the hash order."""
+    edges = np.array(stars(near if same else near | near.T), dtype=np.int64).reshape(-1, 2)
+    return node[edges[:, 0]], node[edges[:, 1]], total
+
+
+def links(sets: DataFrame, *, percent: int = PERCENT) -> DataFrame:
+    """Of all links of all clusters: stars (a, b, null), and each node's number (a, null, k).  sets: node, n, copies, cluster, blocks, shingles, at."""
+    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int").alias("own")
+    rows = sets.select("cluster", "node", "n", "copies", own, "shingles", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "copies", "shingles", "at")
+    dealt = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def solved(key: tuple, rows: list[tuple]) -> list[tuple]:
+        own, node, n, copies = (np.array(x, dtype=np.int64) for x in list(zip(*rows, strict=True))[:4])
+        sets, at = [np.frombuffer(r[4], dtype=np.uint64) for r in rows], [r[5] for r in rows]
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        if not len(left) or not len(right) or len(node) < 2:
+            return []
+        roots, members, total = block_links(node, n, copies, sets, at, left, right, percent)
+        some = np.flatnonzero(total)
+        return [*((a, b, None) for a, b in zip(roots.tolist(), members.tolist(), strict=True)), *((int(node[x]), None, int(total[x])) for x in some)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = (np.arange(1, count, dtype=np.uint64)) * U((1 << 64) // count)
-        for batch in batches:
-            nodes, numbers, parts = [], [], []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f, part in enumerate(np.split(np.frombuffer(raw, dtype=np.uint64), np.searchsorted(np.frombuffer(raw, dtype=np.uint64), cuts))):
-                    nodes.append(node)
-                    numbers.append(f)
-                    parts.append(part.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["node", "fragment", "part"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "node long, fragment int, part array<long>")
+        key, held, out = None, [], []
 
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["a", "b", "k"])
 
-def apart_enough(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT) -> DataFrame:
-    """The pairs whose bit vectors do not rule a link out."""
-    bits = sets.select("node", "bits")
-    both = pairs.join(bits.select(F.col("node").alias("a"), F.col("bits").alias("x")), "a").join(bits.select(F.col("node").alias("b"), F.col("bits").alias("y")), "b").select("a", "b", "na", "nb", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            apart = np.zeros(len(na), dtype=np.int64)
-            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
-                w = min(len(x), len(y))
-                p, q = (folded(np.frombuffer(v, dtype=np.uint8).reshape(1, -1), w) for v in (x, y))
-                apart[k] = np.bitwise_count(p ^ q).sum()
-            yield batch.select([0, 1, 2, 3]).filter(pa.array(apart <= na + nb - 2 * needed(na, nb, percent)))
-
-    return both.mapInArrow(run, "a long, b long, na long, nb long")
-
-
-def links(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT, count: int = FRAGMENTS) -> DataFrame:
-    """a, b, overlap of the pairs that link."""
-    cut = fragments(sets, count)
-    left = pairs.join(cut.select(F.col("node").alias("a"), "fragment", F.col("part").alias("x")), "a")
-    both = left.join(cut.select(F.col("node").alias("b"), "fragment", F.col("part").alias("y")), ["b", "fragment"])
-    summed = both.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("x", "y"))).alias("overlap"))
-    return summed.where((100 + percent) * F.col("overlap") >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "overlap")
-
-
-def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label: the least label reachable.  edges (a, b) both ways are made here; labels (node, label) has every node of an edge."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    state = written(labels.select("node", "label", F.col("node").alias("via")), "labels")
-    while True:
-        around = both.join(state.select(F.col("node").alias("b"), F.col("label").alias("near"), F.col("via").alias("near_via")), "b")
-        best = around.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("near", "near_via")).alias("best"))
-        step = state.join(best, "node", "left").select("node", F.col("label").alias("old"), F.least(F.struct(F.col("label"), F.col("via")), F.struct(F.col("best.near").alias("label"), F.col("best.near_via").alias("via"))).alias("now"))
-        step = step.select("node", "old", F.col("now.label").alias("label"), F.col("now.via").alias("via"))
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("further"), F.col("via").alias("further_via"))
-        # the node a label came from may by now have a smaller one
-        new = step.join(jump, "via", "left").select("node", "old", F.least(F.struct(F.col("label"), F.col("via")), F.struct(F.col("further").alias("label"), F.col("further_via").alias("via"))).alias("now"))
-        new = written(new.select("node", "old", F.col("now.label").alias("label"), F.col("now.via").alias("via")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        dropped(state)
-        state = new
-        if not changed:
-            dropped(both)
-            return state.select("node", "label")
-
-
-def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: int = FRAGMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, n, node for each row of docs; node, label of the nodes that have links; node, copies, linked of the same).
-
-    Every candidate pair of different sets is tested.  copies: rows with an id that have this set; linked: rows with
-    an id of other sets that link with it.
+            for c, i, j, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (c, i, j) != key:
+                    if held:
+                        out += solved(key, held)
+                    key, held = (c, i, j), []
+                held.append(tuple(row))
+            if len(out) > 10_000:
+                yield batch_of(out)
+                out = []
+        if held:
+            out += solved(key, held)
+        yield batch_of(out)
+
+    return dealt.mapInArrow(run, "a long, b long, k long")
+
+
+def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: int = FRAGMENTS, few: int = FEW, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, node for each row of docs; node, label of the nodes that have links; node, linked of the same).
+
+    linked: rows with an id of other sets that link with it.
     """
     ready(docs.sparkSession)
     sketch = count_sketch(docs, size=size)
     base = written(prefixes(docs, sketch, size=size, percent=percent), "prefixes")
-    found = written(shared_shingles(base.where("node is not null").dropDuplicates(["node"]), percent=percent), "candidates")
-    pairs, large = found.where(F.col("kind") == PAIR), found.where(F.col("kind") == ROW)
-    suspect = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select(F.col("a").alias("node"))).distinct()
-    # one document's text for each suspect node; a node of null ids only has no name in any component
-    named = base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    chosen = written(named.join(suspect, "node", "left_semi").select("doc_id", "node", "copies"), "suspects")
-    sets = written(suspects_sets(docs, chosen, sketch, size=size).dropDuplicates(["node"]), "sets")  # ids may repeat
-    own, copies = chosen.select("node", F.col("doc_id").alias("label")), chosen.select("node", "copies")
-
-    tested = apart_enough(pairs.select("a", "b", "na", "nb").distinct(), sets, percent=percent)
-    joined = written(links(tested, sets, percent=percent, count=count), "links")
-    # at most few - 1 for each shingle of a prefix
-    skip = joined.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("skip"))
-    nodes = sets.select("node", "ordered").join(copies, "node").join(skip, "node", "left")
-    more = written(large_pairs(large, nodes, percent=percent), "links")
-    out = components(joined.select("a", "b").union(more.where("b is not null").select("a", "b")), own)
-
-    ways = joined.select("a", "b").union(joined.select(F.col("b"), F.col("a")))
-    of_small = ways.join(copies.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("k"))
-    of_large = more.where("b is null").select(F.col("a").alias("node"), "k")
-    linked = of_small.union(of_large).groupBy("node").agg(F.sum("k").alias("linked"))
-    dropped(found)
-    dropped(sets)
-    return base.select("doc_id", "n", "node"), out, linked
-
-
-def classes(docs: DataFrame, *, with_links: bool = False, **options) -> DataFrame:
+    edges = written(cluster_edges(base.where("node is not null").select("node", "n", "prefix").dropDuplicates(["node"]), percent=percent, few=few), "candidates")
+    suspects = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    clusters = components(edges, suspects.select("node", F.col("node").alias("label"))).select("node", F.col("label").alias("cluster"))
+    named = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"), F.first("n").alias("n"))
+    chosen = written(named.join(clusters, "node"), "suspects")
+    dropped(edges)
+
+    sizes = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).alias("blocks")).where("blocks > 1")
+    dealt = chosen.join(hinted(sizes), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
+    found = written(links(suspects_sets(docs, dealt, sketch, size=size, count=count), percent=percent), "links")
+    out = components(found.where("b is not null").select("a", "b"), chosen.select("node", F.coalesce("doc_id", F.lit(NOBODY)).alias("label")))
+    linked = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("linked"))
+    return base.select("doc_id", "n", "node"), out.select("node", F.nullif("label", F.lit(NOBODY)).alias("label")), linked
+
+
+def classes(docs: DataFrame, *, with_links: bool = True, **options) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs, and with_links also n_links: the other rows with an id that it links with."""
     base, labels, linked = join(docs, **options)
     least = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("copies"))
@@ -448,9 +467,9 @@ def classes(docs: DataFrame, *, with_links: bool = False, **options) -> DataFram
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(documents(spark, sf_dir))
+    return classes(documents(spark, sf_dir), with_links=False)
 
 
 def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2 with n_links, which its SQL does not have."""
-    return classes(documents(spark, sf_dir), with_links=True)
+    return classes(documents(spark, sf_dir))
