@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common, decontamination, jaccard, language_id, pii, sentencepiece_lattice
 
-#: Ids of dropped copies up to this many are broadcast; more are joined.
-TOLD = 500_000
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without readable text or a certain language go.  Columns as before."""
@@ -21,9 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join the document of the smallest id."""
-    losers = common.written(jaccard.classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    few = losers.count() <= TOLD
-    return docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti").select(*docs.columns)
+    losers = common.written(jaccard.classes(docs, with_links=False).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(common.hinted(losers), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
