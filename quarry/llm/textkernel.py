@@ -49,6 +49,25 @@ def _power(base: int, n: int, name: str) -> np.ndarray:
     return have[:n]
 
 
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Hash of each span [start, end) of a sequence of 64-bit values; spans are in order and do not overlap.
+
+    Blocks keep the powers short; a span longer than a block is hashed alone.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    i, n = 0, len(starts)
+    while i < n:
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + block, side="right")))
+        size = int(ends[j - 1] - base)
+        total = np.zeros(size + 1, dtype=np.uint64)
+        np.cumsum(values[base : base + size] * _power(_MULT, size, "up"), out=total[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (total[e] - total[s]) * _power(_INVERSE, size + 1, "down")[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out)
+
+
 class Words:
     """The words of a batch: per word its hash and byte range, per text its range of words."""
 
@@ -64,20 +83,8 @@ class Words:
         self.hashes = self._hashes()
         self.first = np.searchsorted(self.starts, self.offsets)
 
-    def _hashes(self, block: int = 1 << 20) -> np.ndarray:
-        """Blocks keep the powers short; a word longer than a block is hashed alone."""
-        out = np.empty(len(self.starts), dtype=np.uint64)
-        i, n = 0, len(self.starts)
-        while i < n:
-            base = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, base + block, side="right")))
-            size = int(self.ends[j - 1] - base)
-            total = np.zeros(size + 1, dtype=np.uint64)
-            np.cumsum(_BYTE[self.buffer[base : base + size]] * _power(_MULT, size, "up"), out=total[1:])
-            s, e = self.starts[i:j] - base, self.ends[i:j] - base
-            out[i:j] = (total[e] - total[s]) * _power(_INVERSE, size + 1, "down")[s] + (e - s).astype(np.uint64)
-            i = j
-        return mix(out)
+    def _hashes(self) -> np.ndarray:
+        return span_hashes(_BYTE[self.buffer], self.starts, self.ends)
 
     def per_text(self) -> np.ndarray:
         return np.diff(self.first)
