@@ -36,9 +36,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_units, n_pieces, ids_digest, ids_sha256, n_decoded, text_sha256: encoded and decoded again."""
-    path = public_tokenizers.path(sentencepiece_lattice.MODEL)
-    return sentencepiece_lattice.round_trip(sentencepiece_lattice.encode(docs, path, whole=True), path).drop("row")
+    """doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip: encoded and decoded again."""
+    return sentencepiece_lattice.encode(docs, public_tokenizers.path(sentencepiece_lattice.MODEL)).drop("row")
 
 
 STAGES = [
