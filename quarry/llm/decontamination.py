@@ -9,8 +9,10 @@ one length share tables; each shorter length has its own.
 
 Defined results: a null or wordless text has 0 words and is clean; a null or wordless item has no
 window; items with a null item_id are left out; repeated items count once.  The benchmark is read in
-blocks of at most BLOCK_BYTES of text.  Each block is one broadcast of proven size and one pass in
-the same stage, so a benchmark of any size works and documents are never shuffled.
+blocks of at most BLOCK_BYTES of text.  Each block is one broadcast of proven size and one pass over the
+documents; of STAGE passes at a time one stage is made, and what they found is written before the next, so
+that a stage's workers and a driver's broadcasts stay few.  Documents are never shuffled.  Cost grows with
+documents times blocks: this search is for benchmarks of up to some hundred MB.
 """
 
 from __future__ import annotations
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, pieces
+from quarry.llm.common import documents, free, pieces, written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Blocks that are searched in one stage.
+STAGE = 4
 #: ASCII lower-casing, and every byte that is no word character becomes a space.
 WORD_BYTES = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
 
@@ -95,17 +99,17 @@ def blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
-    """doc_id, the columns keep, n_words, hits (array of the merged [start, end) word ranges) and items (sorted ids); the three names begin with prefix."""
-    n_words, hits_, items_ = (prefix + x for x in ("n_words", "hits", "items"))
+    """doc_id, the columns keep, n_words, hits (array of the merged [start, end) word ranges) and items (sorted ids), in this order; the three names begin with prefix and get a trailing _ where docs has them."""
+    n_words, hits_, items_ = (free(prefix + x, docs.columns) for x in ("n_words", "hits", "items"))
     spark = docs.sparkSession
     kept = [c for c in dict.fromkeys((*keep, "text")) if c != "doc_id"]
-    schema_in = docs.select("doc_id", *kept).schema
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema_in)
     out = docs.select("doc_id", *kept, F.lit(0).cast("long").alias(n_words), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias(hits_), F.expr("cast(array() as array<bigint>)").alias(items_))
-    schema = f"{names}, {n_words} long, {hits_} array<struct<start:int,end:int>>, {items_} array<bigint>"
+    schema = out.schema
     hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    for block in blocks(benchmark, block_bytes):
+    for number, block in enumerate(blocks(benchmark, block_bytes)):
+        if number and number % STAGE == 0:
+            out = written(out, "hits")
         have = [(r["item_id"], r["text"].encode("utf-8", "surrogatepass")) for r in block.toLocalIterator()]
         shared = spark.sparkContext.broadcast(have)
 
@@ -141,10 +145,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    n_hit = F.expr("aggregate(hits, 0L, (n, x) -> n + x.end - x.start)")
-    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    n_words, hits, items = found.columns[-3:]
+    n_hit = F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    ids = F.array_join(F.array_sort(F.transform(items, lambda x: x.cast("string"))), ",")
     return found.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(n_words).alias("n_words"), n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
 
 

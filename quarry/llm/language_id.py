@@ -5,13 +5,15 @@ languages, its declared language (a markup attribute or metadata field), the suf
 and a prior for its host.  Host priors are smoothed hierarchically: host counts shrink to those of
 the suffix, these to those of all rows.  Models and priors are grouped aggregations over all rows.
 
-Of text, the mean log-likelihood a trigram counts as at most TRUST trigrams, since neighbouring
-trigrams are not independent.  The model table has (languages x 2**BITS) entries, a proven bound.
-The host table is broadcast if it has at most HOSTS rows, else joined.
-
-Defined results: null and empty texts give no text evidence and are rejected (there is nothing to
-read); a declared language outside the inventory, or null, is no evidence; a null host counts as its
-own host; a row is rejected if no language reaches CERTAIN.  Repeated rows count each time.
+Only trigrams with a letter count.  Of text, the mean log-likelihood a trigram counts as at most TRUST
+trigrams, since neighbouring trigrams are not independent.  Besides the inventory there is one more hypothesis,
+"other": every trigram equally likely, of prior probability OTHER.  The model table has (languages x 2**BITS)
+entries, a proven bound.  The host table is broadcast if it has at most HOSTS rows, else joined.
+
+Defined results: null and empty texts, and those without a letter, give no text evidence and are rejected
+(there is nothing to read); a declared language outside the inventory, or null, is no evidence; a null host
+counts as its own host; a row is rejected if no language reaches CERTAIN.  Repeated rows count each time.
+The rows' own columns travel in a struct, so that no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -23,20 +25,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import documents, pieces
+from quarry.llm.common import documents, free, hinted, pieces, ready
 from quarry.llm.textkernel import LOWER
 
 LANGUAGES = ("en", "de", "fr", "es")
 BITS = 14
-TRUST = 60.0
+TRUST = 40.0
 CERTAIN = 0.5
+OTHER = 0.01
 #: Probability that a declared language or an address suffix is that of the text.
 DECLARED, SUFFIX = 0.9, 0.8
 #: Rows that a parent's distribution counts for.
 SHRINK = 20.0
 #: Trigrams that the shared distribution counts for in each language's model.
 OWN = 2000.0
+#: Share of the uniform distribution in each model, so that an unseen trigram tells little.
+FLOOR = 0.1
 NEVER = -30.0
 HOSTS = 100_000
 #: Languages of some country suffixes; others say nothing.
@@ -45,18 +51,21 @@ _TABLES: dict[str, np.ndarray] = {}
 
 
 def trigrams(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of the lower-cased bytes, and the texts' offsets; digits count as one character."""
+    """Hashed trigrams with a letter of the lower-cased bytes, and the texts' offsets; digits count as one character."""
     fold = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in LOWER)
-    joined = np.frombuffer(b"".join(b" " + t.translate(fold) + b" " for t in texts), dtype=np.uint8).astype(np.uint32)
+    joined = np.frombuffer(b"".join(b" " + t.translate(fold) + b" " for t in texts), dtype=np.uint8)
     lengths = np.fromiter((len(t) + 2 for t in texts), dtype=np.int64, count=len(texts))
     ends = np.cumsum(lengths)
-    code = (joined[:-2] << 16 | joined[1:-1] << 8 | joined[2:]) if len(joined) > 2 else np.zeros(0, np.uint32)
-    code = (code * np.uint32(2654435761)) >> np.uint32(32 - bits)
-    inside = np.ones(len(joined), dtype=bool)
-    inside[ends - 1] = False
-    inside[ends - 2] = False
-    kept = np.maximum(lengths - 2, 0)
-    return code[inside[: len(code)]], np.concatenate(([0], np.cumsum(kept)))
+    if len(joined) < 3:
+        return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+    letter = ((joined >= 0x61) & (joined <= 0x7A)) | (joined >= 0x80)
+    inside = letter[:-2] | letter[1:-1] | letter[2:]
+    inside[ends[:-1] - 1] = False  # those that begin at a text's last two bytes belong to no text
+    inside[ends[:-1] - 2] = False
+    at = joined.astype(np.uint32)
+    code = ((at[:-2] << 16 | at[1:-1] << 8 | at[2:]) * np.uint32(2654435761)) >> np.uint32(32 - bits)
+    so_far = np.concatenate(([0], np.cumsum(inside)))
+    return code[inside], np.concatenate(([0], so_far[np.minimum(ends, len(inside))]))
 
 
 def index_of(value: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
@@ -69,12 +78,12 @@ def index_of(value: Column, languages: tuple[str, ...] = LANGUAGES) -> Column:
 
 
 def evidence(rows: DataFrame, *, text: str = "text", declared: str | None = "lang", host: str | None = "source", url: str | None = None) -> DataFrame:
-    """_text, _declared, _host and _suffix next to the rows' columns."""
+    """_row (a struct of the rows' columns), _text, _declared, _host and _suffix."""
     address = F.lower(F.regexp_extract(F.col(url), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)", 1)) if url else None
     name = F.col(host).cast("string") if host else (address if url else F.lit(None).cast("string"))
     suffix = F.regexp_extract(address, r"\.([a-z]+)$", 1) if url else F.lit(None).cast("string")
     tag = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
-    return rows.withColumns({"_text": F.col(text).cast("string"), "_declared": tag, "_host": F.coalesce(name, F.lit("")), "_suffix": F.coalesce(suffix, F.lit(""))})
+    return rows.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"), tag.alias("_declared"), F.coalesce(name, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -83,7 +92,9 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     attribute = F.regexp_extract(html, r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     meta = F.regexp_extract(html, r"(?is)<meta[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z-]+)", 1)
     visible = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*>", " ")
-    return evidence(pages.withColumns({"_page_text": visible, "_page_lang": F.when(attribute != "", attribute).otherwise(meta)}), text="_page_text", declared="_page_lang", host=None, url="url")
+    text, lang = free("_page_text", pages.columns), free("_page_lang", pages.columns)
+    told = evidence(pages.withColumns({text: visible, lang: F.when(attribute != "", attribute).otherwise(meta)}), text=text, declared=lang, host=None, url="url")
+    return told.withColumn("_row", F.struct(*(F.col("_row")[c].alias(c) for c in pages.columns)))
 
 
 def train(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, bits: int = BITS) -> np.ndarray:
@@ -109,7 +120,7 @@ def train(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, bits: int
     # a language leans on what all texts share as far as it has little text of its own
     shared = counts.sum(axis=0) + 0.5
     shared /= shared.sum()
-    out = np.log((counts + OWN * shared) / (counts.sum(axis=1, keepdims=True) + OWN))
+    out = np.log((1 - FLOOR) * (counts + OWN * shared) / (counts.sum(axis=1, keepdims=True) + OWN) + FLOOR / size)
     out[counts.sum(axis=1) == 0] = NEVER  # a language that no row declares is no candidate
     return out.astype(np.float32)
 
@@ -119,7 +130,6 @@ def with_likelihoods(rows: DataFrame, model: np.ndarray, *, trust: float = TRUST
     name = uuid.uuid4().hex
     shared = rows.sparkSession.sparkContext.broadcast(model)
     bits = int(model.shape[1]).bit_length() - 1
-    at = rows.columns.index("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _TABLES:
@@ -130,15 +140,12 @@ def with_likelihoods(rows: DataFrame, model: np.ndarray, *, trust: float = TRUST
             for some, texts in pieces(batch, "_text"):
                 code, at_ = trigrams(texts, bits)
                 n = np.diff(at_)
-                # a text without a letter or digit has no trigram that tells anything
-                n = np.where([bool(t.strip()) for t in texts], n, 0)
                 sums = np.stack([np.diff(np.concatenate(([0.0], np.cumsum(table[g][code], dtype=np.float64)))[at_]) for g in range(len(table))], axis=1)
                 tempered = np.round(sums / np.maximum(n, 1)[:, None] * np.minimum(n, trust)[:, None], 6)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(table)), pa.array(tempered.ravel()))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(n, pa.int64()), lists], names=[*some.schema.names, "_trigrams", "_likelihood"])
 
-    assert at >= 0
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", _trigrams long, _likelihood array<double>"
+    schema = T.StructType([*rows.schema.fields, T.StructField("_trigrams", T.LongType()), T.StructField("_likelihood", T.ArrayType(T.DoubleType()))])
     return rows.mapInArrow(run, schema)
 
 
@@ -164,10 +171,9 @@ def host_priors(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, shri
     return joined.select("_host", "_suffix", F.array(*(F.round(smoothed(i), 9) for i in range(len(languages)))).alias("_prior"))
 
 
-def fused(rows: DataFrame, priors: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, certain: float = CERTAIN, hosts: int = HOSTS) -> DataFrame:
+def fused(rows: DataFrame, priors: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, certain: float = CERTAIN, hosts: int = HOSTS, trust: float = TRUST, bits: int = BITS) -> DataFrame:
     """rows with _language, _posterior and _rejected."""
-    few = priors.limit(hosts + 1).count() <= hosts
-    joined = rows.join(F.broadcast(priors) if few else priors, ["_host", "_suffix"], "left")
+    joined = rows.join(hinted(priors, hosts), ["_host", "_suffix"], "left")
     k = len(languages)
     declared, suffix = index_of(F.col("_declared"), languages), F.lit(None).cast("int")
     for s, lang in SUFFIXES.items():
@@ -179,7 +185,8 @@ def fused(rows: DataFrame, priors: DataFrame, *, languages: tuple[str, ...] = LA
 
     logs = F.array(*(F.col("_likelihood")[i] + F.coalesce(F.col("_prior")[i], F.lit(0.0)) + told(declared, i, DECLARED) + told(suffix, i, SUFFIX) for i in range(k)))
     out = joined.withColumn("_logs", logs)
-    weights = F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs")))
+    other = float(np.log(OTHER)) - bits * float(np.log(2)) * F.least(F.col("_trigrams").cast("double"), F.lit(trust))
+    weights = F.transform(F.concat("_logs", F.array(other)), lambda x: F.exp(x - F.array_max("_logs")))
     out = out.withColumn("_posterior", F.round(1.0 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x), 6))
     best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_logs", F.array_max("_logs")).cast("int"))
     rejected = (F.col("_trigrams") == 0) | (F.col("_posterior") < certain)
@@ -187,12 +194,15 @@ def fused(rows: DataFrame, priors: DataFrame, *, languages: tuple[str, ...] = LA
 
 
 def identify(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """rows: the outcome of evidence().  Their columns keep (all but the working ones by default), language, posterior, rejected."""
+    """rows: the outcome of evidence().  The columns keep of what it was made of (all by default), then _language, _posterior, _rejected (with a trailing _ where keep has such names)."""
+    ready(rows.sparkSession)
     model = train(rows, languages=languages)
-    keep = tuple(c for c in rows.columns if not c.startswith("_")) if keep is None else keep
-    slim = rows.select(*keep, "_text", "_declared", "_host", "_suffix")
+    keep = tuple(rows.schema["_row"].dataType.names) if keep is None else keep
+    kept = F.struct(*(F.col("_row")[c].alias(c) for c in keep)) if keep else F.lit(None).cast("int")
+    slim = rows.select(kept.alias("_row"), "_text", "_declared", "_host", "_suffix")
     scored = fused(with_likelihoods(slim, model), host_priors(rows, languages=languages), languages=languages)
-    return scored.select(*keep, F.col("_language"), F.col("_posterior"), F.col("_rejected"))
+    names = [free(c, keep) for c in ("_language", "_posterior", "_rejected")]
+    return scored.select(*(F.col("_row")[c].alias(c) for c in keep), *(F.col(c).alias(n) for c, n in zip(("_language", "_posterior", "_rejected"), names)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +210,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("long")
     docs = evidence(documents(spark, sf_dir).select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), none.alias("page_id"), "text", "lang", "source"))
     pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.lit("page").alias("kind"), none.alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    columns = ("kind", "doc_id", "page_id", "_text", "_declared", "_host", "_suffix")
-    found = identify(docs.select(*columns).unionByName(pages.select(*columns)), keep=columns[:3])
-    return found.select(*columns[:3], F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_rejected").alias("rejected"))
+    columns = ("kind", "doc_id", "page_id")
+    row = F.struct(*(F.col("_row")[c].alias(c) for c in columns))
+    found = identify(docs.withColumn("_row", row).unionByName(pages.withColumn("_row", row)), keep=columns)
+    return found.select(*columns, F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), F.col("_rejected").alias("rejected"))

@@ -76,13 +76,16 @@ class Kind:
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 _LABEL = "[A-Za-z0-9-]"
+_SECRET = r"(?i)token|secret|passw|api.?key|access.?key|private.?key|kennwort|schlüssel|mot de passe|contraseñ|clave"
 KINDS = (
-    Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", lambda v: F.lit(True), 0.9, r"mail|contact|write|reach", 0.1),
-    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", below_256, 0.6, r"\bip\b|host|server|address|login", 0.3),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", card_rule, 0.8, r"card|visa|master|credit|pay", 0.2),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: F.length(digits(v)).between(9, 15), 0.6, r"phone|call|tel|mobile|fax", 0.3),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", lambda v: mod97(F.regexp_replace(v, " ", "")), 0.9, r"iban|account|bank", 0.1, False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"ssn|social|security", 0.5, False),
+    Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++", "@", lambda v: F.lit(True), 0.9, r"mail|contact|write|reach|kontakt|schreib|écri|correo|escrib", 0.1),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", below_256, 0.6, r"\bip\b|host|server|address|login|adresse|rechner|serveur|direcci|servidor", 0.3),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", card_rule, 0.8, r"card|visa|master|credit|pay|karte|kredit|zahl|carte|paiement|tarjeta|pago", 0.2),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda v: F.length(digits(v)).between(9, 15), 0.6, r"phone|call|tel|mobile|fax|anruf|handy|appel|portable|llam|móvil", 0.3),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", lambda v: mod97(F.regexp_replace(v, " ", "")), 0.9, r"iban|account|bank|konto|compte|banque|cuenta|banco", 0.1, False),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"ssn|social|security|sozial|sécurité|seguridad", 0.5, False),
+    # a long run of letters and digits is a key or password only near a word that says so
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,200}+(?![A-Za-z0-9+/_-])", _SECRET, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 0.2, _SECRET, 0.6, False),
 )
 
 
@@ -153,7 +156,7 @@ def digest(docs: DataFrame) -> DataFrame:
         return F.filter("found", lambda x: x["kind"] == kind)
 
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(listed(F.filter("found", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(F.filter("found", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), F.array_join(F.transform("found", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents
+from quarry.llm.common import documents, free
 
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{i:04d}" for i in range(64))
@@ -56,11 +56,7 @@ def slot(key: Column, slots: int = SLOTS) -> Column:
 
 def place(rows: DataFrame, key: str, *, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, weights: dict[str, int] | None = None) -> DataFrame:
     """rows with the columns slot, shard and shard_name (renamed with a trailing _ where those exist)."""
-    names = []
-    for n in ("slot", "shard", "shard_name"):
-        while n in rows.columns:
-            n += "_"
-        names.append(n)
+    names = [free(n, rows.columns) for n in ("slot", "shard", "shard_name")]
     filled = list(enumerate(table(shards, slots, weights)))
     lookup = rows.sparkSession.createDataFrame([(s, i, shards[i]) for s, i in filled], f"`{names[0]}` int, `{names[1]}` int, `{names[2]}` string")
     return rows.withColumn(names[0], slot(F.col(key), slots)).join(F.broadcast(lookup), names[0]).select(*rows.columns, *names)
@@ -69,7 +65,8 @@ def place(rows: DataFrame, key: str, *, shards: tuple[str, ...] = SHARDS, slots:
 def write(rows: DataFrame, key: str, path: str, **options) -> DataFrame:
     """Writes rows to one folder a shard below path, each shard's rows spread by slot over tasks, and returns what was placed."""
     placed = place(rows, key, **options)
-    placed.repartition("slot").write.partitionBy("shard_name").parquet(path)
+    at, _, name = placed.columns[-3:]
+    placed.repartition(at).write.partitionBy(name).parquet(path)
     return placed
 
 

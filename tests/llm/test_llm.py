@@ -300,7 +300,8 @@ def test_language_id(spark, odd, empty):
     got = {r.doc_id: r for r in L.identify(L.evidence(df)).collect()}
     assert all(got[i]._language == ("en", "de", "fr", "es")[i % 4] and not got[i]._rejected for i in got) and len(got) == 120
     o = L.identify(L.evidence(odd)).select("text", "_rejected").collect()
-    assert all(r._rejected == (not (r.text or "").strip()) for r in o) and len(o) == len(ODD)
+    # blank texts, and one in a script outside the inventory; nearly all that the model knows is ODD[4]
+    assert {r.text for r in o if r._rejected} >= {None, "", " \n\t ", ODD[5]} and not any(r._rejected for r in o if r.text == ODD[4]) and len(o) == len(ODD)
     assert L.identify(L.evidence(empty)).count() == 0
     page = spark.createDataFrame([(1, "https://www.x.de/a", "<html lang='de-AT'><body>der die und</body></html>"), (2, None, None)], "page_id long, url string, html string")
     assert [(r._declared, r._host, r._suffix) for r in L.page_evidence(page).orderBy("page_id").collect()] == [("de-AT", "www.x.de", "de"), (None, "", "")]
@@ -345,3 +346,109 @@ def test_quality_band_rejects_another_script(spark):
     texts = [" ".join(words(80, s, 50)) for s in range(80)] + ["Жщ ъы эю ёя йц ук ен гш щз хъ фы ва пр ол дж э " * 3 + " ".join(f"ж{i}ъ" for i in range(60))]
     got = {x.doc_id: x.kept for x in Q.judge(docs(spark, texts)).collect()}
     assert not got[80] and sum(got.values()) == 80
+
+
+def test_pii_secrets_by_context(spark):
+    key = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    rows = {r.doc_id: (r.spans, r.scores) for r in P.digest(docs(spark, [f'the token = "{key}" of', f"commit {key} and more", "Kennwort: aaaaaaaaaaaaaaaaaaaaaaaa", f"mot de passe {key.lower()}"])).collect()}
+    assert rows == {0: ("secret:13:53", "0.8"), 1: ("", ""), 2: ("", ""), 3: ("secret:13:53", "0.8")}
+    assert P.redact(docs(spark, [f'token = "{key}"'])).first().text == 'token = "[SECRET]"'
+
+
+def test_sharding_write_with_clashing_names(spark, tmp_path):
+    df = spark.createDataFrame([(i, "mine", 5) for i in range(200)], "doc_id long, shard_name string, slot int")
+    H.write(df, "doc_id", f"{tmp_path}/out", shards=("a", "b", "c"), slots=101)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert {r["shard_name_"] for r in back.collect()} == {"a", "b", "c"} and back.where("shard_name = 'mine' and slot = 5").count() == 200
+
+
+def test_sharding_table_by_the_definition():
+    """Turns are taken one by one over permutations that are written out."""
+    names = tuple(f"n{i}" for i in range(5))
+    slots = 53
+    orders = [[(H._hash(s, "offset") % slots + k * (H._hash(s, "skip") % (slots - 1) + 1)) % slots for k in range(slots)] for s in names]
+    assert all(sorted(o) == list(range(slots)) for o in orders)
+    table, turn = {}, 0
+    while len(table) < slots:
+        table[next(x for x in orders[turn % 5] if x not in table)] = turn % 5
+        turn += 1
+    assert H.table(names, slots) == [table[i] for i in range(slots)]
+
+
+def test_decontamination_names_can_clash_and_empty_documents(spark, empty):
+    df = spark.createDataFrame([(1, "same text here", 7, "x", [3])], "doc_id long, text string, n_words int, hits string, items array<int>")
+    found = D.find(df, spark.createDataFrame([(1, "same text here")], "item_id long, text string"), keep=tuple(df.columns))
+    assert found.columns[-3:] == ["n_words_", "hits_", "items_"] and tuple(D.digest(found).first())[1:4] == (3, 3, 1)
+    assert D.digest(D.find(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string"))).count() == 0
+    long = docs(spark, ["word " * 40_000 + "same text here " + "word " * 40_000])
+    assert D.digest(D.find(long, spark.createDataFrame([(1, "same text here")], "item_id long, text string"))).first().n_hit == 3
+
+
+def test_language_id_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "the ring of the other thing", "en", "h", "u", 1, (1, "a"))], "doc_id long, text string, lang string, source string, _text string, _rejected int, `odd name` struct<`x y`:int,z:string>")
+    out = L.identify(L.evidence(df))
+    assert out.columns == [*df.columns, "_language", "_posterior", "_rejected_"] and out.first()["_text"] == "u" and out.first()["odd name"]["x y"] == 1
+
+
+def brute_posterior(rows, languages, trust, other, bits):
+    """rows: (text, declared, host).  Posterior of the best language by the formulas of the docstring, in plain Python."""
+    import math
+    from collections import Counter
+
+    def grams(t):
+        b = " ".encode() + re.sub(rb"[0-9]", b"0", (t or "").encode().lower()) + b" "
+        return [b[i : i + 3] for i in range(len(b) - 2) if any(0x61 <= x <= 0x7A or x >= 0x80 for x in b[i : i + 3])]
+
+    cell = lambda g: ((g[0] << 16 | g[1] << 8 | g[2]) * 2654435761 % 2**32) >> (32 - bits)
+    count = {l: Counter(cell(g) for t, d, _ in rows if d == l for g in grams(t)) for l in languages}
+    every = sum(count.values(), Counter())
+    mass = sum(every.values()) + 0.5 * 2**bits
+    hosts = {l: Counter(h for _, d, h in rows if d == l) for l in languages}
+    of_all = {l: sum(hosts[l].values()) for l in languages}
+    out = []
+    for t, d, h in rows:
+        g = grams(t)
+        logs = []
+        for l in languages:
+            total = sum(count[l].values())
+            mean = sum(math.log((1 - L.FLOOR) * (count[l][cell(x)] + L.OWN * (every[cell(x)] + 0.5) / mass) / (total + L.OWN) + L.FLOOR / 2**bits) for x in g) / max(len(g), 1)
+            base = 1 / len(languages)
+            for n, s in ((of_all[l], sum(of_all.values())), (of_all[l], sum(of_all.values())), (hosts[l][h], sum(hosts[k][h] for k in languages))):
+                base = (n + L.SHRINK * base) / (s + L.SHRINK)
+            told = 0 if d is None else math.log(L.DECLARED if d == l else (1 - L.DECLARED) / (len(languages) - 1))
+            logs.append(mean * min(len(g), trust) + math.log(base) + told)
+        rest = math.log(other) - bits * math.log(2) * min(len(g), trust)
+        best = max(logs)
+        out.append((languages[logs.index(best)], 1 / (sum(math.exp(x - best) for x in logs) + math.exp(rest - best))))
+    return out
+
+
+def test_language_posteriors_against_brute_force(spark):
+    text = {"en": "the ring of that", "de": "der schein und die", "fr": "le château été", "es": "la niña y el"}
+    rows = [(text[l][: 3 + i % 14] + str(i), l if i % 5 else None, f"h{i % 2}") for i, l in enumerate(("en", "de", "fr", "es") * 10)]
+    rows += [("zq xw kj", None, "h0"), ("der schein und", "en", "h1")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = [(r._language, r._posterior) for r in L.identify(L.evidence(df)).orderBy("doc_id").collect()]
+    want = brute_posterior(rows, L.LANGUAGES, L.TRUST, L.OTHER, L.BITS)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(abs(g[1] - w[1]) < 1e-4 for g, w in zip(got, want))
+
+
+def test_language_of_hidden_and_wrong_declarations(spark):
+    """On the documents: of half the rows the declaration is hidden, of every tenth it is wrong."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    wrong = F.when(F.col("doc_id") % 10 == 1, F.lit("de")).when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.col("lang"))
+    found = L.identify(L.evidence(rows.withColumn("told", wrong), declared="told")).select("doc_id", "lang", "told", "_language", "_rejected").collect()
+    hidden = [r for r in found if r.told is None]
+    misled = [r for r in found if r.told == "de" and r.lang != "de"]
+    right = lambda x: sum(r._language == r.lang for r in x) / len(x)
+    print("hidden", len(hidden), right(hidden), "wrong", len(misled), right(misled), "rejected", sum(r._rejected for r in found))
+    assert right(hidden) > 0.99 and right(misled) > 0.95 and sum(r._rejected for r in found) < 0.01 * len(found)
+
+
+def test_language_outside_the_inventory_is_rejected(spark):
+    text = {"en": "the ring of the other thing and that with this", "de": "der schein und die freiheit ist nicht über keit"}
+    rows = [(i, " ".join(r for r in random.Random(i).sample(text[l].split(), 8)) , l, "h") for i, l in enumerate(("en", "de") * 40)]
+    rows += [(100, "привет как дела сегодня вечером", None, "h"), (101, "!!! ... ???", "en", "h"), (102, "12 34 56", "en", "h")]
+    got = {r.doc_id: r._rejected for r in L.identify(L.evidence(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert all(got[i] for i in (100, 101, 102)) and not any(got[i] for i in range(80))
