@@ -11,9 +11,8 @@ from quarry.llm import common, decontamination, jaccard, language_id, pii, sente
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without readable text or a certain language go.  Columns as before."""
-    common.ready(spark)
-    found = language_id.identify(language_id.evidence(docs), keep=tuple(docs.columns))
-    return found.where(~F.col("_rejected")).select(*docs.columns)
+    found = language_id.identify(language_id.evidence(docs))
+    return found.where(~F.col(found.columns[-1])).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of the benchmark."""
     common.ready(spark)
-    found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns), prefix="_found_")
-    return found.where(F.size("_found_hits") == 0).select(*docs.columns)
+    found = decontamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(docs.columns))
+    return found.where(F.size(found.columns[-2]) == 0).select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
