@@ -4,27 +4,37 @@ A text up to CHUNK code points is encoded whole.  A longer one is cut into chunk
 each is encoded with offsets, and two neighbours are spliced at a position where both begin a
 pre-token.  Such a position is proven stable: pre-tokens are matched from left to right and a match
 looks at nothing before its start, so from a common start on both encodings agree with that of the
-whole text, as long as the left one is not affected by its own end.  MARGIN code points before that
-end are never used: no match, look-ahead or special string decides anything farther back.  Where an
+whole text, as long as the left one is not affected by its own end.  A margin of code points before that
+end is never used: no match, look-ahead or special string decides anything farther back.  Where an
 overlap holds no common start (one endless pre-token), the overlap is doubled, at last to the rest
 of the text.
 
+Two engines give encodings with offsets.  The library does for any tokenizer; its word ids tell where
+pre-tokens begin.  For a byte-level byte-pair tokenizer whose file is shown to say just what BytePairs
+does (no normaliser, the usual pre-tokenizer pattern without a prefix space, every merge makes the token of
+the next rank, each byte its own token, no dropout, prefix or fused unknowns, special strings
+without white space matched as they stand) the same vocabulary is run by an engine that is four times as fast.  There a
+token's length gives its offset, and a white-space character after another character is the start of a pre-token in every text,
+since no alternative of the pattern has white space behind anything else.
+
 Null and empty texts have 0 tokens and 0 bytes.  Repeated rows give repeated rows; extra columns
 are ignored.  Memory: one text and one chunk's encoding at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, pieces
 
-CHUNK = 1 << 16
-OVERLAP = 1 << 10
+CHUNK = 1 << 11
+OVERLAP = 1 << 7
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
 
@@ -47,38 +57,79 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-#: Strings on which the fast encoder must agree with the library before it is used.
-PROBES = ("", " a", "I'll they're  we\n\n x", "caf\u00e9 \u00fc\u00df\u4e2d\u6587 \U0001f600", "1234 $$$!!! a_b", "<|endoftext|> <|endoftext", "\t\u00a0\u2003x  ")
-
-
-def fast_counter(path: str, tokenizer) -> Callable[[list[str]], list[int]]:
-    """Token counts of whole short texts.
-
-    The same vocabulary and merge order, read from the tokenizer's own file, run by an engine that
-    is four times as fast and gives no offsets; used only if it agrees with the library on PROBES.
-    """
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: ASCII white space behind a word character: the start of a pre-token in any text.
+_STABLE = re.compile(r"(?<=\w)[ \t\n]")
+
+
+class BytePairs:
+    """Byte-level byte-pair encoding with offsets, from a tokenizer's own file."""
+
+    def __init__(self, model: dict) -> None:
+        import tiktoken
+
+        values = byte_values()
+        self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
+        ranks = {bytes(values[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in self.special}
+        self.engine = tiktoken.Encoding("counts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.lengths = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, dtype=np.int64)
+        for piece, i in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
+            self.lengths[i] = len(piece)
+
+    @staticmethod
+    def says_the_same(model: dict) -> bool:
+        """Whether a tokenizer's file says just what this class does."""
+        bpe, split = model["model"], model.get("pre_tokenizer") or {}
+        if bpe.get("type", "BPE") != "BPE" or model.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            return False
+        if bpe.get("dropout") or bpe.get("continuing_subword_prefix") or bpe.get("end_of_word_suffix") or bpe.get("byte_fallback") or bpe.get("ignore_merges"):
+            return False
+        vocab, special = bpe["vocab"], {x["content"] for x in model["added_tokens"]}
+        for x in model["added_tokens"]:
+            if x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") or re.search(r"\s", x["content"]):
+                return False
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in bpe["merges"]]
+        made = [vocab.get(a + b) for a, b in merges]
+        single = {k for k in vocab if len(k) == 1}
+        ordered = None not in made and all(x < y for x, y in zip(made, made[1:]))
+        return ordered and single == set(byte_values()) and {v for k, v in vocab.items() if k not in single and k not in special} == set(made) and max(vocab[k] for k in single) < min(made)
+
+    def count(self, text: str) -> int:
+        return len(self.engine.encode_to_numpy(text, allowed_special="all"))
+
+    def starts(self, text: str, low: int, high: int) -> tuple[int, dict[int, int]]:
+        """Number of tokens, and for stable positions (code points) from low to high the index of the token that begins there."""
+        ids = self.engine.encode_to_numpy(text, allowed_special="all")
+        begin = np.concatenate(([0], np.cumsum(self.lengths[ids])))
+        out, done, at = {}, 0, 0
+        for m in _STABLE.finditer(text, max(low, 1), max(high, 0)):
+            done, at = done + len(text[at : m.start()].encode("utf-8", "replace")), m.start()
+            k = int(np.searchsorted(begin, done))
+            if begin[k] == done:
+                out[at] = k
+        return len(ids), out
+
+
+class Library:
+    """The library's encodings."""
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+
+    def count(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def starts(self, text: str, low: int, high: int) -> tuple[int, dict[int, int]]:
+        found = self.tokenizer.encode(text, add_special_tokens=False)
+        return len(found.ids), {p: i for p, i in starts(found) if low <= p <= high}
+
+
+def engine(path: str, tokenizer) -> BytePairs | Library:
     import json
     from pathlib import Path
 
-    import tiktoken
-
-    def slow(texts: list[str]) -> list[int]:
-        return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     model = json.loads(Path(path).read_text(encoding="utf-8"))
-    special = {x["content"]: x["id"] for x in model["added_tokens"]}
-    values = byte_values()
-    try:
-        ranks = {bytes(values[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        engine = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    except (KeyError, ValueError):  # not a byte-level vocabulary
-        return slow
-
-    def fast(texts: list[str]) -> list[int]:
-        return [len(engine.encode_to_numpy(t, allowed_special="all")) for t in texts]
-
-    return fast if fast(list(PROBES)) == slow(list(PROBES)) else slow
+    return BytePairs(model) if BytePairs.says_the_same(model) else Library(tokenizer)
 
 
 def margin(tokenizer) -> int:
@@ -101,62 +152,53 @@ def starts(encoding) -> list[tuple[int, int]]:
     return out
 
 
-def count_long(text: str, encode: Callable, edge: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
-    """Tokens of a text from overlapping chunks."""
+def count_long(text: str, engine: BytePairs | Library, edge: int, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+    """Tokens of a text from overlapping chunks, and the number of splices."""
     if len(text) <= chunk:
-        return len(encode(text).ids)
-    total, at = 0, 0
-    left = encode(text[:chunk])
-    left_end = chunk
-    skip = 0  # tokens of left that an earlier chunk has counted
-    while left_end < len(text):
-        width = min(overlap, left_end - at - 1)
+        return engine.count(text), 0
+    total = splices = 0
+    begin, end, cut = 0, chunk, 0  # the left chunk, and where (in the text) its own part begins
+    while True:
+        last = end >= len(text)
+        size, known = engine.starts(text[begin:end], 0 if cut == begin else cut - begin, end - begin)
+        skip = 0 if cut == begin else known[cut - begin]
+        if last:
+            return total + size - skip, splices
+        width = overlap
         while True:
-            begin = left_end - width
-            if begin <= at:  # no common start in the whole chunk: take the chunk and the next one together
-                left_end = min(len(text), left_end + chunk)
-                left, joined = encode(text[at:left_end]), None
-                skip = 0 if skip == 0 else next(i for p, i in starts(left) if p == cut)
+            right = end - width
+            if right <= cut:  # no common start in the whole chunk: take it and the next one together
+                end = min(len(text), end + chunk)
                 break
-            right_end = min(len(text), begin + chunk)
-            right = encode(text[begin:right_end])
-            known = {at + p: i for p, i in starts(left) if begin < at + p <= left_end - edge}
-            joined = next(((known[begin + p], i, p) for p, i in starts(right) if begin + p in known), None)
-            if joined:
+            right_end = min(len(text), right + chunk)
+            _, theirs = engine.starts(text[right:right_end], 1, width - edge)
+            joined = next((right + p for p in sorted(theirs) if right + p - begin in known and right + p > cut), None)
+            if joined is not None:
+                total += known[joined - begin] - skip
+                splices += 1
+                begin, end, cut = right, right_end, joined
                 break
             width *= 2
-        if joined:
-            total += joined[0] - skip
-            left, skip, cut = right, joined[1], joined[2]
-            at, left_end = begin, right_end
-    return total + len(left.ids) - skip
 
 
-def count_tokens(docs: DataFrame, path: str, *, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row of docs (doc_id, text)."""
+def count_tokens(docs: DataFrame, path: str, *, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, fast: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, n_splices for each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = load(path)
-        edge, count = margin(tokenizer), fast_counter(path, tokenizer)
-
-        def encode(text: str):
-            return tokenizer.encode(text, add_special_tokens=False)
-
+        edge, own = margin(tokenizer), engine(path, tokenizer) if fast else Library(tokenizer)
         for batch in batches:
             for rows, texts in pieces(batch):
-                strings = [t.decode("utf-8", "surrogatepass") for t in texts]
-                short = [s for s in strings if len(s) <= chunk]
-                lengths = iter(count(short))
-                counts = [next(lengths) if len(s) <= chunk else count_long(s, encode, edge, chunk, overlap) for s in strings]
+                counts = [count_long(t.decode("utf-8", "surrogatepass"), own, edge, chunk, overlap) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts])],
-                    names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                    [rows.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([c for c, _ in counts], pa.int64()), pa.array([c > limit for c, _ in counts]), pa.array([k for _, k in counts], pa.int64())],
+                    names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_splices"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_splices long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

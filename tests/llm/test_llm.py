@@ -253,11 +253,11 @@ def test_token_counts_equal_the_library(spark, empty):
     library = Tokenizer.from_file(path)
     r = random.Random(1)
     bits = ["hello", " ", "  ", "\n", "'s", "'ll", "<|endoftext|>", "1234", "é", "!!!", "a" * 70, "x" * 300, "<|end", "oftext|>", "😀", "\t"]
-    texts = ["".join(r.choice(bits) for _ in range(r.randrange(300))) for _ in range(150)] + ODD[:4] + ODD[5:]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(300))) for _ in range(150)] + ODD + ["".join(r.choice(bits) for _ in range(9000)), "x" * 9000, "\u0441\u043b\u043e\u0432\u043e " * 3000, "\u4e2d\u6587" * 3000]
     want = {i: (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)}
-    for chunk, overlap in ((T.CHUNK, T.OVERLAP), (80, 20)):
-        got = {x.doc_id: (x.n_bytes, x.n_tokens) for x in T.count_tokens(docs(spark, texts), path, chunk=chunk, overlap=overlap).collect()}
-        assert got == want
+    for chunk, overlap, fast in ((T.CHUNK, T.OVERLAP, True), (80, 20, True), (400, 40, False)):
+        rows = T.count_tokens(docs(spark, texts), path, chunk=chunk, overlap=overlap, fast=fast).collect()
+        assert {x.doc_id: (x.n_bytes, x.n_tokens) for x in rows} == want and sum(x.n_splices for x in rows) > 10
     assert T.count_tokens(empty, path).count() == 0
 
 
@@ -452,3 +452,27 @@ def test_language_outside_the_inventory_is_rejected(spark):
     rows += [(100, "привет как дела сегодня вечером", None, "h"), (101, "!!! ... ???", "en", "h"), (102, "12 34 56", "en", "h")]
     got = {r.doc_id: r._rejected for r in L.identify(L.evidence(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
     assert all(got[i] for i in (100, 101, 102)) and not any(got[i] for i in range(80))
+
+
+def test_fast_engine_only_for_files_that_say_the_same():
+    import json
+    from pathlib import Path
+
+    model = json.loads(Path(public_tokenizers.path(T.TOKENIZER)).read_text())
+    assert T.BytePairs.says_the_same(model)
+    other = json.loads(json.dumps(model))
+    other["model"]["merges"][5], other["model"]["merges"][6] = other["model"]["merges"][6], other["model"]["merges"][5]
+    assert not T.BytePairs.says_the_same(other)
+    assert not T.BytePairs.says_the_same(model | {"normalizer": {"type": "NFC"}}) and not T.BytePairs.says_the_same(json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text()))
+
+
+def test_most_text_comes_through_splices(spark):
+    from tokenizers import Tokenizer
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    path = public_tokenizers.path(T.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r for r in T.count_tokens(rows, path).collect()}
+    texts = {r.doc_id: r.text or "" for r in rows.select("doc_id", "text").collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len(e.ids) for i, e in zip(texts, library.encode_batch(list(texts.values()), add_special_tokens=False))}
+    assert sum(r.n_bytes for r in got.values() if r.n_splices) > 0.5 * sum(r.n_bytes for r in got.values())
