@@ -331,15 +331,48 @@ def test_quality_against_brute_force(spark, empty):
     assert Q.judge(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    import numpy as np
-
-    r = np.random.default_rng(0)
-    code, n = np.unique(r.integers(0, 40, 3000) * 17 % (1 << 15), return_counts=True)
-    model = Q.kneser_ney(code, n, 3)
-    for context in (0, 5, 33, 17 * 3 >> 5):
-        p = Q.lookup(model, (context << 5) + np.arange(32), 3)
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+def brute_bits(train, score, order):
+    """Mean costs by the textbook's recursion."""
+    import math
+    from collections import Counter
+
+    fold = lambda t: "".join(" " if c.isspace() else "0" if c.isdecimal() else c.lower() if len(c.lower()) == 1 else c for c in t)
+    grams = lambda t: [(" " * (order - 1) + fold(t))[i : i + order] for i in range(len(t))]
+    tables = {order: Counter(g for t in train for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    d = {}
+    for k, t in tables.items():
+        n = [max(1, sum(c == j for c in t.values())) for j in range(1, 5)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d[k] = [0] + [min(max(j - (j + 1) * y * n[j] / n[j - 1], 0.05), j - 0.05) for j in (1, 2, 3)]
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(tables[1]) + 1)
+        own = [c for g, c in tables[k].items() if g[:-1] == gram[:-1]]
+        if not own:
+            return p(gram[1:])
+        c = tables[k].get(gram, 0)
+        weight = sum(d[k][min(x, 3)] for x in own) / sum(own)
+        return (c - d[k][min(c, 3)]) / sum(own) + weight * p(gram[1:])
+
+    symbols = {*"".join(fold(t) for t in train)}
+    return [round(sum(-math.log2(p(g)) for g in grams(t)) / len(t), 4) if t else None for t in score], [sum(p(c + s) for s in symbols) + p(c + "\u0416") for c in ("", "a", "ab", "th")]
+
+
+def test_kneser_ney_against_brute_force(spark):
+    r = random.Random(5)
+    train = ["".join(r.choice("abth e1\n\u00c9") for _ in range(40)) for _ in range(30)] + ["aaaa", "the the the", ""]
+    score = [*train[:8], "unseen w\u00f6rds ab", "a", "", "thE 2 bath\t\u4e2d"]
+    df, other = docs(spark, train), docs(spark, score)
+    model = Q.kneser_ney(Q.count_ngrams(df, order=3), 3)
+    want, whole = brute_bits(train, score, 3)
+    for told in (True, False):
+        got = {x.doc_id: x.bits for x in Q.score(other, model, order=3, told=told).collect()}
+        assert all((got[i] is None and w is None) or abs(got[i] - w) < 2e-4 for i, w in enumerate(want))
+    assert all(abs(x - 1) < 1e-9 for x in whole)
 
 
 def test_quality_band_rejects_another_script(spark):
