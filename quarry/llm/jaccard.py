@@ -18,8 +18,7 @@ counts them for each document; documents of equal sets are one node, one row in
    each vertical fragment separately (products of incidence matrices) and sums the parts for each pair.
    So each pair is tested exactly once.  Of the links only stars of the parts that hang together and each
    node's number leave the task: what is emitted grows with the rows and not with the pairs.
-4. Components of the links by label propagation with pointer jumping, each round written to the
-   shared folder.
+4. Components of the links by contraction: each round's edges and map are written to the shared folder.
 
 Sets are 64-bit shingle hashes and a node is named by a 64-bit hash of its set and size.
 
@@ -288,31 +287,44 @@ def cluster_edges(nodes: DataFrame, *, percent: int = PERCENT, few: int = FEW) -
     found = written(dealt.mapInArrow(run, ", ".join(f"{x} long" for x in NAMES)), "candidates")
     borders = sorted((r["partition"], r["side"], r["token"], r["n"], r["a"]) for r in found.where("token is not null").collect())  # two rows a task
     joined = [(x[4], y[4]) for x, y in zip(borders, borders[1:]) if x[0] != y[0] and x[2] == y[2] and y[3] * percent <= 100 * x[3]]
-    return found.where("token is null").select("a", "b").union(spark.createDataFrame(joined, "a long, b long")).distinct()
+    return found.where("token is null").select("a", "b").union(spark.createDataFrame(joined, "a long, b long"))
 
 
 NAMES = ["a", "b", "token", "n", "side", "partition"]
 
 
-def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """node, label: the least label reachable.  edges (a, b) both ways are made here; labels (node, label) has every node of an edge."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))), "edges")
-    state = written(labels.select("node", "label", F.col("node").alias("via")), "labels")
+def contracted(edges: DataFrame) -> DataFrame:
+    """node, root: for every node of the edges (a, b) the least node that it hangs together with.
+
+    Each round every node hangs on its least neighbour, ends of edges are renamed to where they hang, and edges
+    within one tree and doubles go: few are left after a round.  The rounds' maps are put together at the end.
+    """
+    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    levels = []
     while True:
-        around = both.join(state.select(F.col("node").alias("b"), F.col("label").alias("near"), F.col("via").alias("near_via")), "b")
-        best = around.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("near", "near_via")).alias("best"))
-        step = state.join(best, "node", "left").select("node", F.col("label").alias("old"), F.least(F.struct(F.col("label"), F.col("via")), F.struct(F.col("best.near").alias("label"), F.col("best.near_via").alias("via"))).alias("now"))
-        step = step.select("node", "old", F.col("now.label").alias("label"), F.col("now.via").alias("via"))
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("further"), F.col("via").alias("further_via"))
-        # the node a label came from may by now have a smaller one
-        new = step.join(jump, "via", "left").select("node", "old", F.least(F.struct(F.col("label"), F.col("via")), F.struct(F.col("further").alias("label"), F.col("further_via").alias("via"))).alias("now"))
-        new = written(new.select("node", "old", F.col("now.label").alias("label"), F.col("now.via").alias("via")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        dropped(state)
-        state = new
-        if not changed:
-            dropped(both)
-            return state.select("node", "label")
+        both = left.select("a", "b").union(left.select(F.col("b"), F.col("a")))
+        up = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("parent")), "parents")
+        levels.append(up)
+        told = hinted(up)
+        moved = left.join(told.select(F.col("node").alias("a"), F.col("parent").alias("x")), "a").join(told.select(F.col("node").alias("b"), F.col("parent").alias("y")), "b")
+        new = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        dropped(left)
+        left = new
+        if not left.limit(1).count():
+            dropped(left)
+            break
+    out = levels.pop().select("node", F.col("parent").alias("root"))
+    for up in reversed(levels):
+        further = hinted(out.select(F.col("node").alias("parent"), "root"))
+        out = up.join(further, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
+    return out
+
+
+def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label: the least label of the nodes that a node hangs together with.  labels: node, label."""
+    roots = written(labels.join(contracted(edges), "node", "left").select("node", "label", F.coalesce("root", "node").alias("root")), "roots")
+    least = roots.groupBy("root").agg(F.min("label").alias("least"))
+    return roots.join(hinted(least), "root").select("node", F.col("least").alias("label"))
 
 
 # --- overlaps --------------------------------------------------------------------------------
@@ -366,14 +378,14 @@ def block_links(node: np.ndarray, n: np.ndarray, copies: np.ndarray, sets: list[
     The overlap of every pair is summed over the vertical fragments; once no pair can reach what it needs, the rest is left out.
     """
     same = len(left) == len(right) and bool((left == right).all())
-    want = needed(n[left][:, None], n[right][None, :], percent)
+    want = needed(n[left][:, None], n[right][None, :], percent).astype(np.int32)
     found = np.zeros(want.shape, dtype=np.int32)
-    rest_left, rest_right = n[left].copy(), n[right].copy()
+    rest_left, rest_right = n[left].astype(np.int32), n[right].astype(np.int32)
     for f in range(len(at[0]) - 1):
         ours, theirs = ([sets[x][at[x][f] : at[x][f + 1]] for x in side.tolist()] for side in (left, right))
         found += overlaps(ours, theirs)
-        rest_left -= np.array([len(x) for x in ours])
-        rest_right -= np.array([len(x) for x in theirs])
+        rest_left -= np.array([len(x) for x in ours], dtype=np.int32)
+        rest_right -= np.array([len(x) for x in theirs], dtype=np.int32)
         if not (found + np.minimum(rest_left[:, None], rest_right[None, :]) >= want).any():
             break
     link = found >= want
@@ -438,12 +450,10 @@ def join(docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, count: in
     ready(docs.sparkSession)
     sketch = count_sketch(docs, size=size)
     base = written(prefixes(docs, sketch, size=size, percent=percent), "prefixes")
-    edges = written(cluster_edges(base.where("node is not null").select("node", "n", "prefix").dropDuplicates(["node"]), percent=percent, few=few), "candidates")
-    suspects = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    clusters = components(edges, suspects.select("node", F.col("node").alias("label"))).select("node", F.col("label").alias("cluster"))
+    edges = cluster_edges(base.where("node is not null").select("node", "n", "prefix").dropDuplicates(["node"]), percent=percent, few=few)
+    clusters = contracted(edges).select("node", F.col("root").alias("cluster"))
     named = base.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"), F.first("n").alias("n"))
     chosen = written(named.join(clusters, "node"), "suspects")
-    dropped(edges)
 
     sizes = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / block_shingles)).alias("blocks")).where("blocks > 1")
     dealt = chosen.join(hinted(sizes), "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("int"))
