@@ -35,6 +35,15 @@ BAD = [
     ("SELECT java_method('java.lang.Runtime', 'x') FROM dim_region", G.SECURITY),
     ("SELECT reflect('java.lang.System', 'exit') FROM dim_region", G.SECURITY),
     ("SELECT SLEEP(5) FROM dim_region", G.SECURITY),
+    ("SELECT `reflect`('java.util.UUID', 'randomUUID') FROM dim_region", G.SECURITY),
+    ("SELECT `java_method`('java.lang.System', 'getProperty', 'user.name') FROM dim_region", G.SECURITY),
+    ("SELECT region_name FROM dim_region WHERE region_name IN (SELECT `reflect`('a', 'b') FROM dim_line)", G.SECURITY),
+    ("SELECT region_name FROM dim_region ORDER BY `java_method`('a', 'b')", G.SECURITY),
+    ("SELECT `customer_name` FROM dim_customer", G.SECURITY),
+    ("SELECT current_user FROM dim_region", G.SECURITY),
+    ("SELECT `row_number`() OVER (ORDER BY net) FROM fact_sales", G.SECURITY),
+    ("SELECT no_such_column FROM dim_region", G.REPAIRABLE),
+    ("SELECT region_name FROM dim_region ORDER BY no_such_column", G.REPAIRABLE),
     ("SELECT id FROM range(3)", G.SECURITY),
     ("SELECT f.net FROM fact_sales f, dim_region r", G.REPAIRABLE),
     ("SELECT f.net FROM fact_sales f CROSS JOIN dim_region r", G.REPAIRABLE),
