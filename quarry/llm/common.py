@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -75,16 +77,17 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of an Arrow batch of about limit bytes of text each, with their texts."""
-    texts = utf8(batch.column(batch.schema.get_field_index(column)))
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= limit:
-            yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield batch.slice(at), texts[at:]
+    """Slices of an Arrow batch of about limit bytes of text each, with their texts; only a slice's texts are copied."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    whole = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        before = whole[at - 1] if at else 0
+        end = int(np.searchsorted(whole, before + limit)) + 1
+        yield batch.slice(at, end - at), utf8(texts.slice(at, end - at))
+        at = end
+    pa.default_memory_pool().release_unused()  # a worker lives on and keeps what it once needed
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +95,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Spark's setting for the bytes of an Arrow batch, and its default.
+BATCH, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, unless their own path has it."""
+    """Let Python workers import this package from where the driver has it, unless their own path has it.
+
+    Arrow batches are bounded by bytes too, unless the session says otherwise: to 4 MB, for each of a stage's workers and tasks holds several.
+    """
     import os
     from pathlib import Path
 
+    if spark.conf.get(BATCH) == DEFAULT:
+        spark.conf.set(BATCH, "4m")
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)

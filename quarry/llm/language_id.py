@@ -83,7 +83,9 @@ def evidence(rows: DataFrame, *, text: str = "text", declared: str | None = "lan
     name = F.col(host).cast("string") if host else (address if url else F.lit(None).cast("string"))
     suffix = F.regexp_extract(address, r"\.([a-z]+)$", 1) if url else F.lit(None).cast("string")
     tag = F.col(declared).cast("string") if declared else F.lit(None).cast("string")
-    return rows.select(F.struct("*").alias("_row"), F.col(text).cast("string").alias("_text"), tag.alias("_declared"), F.coalesce(name, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
+    # the text itself stands in _row as null, not twice
+    row = F.struct(*(F.lit(None).cast("string").alias(c) if c == text and rows.schema[c].dataType == T.StringType() else F.col(f"`{c}`").alias(c) for c in rows.columns))
+    return rows.select(row.alias("_row"), F.col(text).cast("string").alias("_text", metadata={"column": text}), tag.alias("_declared"), F.coalesce(name, F.lit("")).alias("_host"), F.coalesce(suffix, F.lit("")).alias("_suffix"))
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
@@ -202,7 +204,9 @@ def identify(rows: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, keep: t
     slim = rows.select(kept.alias("_row"), "_text", "_declared", "_host", "_suffix")
     scored = fused(with_likelihoods(slim, model), host_priors(rows, languages=languages), languages=languages)
     names = [free(c, keep) for c in ("_language", "_posterior", "_rejected")]
-    return scored.select(*(F.col("_row")[c].alias(c) for c in keep), *(F.col(c).alias(n) for c, n in zip(("_language", "_posterior", "_rejected"), names)))
+    text = rows.schema["_text"].metadata.get("column")
+    whole = text in keep and rows.schema["_row"].dataType[text].dataType == T.StringType()
+    return scored.select(*(F.col("_text").alias(c) if whole and c == text else F.col("_row")[c].alias(c) for c in keep), *(F.col(c).alias(n) for c, n in zip(("_language", "_posterior", "_rejected"), names)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
