@@ -93,24 +93,43 @@ def too_early(cutoff: Column, period: Column) -> Column:
     return cutoff.isNotNull() & (cutoff < F.date_sub(periods.end_column(period), 1))
 
 
+def met(rows: DataFrame, *, left: bool) -> DataFrame:
+    """rows with _period and _scope, join keys of which exactly one is shared by two rows that may be compared.
+
+    A known value is "=value" on both sides.  The left side's unknown is "<", which every right row
+    carries too; the right side's unknown is ">", which every known left row carries too.  So the
+    wildcards are an equality join, of at most four rows a row, and no pair comes twice.
+    """
+    own, other = ("<", ">") if left else (">", "<")
+
+    def keys(known: Column) -> Column:
+        if left:
+            return F.when(known.isNull(), F.array(F.lit(own))).otherwise(F.array(F.concat(F.lit("="), known), F.lit(other)))
+        return F.array(F.coalesce(F.concat(F.lit("="), known), F.lit(own)), F.lit(other))
+
+    named = F.when(F.size("scope") > 0, F.to_json(F.array_sort(F.map_entries("scope"))))
+    return rows.withColumn("_period", F.explode(keys(F.upper("period")))).withColumn("_scope", F.explode(keys(named)))
+
+
 def conflicts(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """kind, claim_id, fact_id, metric, delta.
 
-    Claims and facts meet on the metric; scopes must be comparable and periods equal, an unknown one
-    on either side passes.  A claim whose cutoff is too early is a TIME conflict, once for each
-    evidence and metric, and no VALUE conflict besides; a VALUE conflict exceeds the tolerance.
+    Claims and facts meet on metric, period and scope, an unknown period or an empty scope passes on
+    either side.  A claim whose cutoff is too early is a TIME conflict, once for each document (its
+    logical_key where the claims have one, else its evidence), period and cutoff, and no VALUE conflict
+    besides; a VALUE conflict exceeds the tolerance.
     """
-    c, f = claims.alias("c"), facts.alias("f")
-    period = F.col("c.period").isNull() | F.col("f.period").isNull() | (F.upper("c.period") == F.upper("f.period"))
-    pairs = c.join(f, F.col("c.metric") == F.col("f.metric")).where(period & comparable(F.col("c.scope"), F.col("f.scope")))
+    document = F.coalesce("logical_key", "evidence_id") if "logical_key" in claims.columns else F.col("evidence_id")
+    c = met(claims.withColumn("_document", document), left=True).alias("c")
+    pairs = c.join(met(facts, left=False).alias("f"), ["metric", "_period", "_scope"])
     base = F.col("f.value")
     value = in_base_units(F.col("c.value"), F.col("c.unit"))
     early = too_early(F.col("c.cutoff"), F.coalesce("c.period", "f.period"))
-    rows = pairs.select(F.when(early, "TIME").when(F.abs(value - base) > numbers.tolerance(base), "VALUE").alias("kind"), F.col("c.claim_id"), F.col("f.fact_id"), F.col("c.metric"), F.round(value - base, 4).alias("delta"), F.col("c.evidence_id"))
+    rows = pairs.select(F.when(early, "TIME").when(F.abs(value - base) > numbers.tolerance(base), "VALUE").alias("kind"), F.col("c.claim_id"), F.col("f.fact_id"), F.col("metric"), F.round(value - base, 4).alias("delta"), F.col("c._document"), F.upper("c.period").alias("_claimed"), F.col("c.cutoff").alias("_cutoff"))
     rows = rows.where("kind is not null")
-    w = Window.partitionBy("evidence_id", "metric").orderBy("claim_id", "fact_id")
+    w = Window.partitionBy("_document", "_claimed", "_cutoff").orderBy("claim_id", "fact_id")
     time = rows.where("kind = 'TIME'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    return rows.where("kind = 'VALUE'").unionByName(time).drop("evidence_id")
+    return rows.where("kind = 'VALUE'").unionByName(time).drop("_document", "_claimed", "_cutoff")
 
 
 def definition_conflicts(documents: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -152,17 +152,25 @@ def table_positions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_no", F.row_number().over(w.orderBy("char_start", "chunk_id"))).withColumn("n_rows", F.count("*").over(w))
 
 
-def completed(hits: DataFrame, rows: DataFrame, *, most: int = TABLE_ROWS, cap: int = FUSED) -> DataFrame:
+def completed(hits: DataFrame, rows: DataFrame, *, query: str | None = None, most: int = TABLE_ROWS, cap: int = FUSED) -> DataFrame:
     """Hits with the missing rows of partly found tables; added rows have no score and are marked.
 
-    The cap is the answer's size, by the order of table and place.
+    The cap is the size of one answer's additions, by the order of table and place: of each query where
+    hits name one in the column query, else of all hits together.
     """
     placed = table_positions(rows)
-    found = placed.join(hits.select("chunk_id"), "chunk_id", "left_semi").groupBy(*TABLE).agg(F.count("*").alias("covered"), F.first("n_rows").alias("total"))
-    partly = found.where((F.col("covered") > 0) & (F.col("covered") < F.col("total")) & (F.col("total") <= most)).select(*TABLE)
-    added = placed.join(partly, TABLE, "left_semi").join(hits.select("chunk_id"), "chunk_id", "left_anti")
-    added = added.orderBy(*TABLE, "row_no").limit(cap).select("chunk_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("expanded"))
-    return hits.select("chunk_id", "score", F.lit(False).alias("expanded")).unionByName(added)
+    own = [query] if query else []
+    hit = hits.select(*own, "chunk_id").distinct()
+    found = placed.join(hit, "chunk_id").groupBy(*own, *TABLE).agg(F.count("*").alias("covered"), F.first("n_rows").alias("total"))
+    partly = found.where((F.col("covered") > 0) & (F.col("covered") < F.col("total")) & (F.col("total") <= most)).select(*own, *TABLE)
+    added = placed.join(partly, TABLE).join(hit, [*own, "chunk_id"], "left_anti")
+    if query:
+        w = Window.partitionBy(query).orderBy(*TABLE, "row_no")
+        added = added.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap)
+    else:
+        added = added.orderBy(*TABLE, "row_no").limit(cap)
+    added = added.select(*own, "chunk_id", F.lit(None).cast("double").alias("score"), F.lit(True).alias("expanded"))
+    return hits.select(*own, "chunk_id", "score", F.lit(False).alias("expanded")).unionByName(added)
 
 
 __all__ = ["best_over_queries", "completed", "dense_top", "effective", "fused", "permitted", "refused", "reranked", "rewritten", "table_positions", "unseen_topics"]

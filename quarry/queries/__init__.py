@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from quarry.queries import corpus, governed, sales, trails
+from quarry.queries import checks, corpus, governed, sales, trails
 from quarry.queries.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "corpus", "governed", "sales", "trails"]
+__all__ = ["ORACLE", "QUERIES", "checks", "corpus", "governed", "sales", "trails"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -11,12 +10,13 @@ from quarry.operators import retrieval as R
 from quarry.operators import vocabulary as V
 from quarry.queries.registry import query
 from quarry.sources import files
+from quarry.sources.shared import settled
 from quarry.sources.tables import raw
 
-WORDS = "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents), tf AS (SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, unnest(words) AS token FROM docs) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)"
+WORDS = "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM documents), tf AS (SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, unnest(words) AS token FROM docs) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)"
 NUMBERED = "ids AS (SELECT token, df, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM df)"
 WEIGHTS = "w AS (SELECT doc_id, token_id, (1 + ln(c)) / (1 + ln(max(c) OVER (PARTITION BY doc_id))) * idf AS w FROM tf LEFT JOIN ids USING (token))"
-QUESTIONS = "q AS (SELECT item_id, token, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY 1, 2), qw AS (SELECT item_id, token_id, (1 + ln(c)) / (1 + ln(m)) * idf AS w FROM (SELECT *, max(c) OVER (PARTITION BY item_id) AS m FROM q) JOIN ids USING (token))"
+QUESTIONS = "q AS (SELECT item_id, token, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM benchmark) GROUP BY 1, 2), qw AS (SELECT item_id, token_id, (1 + ln(c)) / (1 + ln(m)) * idf AS w FROM (SELECT *, max(c) OVER (PARTITION BY item_id) AS m FROM q) JOIN ids USING (token))"
 SCORES = "s AS (SELECT item_id, doc_id, round(sum(qw.w * w.w), 6) AS score FROM qw JOIN w USING (token_id) GROUP BY 1, 2 HAVING round(sum(qw.w * w.w), 6) > 0), top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20)"
 
 
@@ -25,22 +25,33 @@ def sql(body: str, *ctes: str) -> str:
 
 
 def worded(spark, sf, table="documents", key="doc_id"):
-    return raw(spark, sf, table).select(key, X.latin_words(F.col("text")).alias("words"))
+    return raw(spark, sf, table).select(key, X.letter_words(F.col("text")).alias("words"))
 
 
 def vocabulary(spark, sf):
-    docs = raw(spark, sf, "documents")
-    return V.with_idf(V.with_ids(V.document_frequency(worded(spark, sf))), docs.count())
+    return V.with_idf(settled(V.with_ids(V.document_frequency(worded(spark, sf)))), raw(spark, sf, "documents").count())
 
 
 def weights(spark, sf, vocab):
     return V.sparse_weights(V.postings(worded(spark, sf), "doc_id"), vocab, "doc_id")
 
 
+def asked_tokens(spark, sf):
+    return V.postings(worded(spark, sf, "benchmark", "item_id"), "item_id")
+
+
 def sparse_hits(spark, sf):
+    """Vocabulary and hits are written once: the texts are cut into tokens twice, for the vocabulary and for the weights."""
     vocab = vocabulary(spark, sf)
-    asked = V.sparse_weights(V.postings(worded(spark, sf, "benchmark", "item_id"), "item_id"), vocab, "item_id")
-    return V.top(V.sparse_scores(asked, weights(spark, sf, vocab), "item_id", "doc_id"), "item_id", "doc_id", 20)
+    asked = V.sparse_weights(asked_tokens(spark, sf), vocab, "item_id")
+    return settled(V.top(V.sparse_scores(asked, weights(spark, sf, vocab), "item_id", "doc_id"), "item_id", "doc_id", 20))
+
+
+def shared_hits(spark, sf):
+    """The twenty documents with the most different tokens in common: a list that knows neither counts nor rarity."""
+    words = worded(spark, sf).select("doc_id", F.explode(F.array_distinct("words")).alias("token"))
+    common = asked_tokens(spark, sf).select("item_id", "token").join(words, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    return settled(V.top(common, "item_id", "doc_id", 20))
 
 
 @query("doc_frequency", sql("SELECT token, df FROM df", WORDS))
@@ -58,7 +69,7 @@ def vocab_ids(spark, sf):
     return V.with_ids(V.document_frequency(worded(spark, sf)))
 
 
-@query("vocab_append", sql("SELECT token, df, CASE WHEN old THEN row_number() OVER (PARTITION BY old ORDER BY df DESC, token) - 1 ELSE (SELECT count(*) FROM b) + row_number() OVER (PARTITION BY old ORDER BY df DESC, token) - 1 END AS token_id FROM (SELECT token, df, true AS old FROM b UNION ALL SELECT token, df, false FROM df WHERE token NOT IN (SELECT token FROM b))", WORDS, "b AS (SELECT token, count(DISTINCT item_id) AS df FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY 1)"))
+@query("vocab_append", sql("SELECT token, df, CASE WHEN old THEN row_number() OVER (PARTITION BY old ORDER BY df DESC, token) - 1 ELSE (SELECT count(*) FROM b) + row_number() OVER (PARTITION BY old ORDER BY df DESC, token) - 1 END AS token_id FROM (SELECT token, df, true AS old FROM b UNION ALL SELECT token, df, false FROM df WHERE token NOT IN (SELECT token FROM b))", WORDS, "b AS (SELECT token, count(DISTINCT item_id) AS df FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM benchmark) GROUP BY 1)"))
 def vocab_append(spark, sf):
     """The benchmark's vocabulary is frozen; the documents' new tokens come after it."""
     known = V.with_ids(V.document_frequency(worded(spark, sf, "benchmark", "item_id")))
@@ -75,9 +86,9 @@ def sparse_weights(spark, sf):
     return weights(spark, sf, vocabulary(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("total"))
 
 
-@query("sparse_topk", sql("SELECT item_id, doc_id, round(score, 4) AS score, rank FROM top", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES))
+@query("sparse_topk", sql("SELECT item_id, doc_id, score, rank FROM top", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES))
 def sparse_topk(spark, sf):
-    return sparse_hits(spark, sf).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return sparse_hits(spark, sf).select("item_id", "doc_id", "score", "rank")
 
 
 DENSE = "dt AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dt QUALIFY rank <= 20)"
@@ -99,23 +110,21 @@ def dense_best(spark, sf):
     return R.best_over_queries(dense_hits(spark, sf), "vec_id").select("vec_id", F.round("score", 4).alias("score"))
 
 
-FUSE = "by_length AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM top JOIN documents USING (doc_id) JOIN benchmark b USING (item_id)), l AS (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM by_length), rrf AS (SELECT item_id, doc_id, round(CAST(sum(CAST(round(1.0 / (60 + rank), 12) AS DECIMAL(20,12))) AS DOUBLE), 12) AS rrf FROM l GROUP BY 1, 2)"
+SHARED = "shared AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS score FROM q JOIN tf USING (token) GROUP BY 1, 2) QUALIFY rank <= 20)"
+FUSE = "l AS (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM shared), rrf AS (SELECT item_id, doc_id, round(CAST(sum(CAST(round(1.0 / (60 + rank), 12) AS DECIMAL(20,12))) AS DOUBLE), 12) AS rrf FROM l GROUP BY 1, 2)"
 
 
-@query("rrf_fusion", sql("SELECT item_id, doc_id, round(rrf, 8) AS rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS place FROM rrf QUALIFY place <= 30", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES, FUSE))
+@query("rrf_fusion", sql("SELECT item_id, doc_id, round(rrf, 8) AS rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS place FROM rrf QUALIFY place <= 30", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES, SHARED, FUSE))
 def rrf_fusion(spark, sf):
-    """The sparse list, and the same documents by how near their length is to the question's."""
-    hits = sparse_hits(spark, sf)
-    size = raw(spark, sf, "benchmark").select("item_id", F.length("text").alias("size"))
-    near = hits.join(raw(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id").join(size, "item_id")
-    w = Window.partitionBy("item_id").orderBy(F.abs(F.col("n_chars") - F.col("size")), "doc_id")
-    return R.fused([hits, near.withColumn("rank", F.row_number().over(w))], "item_id", "doc_id").select("item_id", "doc_id", F.round("rrf", 8).alias("rrf"), "place")
+    """The sparse list and the list of shared tokens."""
+    return R.fused([sparse_hits(spark, sf), shared_hits(spark, sf)], "item_id", "doc_id").select("item_id", "doc_id", F.round("rrf", 8).alias("rrf"), "place")
 
 
-@query("recall_at_k", sql("SELECT item_id AS query_id, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM top t WHERE t.item_id = e.item_id AND rank <= 8) THEN 1 ELSE 0 END), 6) AS recall, count(*) AS expected FROM (SELECT item_id, doc_id FROM top WHERE rank <= 10) e GROUP BY 1", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES))
+@query("recall_at_k", sql("SELECT item_id AS query_id, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM top t WHERE t.item_id = e.item_id AND rank <= 8) THEN 1 ELSE 0 END), 6) AS recall, count(*) AS expected FROM (SELECT item_id, doc_id FROM shared WHERE rank <= 10) e GROUP BY 1", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES, SHARED))
 def recall_at_k(spark, sf):
     hits = sparse_hits(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key"), "rank")
-    return Q.recall_at(hits.where("rank <= 10").select("query_id", "key"), hits, 8)
+    wanted = shared_hits(spark, sf).where("rank <= 10").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key"))
+    return Q.recall_at(wanted, hits, 8)
 
 
 @query("content_hash", "SELECT doc_id, sha256(text) AS hash, length(text) AS chars FROM documents")
@@ -180,10 +189,10 @@ def injection_kept_as_text(spark, sf):
     return raw(spark, sf, "documents").select("doc_id", F.lower(t).contains("ignore").alias("mentions"), t.rlike("https?://").alias("has_link"))
 
 
-@query("heading_and_caption_lines", "SELECT doc_id, count(*) AS n_lines, count(CASE WHEN regexp_matches(line, '^(\\d+(\\.\\d+)*[.、\\s]|##+\\s)') THEN 1 END) AS numbered, count(CASE WHEN regexp_matches(line, '^表[：:]') THEN 1 END) AS captions FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
+@query("heading_and_caption_lines", "SELECT doc_id, count(*) AS n_lines, count(CASE WHEN regexp_matches(line, '^([一二三四五六七八九十]+、|第[一二三四五六七八九十]+[章条]|（[一二三四五六七八九十]+）)') THEN 1 END) AS numbered, count(CASE WHEN regexp_matches(line, '^表[：:]') THEN 1 END) AS captions FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
 def heading_and_caption_lines(spark, sf):
     lines = raw(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(X.heading_level(F.col("line")) == 2, 1)).alias("numbered"), F.count(X.table_caption(F.col("line"))).alias("captions"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count(F.when(X.heading_level(F.col("line")) > 0, 1)).alias("numbered"), F.count(X.table_caption(F.col("line"))).alias("captions"))
 
 
 @query("format_detection", "SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'HTML' WHEN url LIKE '%.pdf' THEN 'PDF' WHEN url LIKE '%.txt' THEN 'TXT' END AS format, sha256(html) AS checksum, strlen(html) <= 52428800 AS accepted FROM pages")

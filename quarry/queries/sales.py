@@ -24,23 +24,23 @@ def sql(body: str, *ctes: str) -> str:
 @query("net_sales_region_quarter", sql(f"SELECT region_name, {D.format('net')} AS net_sales FROM fact WHERE order_date >= DATE '1997-07-01' AND order_date < DATE '1997-10-01' AND region_name = 'ASIA' GROUP BY 1"))
 def net_sales_region_quarter(spark, sf):
     start, end = map(str, periods.bounds("1997-Q3"))
-    return A.total_by(T.sales(spark, sf, start=start, end=end).where("region_name = 'ASIA'"), "region_name")
+    return A.total_by(T.sales(spark, sf, start=start, end=end, dims=("customer",)).where("region_name = 'ASIA'"), "region_name")
 
 
 @query("net_sales_by_region", sql(f"SELECT region_name, {D.format('net')} AS net_sales FROM fact WHERE order_date >= DATE '1997-01-01' AND order_date < DATE '1998-01-01' GROUP BY 1"))
 def net_sales_by_region(spark, sf):
-    return A.total_by(T.sales(spark, sf, start="1997-01-01", end="1998-01-01"), "region_name")
+    return A.total_by(T.sales(spark, sf, start="1997-01-01", end="1998-01-01", dims=("customer",)), "region_name")
 
 
 @query("net_sales_by_channel", sql(f"SELECT channel, {D.format('net')} AS net_sales, {D.format('gross')} AS gross_sales FROM fact GROUP BY 1"))
 def net_sales_by_channel(spark, sf):
-    return A.total_by(T.sales(spark, sf), "channel", net_sales="net", gross_sales="gross")
+    return A.total_by(T.sales(spark, sf, dims=("customer",)), "channel", net_sales="net", gross_sales="gross")
 
 
 @query("net_sales_by_line", sql(f"SELECT line, {D.format('net')} AS net_sales FROM fact WHERE order_date >= DATE '1996-01-01' AND order_date < DATE '1996-07-01' GROUP BY 1"))
 def net_sales_by_line(spark, sf):
     start, end = map(str, periods.bounds("1996-H1"))
-    return A.total_by(T.sales(spark, sf, start=start, end=end), "line")
+    return A.total_by(T.sales(spark, sf, start=start, end=end, dims=("product",)), "line")
 
 
 @query("net_sales_region_line", sql(f"SELECT region_name, line, {D.format('net')} AS net_sales, {D.format('discount')} AS discount, {D.format('returned')} AS returned FROM fact GROUP BY 1, 2"))
@@ -50,47 +50,47 @@ def net_sales_region_line(spark, sf):
 
 @query("top_month", sql(f"SELECT strftime(order_date, '%Y-%m') AS month, {D.format('net')} AS net_sales FROM fact WHERE order_date >= DATE '1997-01-01' AND order_date < DATE '1998-01-01' GROUP BY 1 ORDER BY net_sales DESC, month LIMIT 1"))
 def top_month(spark, sf):
-    fact = T.sales(spark, sf, start="1997-01-01", end="1998-01-01").withColumn("month", periods.token_column(F.col("order_date"), "month"))
+    fact = T.sales(spark, sf, start="1997-01-01", end="1998-01-01", dims=()).withColumn("month", periods.token_column(F.col("order_date"), "month"))
     return A.total_by(fact, "month").orderBy(F.desc("net_sales"), "month").limit(1)
 
 
 @query("order_count", sql("SELECT count(order_key) AS order_count, count(DISTINCT order_key) AS distinct_orders FROM fact WHERE region_name = 'EUROPE' AND order_date >= DATE '1997-07-01' AND order_date < DATE '1997-10-01'"))
 def order_count(spark, sf):
-    return T.sales(spark, sf, start="1997-07-01", end="1997-10-01").where("region_name = 'EUROPE'").agg(F.count("order_key").alias("order_count"), F.countDistinct("order_key").alias("distinct_orders"))
+    return T.sales(spark, sf, start="1997-07-01", end="1997-10-01", dims=("customer",)).where("region_name = 'EUROPE'").agg(F.count("order_key").alias("order_count"), F.countDistinct("order_key").alias("distinct_orders"))
 
 
 @query("top_return_region", sql(f"SELECT region_name, {D.format('returned')} AS returned FROM fact GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"))
 def top_return_region(spark, sf):
-    return A.total_by(T.sales(spark, sf), "region_name", returned="returned").orderBy(F.desc("returned"), "region_name").limit(1)
+    return A.total_by(T.sales(spark, sf, dims=("customer",)), "region_name", returned="returned").orderBy(F.desc("returned"), "region_name").limit(1)
 
 
 @query("annual_net_sales", sql(f"SELECT year(order_date) AS year, {D.format('net')} AS net_sales, round(avg(CAST(net AS DOUBLE)), 4) AS mean_line, CAST(min(net) AS DOUBLE) AS least, CAST(max(net) AS DOUBLE) AS most FROM fact GROUP BY 1"))
 def annual_net_sales(spark, sf):
     exact_mean = F.round(F.sum("net").cast("double") / F.count("net"), 4)
-    return T.sales(spark, sf).groupBy(F.year("order_date").cast("long").alias("year")).agg(A.money("net").alias("net_sales"), exact_mean.alias("mean_line"), F.min("net").cast("double").alias("least"), F.max("net").cast("double").alias("most"))
+    return T.sales(spark, sf, dims=()).groupBy(F.year("order_date").cast("long").alias("year")).agg(A.money("net").alias("net_sales"), exact_mean.alias("mean_line"), F.min("net").cast("double").alias("least"), F.max("net").cast("double").alias("most"))
 
 
 YOY = f"yoy AS (SELECT region_name, line, {D.format('CASE WHEN order_date >= DATE $$1997-07-01$$ AND order_date < DATE $$1997-10-01$$ THEN net END')} AS c, {D.format('CASE WHEN order_date >= DATE $$1996-07-01$$ AND order_date < DATE $$1996-10-01$$ THEN net END')} AS p FROM fact GROUP BY GROUPING SETS ((region_name), (line)))".replace("$$", "'")
 NOW, BEFORE = ("1997-07-01", "1997-10-01"), ("1996-07-01", "1996-10-01")
 
 
-def two_quarters(spark, sf):
-    return T.sales(spark, sf, start=BEFORE[0], end=NOW[1])
+def two_quarters(spark, sf, *dims):
+    return T.sales(spark, sf, start=BEFORE[0], end=NOW[1], dims=dims)
 
 
 @query("yoy_region_quarter", sql("SELECT region_name, c AS current_sales, p AS previous_sales, round(c / nullif(p, 0) - 1, 6) AS yoy FROM yoy WHERE region_name IS NOT NULL", YOY))
 def yoy_region_quarter(spark, sf):
-    return A.year_over_year(two_quarters(spark, sf), NOW, BEFORE, "region_name")
+    return A.year_over_year(two_quarters(spark, sf, "customer"), NOW, BEFORE, "region_name")
 
 
 @query("region_delta_contribution", sql("SELECT region_name, round(coalesce(c, 0) - coalesce(p, 0), 2) AS delta, round((coalesce(c, 0) - coalesce(p, 0)) / (SELECT CAST(sum(CAST(coalesce(c, 0) - coalesce(p, 0) AS DECIMAL(28,4))) AS DOUBLE) FROM yoy WHERE region_name IS NOT NULL), 6) AS contribution FROM yoy WHERE region_name IS NOT NULL", YOY))
 def region_delta_contribution(spark, sf):
-    return A.delta_contribution(A.year_over_year(two_quarters(spark, sf), NOW, BEFORE, "region_name"), "region_name")
+    return A.delta_contribution(A.year_over_year(two_quarters(spark, sf, "customer"), NOW, BEFORE, "region_name"), "region_name")
 
 
 @query("line_vs_peers", sql("SELECT a.line, a.y AS yoy, max(b.y) AS best_other, coalesce(max(b.y) - a.y >= 0.2, false) AS anomalous FROM z a JOIN z b ON a.line <> b.line GROUP BY 1, 2", YOY, "z AS (SELECT line, round(c / nullif(p, 0) - 1, 6) AS y FROM yoy WHERE line IS NOT NULL)"))
 def line_vs_peers(spark, sf):
-    return A.against_peers(A.year_over_year(two_quarters(spark, sf), NOW, BEFORE, "line"), "line")
+    return A.against_peers(A.year_over_year(two_quarters(spark, sf, "product"), NOW, BEFORE, "line"), "line")
 
 
 TARGET = "target AS (SELECT CAST(date_trunc('month', order_date) + INTERVAL 12 MONTH AS DATE) AS period_month, region_name, line, round(CAST(sum(net) AS DOUBLE) * 1.05, 2) AS target FROM fact GROUP BY 1, 2, 3)"
@@ -109,13 +109,14 @@ def target_derivation(spark, sf):
     ),
 )
 def target_achievement(spark, sf):
-    fact = T.sales(spark, sf)
-    return A.achievement(fact.withColumn("period_month", F.trunc("order_date", "month")), T.targets(fact), ["period_month", "region_name"])
+    # by month once: actual figures and targets read the same exchange
+    fact = T.sales(spark, sf).groupBy(F.trunc("order_date", "month").alias("order_date"), "region_key", "region_name", "line").agg(F.sum("net").alias("net"))
+    return A.achievement(fact.withColumn("period_month", F.col("order_date")), T.targets(fact), ["period_month", "region_name"])
 
 
 @query("share_of_total", sql(f"SELECT category, v AS net_sales, round(v / (SELECT CAST(sum(CAST(v AS DECIMAL(28,4))) AS DOUBLE) FROM t), 6) AS share FROM t", f"t AS (SELECT category, {D.format('net')} AS v FROM fact GROUP BY 1)"))
 def share_of_total(spark, sf):
-    return A.shares(A.total_by(T.sales(spark, sf), "category"), "category", "net_sales")
+    return A.shares(A.total_by(T.sales(spark, sf, dims=("product",)), "category"), "category", "net_sales")
 
 
 MEASURES = ", ".join(f"{D.format(x)} AS {x}" for x in ("net", "gross", "discount", "returned")) + ", count(*) AS n_lines"
@@ -123,7 +124,7 @@ MEASURES = ", ".join(f"{D.format(x)} AS {x}" for x in ("net", "gross", "discount
 
 @query("cutoff_report", sql(f"SELECT region_name, {MEASURES} FROM fact WHERE order_date >= DATE '1997-07-01' AND order_date <= DATE '1997-09-20' GROUP BY 1"))
 def cutoff_report(spark, sf):
-    return A.report(T.sales(spark, sf, start="1997-07-01", end="1997-10-01"), "1997-09-20", "region_name")
+    return A.report(T.sales(spark, sf, start="1997-07-01", end="1997-10-01", dims=("customer",)), "1997-09-20", "region_name")
 
 
 @query("region_channel_line_detail", sql(f"SELECT region_name, channel, line, {MEASURES} FROM fact WHERE order_date >= DATE '1997-01-01' AND order_date <= DATE '1997-03-31' GROUP BY 1, 2, 3 HAVING sum(net) <> 0"))
@@ -149,7 +150,7 @@ def period_bounds(spark, sf):
 
 @query("period_rollup", sql(f"SELECT strftime(order_date, '%Y') || CASE WHEN month(order_date) <= 6 THEN '-H1' ELSE '-H2' END AS half, strftime(order_date, '%Y') || '-Q' || quarter(order_date) AS quarter, {D.format('net')} AS net_sales FROM fact GROUP BY 1, 2"))
 def period_rollup(spark, sf):
-    fact = T.sales(spark, sf)
+    fact = T.sales(spark, sf, dims=())
     return A.total_by(fact.select("net", periods.token_column(F.col("order_date"), "half").alias("half"), periods.token_column(F.col("order_date"), "quarter").alias("quarter")), "half", "quarter")
 
 
@@ -204,7 +205,7 @@ def result_multiset_equality(spark, sf):
 
 @query("money_format", sql("SELECT region_name, c AS net, printf('%.2f', round(c / 10000, 2)) AS plain FROM (SELECT region_name, CAST(sum(net) AS DOUBLE) AS c FROM fact GROUP BY 1)"))
 def money_format(spark, sf):
-    totals = A.total_by(T.sales(spark, sf), "region_name", net="net")
+    totals = A.total_by(T.sales(spark, sf, dims=("customer",)), "region_name", net="net")
     return totals.select("region_name", "net", F.regexp_replace(numbers.in_ten_thousands(F.col("net")), ",", "").alias("plain"))
 
 

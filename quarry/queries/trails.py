@@ -31,11 +31,11 @@ def table_positions(spark, sf):
     return R.table_positions(table_rows(spark, sf)).select("chunk_id", F.col("row_no").cast("long").alias("row_no"), "n_rows")
 
 
-@query("table_completion", sql("SELECT chunk_id, expanded FROM (SELECT chunk_id, false AS expanded FROM pos WHERE l_returnflag = 'R' UNION ALL (SELECT chunk_id, true FROM pos JOIN part_found USING (document_id, section, caption) WHERE chunk_id NOT IN (SELECT chunk_id FROM h) ORDER BY document_id, section, caption, row_no LIMIT 30))", TABLE, "h AS (SELECT DISTINCT chunk_id FROM pos WHERE l_returnflag = 'R'), part_found AS (SELECT document_id, section, caption FROM pos WHERE chunk_id IN (SELECT chunk_id FROM h) GROUP BY 1, 2, 3 HAVING count(*) < max(n_rows) AND max(n_rows) <= 12)"))
+@query("table_completion", sql("SELECT chunk_id, expanded FROM (SELECT chunk_id, false AS expanded FROM pos WHERE l_returnflag = 'R' UNION ALL SELECT chunk_id, true FROM (SELECT chunk_id, row_number() OVER (PARTITION BY document_id % 40 ORDER BY document_id, section, caption, row_no) AS n FROM pos JOIN part_found USING (document_id, section, caption) WHERE chunk_id NOT IN (SELECT chunk_id FROM h)) WHERE n <= 30)", TABLE, "h AS (SELECT DISTINCT chunk_id FROM pos WHERE l_returnflag = 'R'), part_found AS (SELECT document_id, section, caption FROM pos WHERE chunk_id IN (SELECT chunk_id FROM h) GROUP BY 1, 2, 3 HAVING count(*) < max(n_rows) AND max(n_rows) <= 12)"))
 def table_completion(spark, sf):
     rows = table_rows(spark, sf)
-    hits = rows.where("l_returnflag = 'R'").select("chunk_id", "score")
-    return R.completed(hits, rows.drop("score")).select("chunk_id", "expanded")
+    hits = rows.where("l_returnflag = 'R'").select((F.col("document_id") % 40).alias("query_id"), "chunk_id", "score")
+    return R.completed(hits, rows.drop("score"), query="query_id").select("chunk_id", "expanded")
 
 
 @query("incomplete_tables", sql("SELECT document_id, section, caption, count(DISTINCT row_no) AS covered, max(n_rows) AS total FROM pos WHERE l_returnflag = 'R' GROUP BY 1, 2, 3 HAVING count(DISTINCT row_no) < max(n_rows)", TABLE))
@@ -50,7 +50,7 @@ def citation_ranges(spark, sf):
 
 @query("sql_evidence_rows", sql("SELECT row_number() OVER (ORDER BY region_name) AS ordinal, 'region_name=' || region_name || '；n=' || n AS claim FROM (SELECT region_name, count(*) AS n FROM fact GROUP BY 1)"))
 def sql_evidence_rows(spark, sf):
-    result = T.sales(spark, sf).groupBy("region_name").agg(F.count("*").alias("n"))
+    result = T.sales(spark, sf, dims=("customer",)).groupBy("region_name").agg(F.count("*").alias("n"))
     return E.sql_evidence(result, "by-region", ["region_name"]).select(F.col("ordinal").cast("long").alias("ordinal"), "claim")
 
 
@@ -58,7 +58,7 @@ MONTHS = f"actual AS (SELECT strftime(order_date, '%Y-%m') AS period, region_nam
 
 
 def monthly(spark, sf):
-    f = T.sales(spark, sf).groupBy(F.date_format("order_date", "yyyy-MM").alias("period"), F.col("region_name").alias("region")).agg(F.sum("net").cast("double").alias("value"))
+    f = T.sales(spark, sf, dims=("customer",)).groupBy(F.date_format("order_date", "yyyy-MM").alias("period"), F.col("region_name").alias("region")).agg(F.sum("net").cast("double").alias("value"))
     key = F.concat_ws("/", "period", "region")
     return f.select(key.alias("fact_id"), F.lit("net_sales").alias("metric"), "period", F.create_map(F.lit("region"), "region").alias("scope"), "value")
 
@@ -93,6 +93,8 @@ def value_conflicts(spark, sf):
 def time_conflicts(spark, sf):
     facts = monthly(spark, sf).where(F.col("scope")["region"] == "EUROPE")
     claims = facts.select(F.col("fact_id").alias("claim_id"), F.col("fact_id").alias("evidence_id"), "metric", "period", "scope", (F.col("value") / 10_000).alias("value"), F.lit("万元").alias("unit"), F.to_date(F.concat("period", F.lit("-15"))).alias("cutoff"))
+    # each report in three chunks: its cutoff is one finding
+    claims = claims.withColumn("logical_key", F.col("evidence_id")).withColumn("_chunk", F.explode(F.array(*map(F.lit, range(3))))).withColumn("evidence_id", F.concat_ws("#", "evidence_id", "_chunk"))
     return E.conflicts(claims, facts).where("kind = 'TIME'").select("fact_id")
 
 

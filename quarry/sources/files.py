@@ -11,7 +11,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -19,10 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import HEADINGS
+
 #: Suffixes and formats.
 FORMATS = {"pdf": "PDF", "docx": "DOCX", "md": "MARKDOWN", "markdown": "MARKDOWN", "txt": "TXT", "html": "HTML", "htm": "HTML"}
 MOST_BYTES = 50 << 20
 CHUNK, OVERLAP, LEAST = 800, 100, 100
+#: A heading's underline, lines that only rule off, and what stands between a row's cells.
+UNDERLINE, RULE, COLUMNS = re.compile(r"[-=]{4,}"), re.compile(r"[-=_~\s]{3,}"), " | "
 BLOCKS = "array<struct<kind:string,level:int,text:string,caption:string,header:array<string>,rows:array<array<string>>>>"
 
 
@@ -115,15 +119,23 @@ def joined(lines: list[str]) -> str:
 
 
 def plain_text(text: str) -> list[Block]:
-    """Paragraphs at blank lines; a line above === or --- is a heading."""
+    """Paragraphs at blank lines.  A line above one run of four or more = or - is a heading, and so is a numbered line; other rules are no content."""
     out: list[Block] = []
     for part in re.split(r"\n\s*\n", text.replace("\r\n", "\n")):
-        lines = [x for x in part.split("\n") if x.strip()]
-        if len(lines) >= 2 and re.fullmatch(r"(=+|-+)", lines[1].strip()):
-            out.append(Block("HEADING", lines[0].strip(), 1 if lines[1].strip()[0] == "=" else 2))
-            lines = lines[2:]
-        if lines:
-            out.append(Block("PARAGRAPH", joined(lines)))
+        lines, held = [x.strip() for x in part.split("\n") if x.strip()], []
+        for line, below in zip(lines, [*lines[1:], ""], strict=True):
+            level = 0
+            if not RULE.fullmatch(line):
+                level = (1 if below[0] == "=" else 2) if UNDERLINE.fullmatch(below) else next((n for n, p in HEADINGS.items() if re.match(p, line)), 0)
+            if level and held:
+                out.append(Block("PARAGRAPH", joined(held)))
+                held = []
+            if level:
+                out.append(Block("HEADING", line, level))
+            elif not RULE.fullmatch(line):
+                held.append(line)
+        if held:
+            out.append(Block("PARAGRAPH", joined(held)))
     return out
 
 
@@ -241,7 +253,23 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 #: Headings of sections that only frame a document.
-FRAME = re.compile(r"(?i)^(table of contents|contents|revision history|disclaimer|目录|修订记录|免责声明)$")
+FRAME = re.compile("^(修订历史|版本变更记录|修订记录|附件目录)$")
+CAPTION = re.compile(r"^表[：:]\s*(.+)$")
+
+
+def captioned(blocks: list[Block]) -> list[Block]:
+    """Tables with the caption line before them; a table right after one of the same header, as on a next page, has its caption too."""
+    out: list[Block] = []
+    for b in blocks:
+        before = out[-1] if out else Block("NONE")
+        if b.kind == "TABLE" and b.caption is None:
+            if before.kind == "PARAGRAPH" and (m := CAPTION.match(before.text)):
+                out[-1] = replace(b, caption=m[1].strip())
+                continue
+            if before.kind == "TABLE" and before.header == b.header:
+                b = replace(b, caption=before.caption)
+        out.append(b)
+    return out
 
 
 def body(blocks: list[Block]) -> list[Block]:
@@ -259,9 +287,9 @@ def body(blocks: list[Block]) -> list[Block]:
 
 
 def table_row(caption: str | None, header: list[str], row: list[str]) -> str:
-    """caption | header=cell | ..., the row padded or cut to the header."""
-    cells = (row + [""] * len(header))[: len(header)]
-    return " | ".join([*([caption] if caption else []), *(f"{h}={c}" for h, c in zip(header, cells, strict=True))])
+    """Lines of caption, header and row, the row padded or cut to the header; without a header the row stays whole."""
+    cells = (row + [""] * len(header))[: len(header) or None]
+    return "\n".join([*([f"表：{caption}"] if caption else []), *([COLUMNS.join(header)] if header else []), COLUMNS.join(cells)])
 
 
 def sentences(text: str) -> list[str]:
@@ -283,7 +311,7 @@ def chunks(blocks: list[Block], size: int = CHUNK, overlap: int = OVERLAP) -> li
             out.append((names(), "TEXT", held.strip()))
         held = ""
 
-    for b in body(blocks):
+    for b in captioned(body(blocks)):
         if b.kind == "HEADING":
             flush()
             path = [(n, t) for n, t in path if n < b.level] + [(b.level, b.text)]

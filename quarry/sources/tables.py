@@ -37,12 +37,13 @@ def amounts() -> dict[str, Column]:
     return {"gross": gross, "discount": discount, "returned": F.when(back, kept).otherwise(zero), "net": F.when(back, zero).otherwise(kept)}
 
 
-def sales(spark: SparkSession, sf_dir: str, *, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Order lines with their order's date, customer's region and channel, product's line and category.
+def sales(spark: SparkSession, sf_dir: str, *, start: str | None = None, end: str | None = None, dims: tuple[str, ...] = ("customer", "product")) -> DataFrame:
+    """Order lines with their order's date and, of the dimensions asked for, the customer's region and channel, the product's line and category.
 
     A date range [start, end) is applied to orders before any join, so it reaches the Parquet scan.
     Orders and order lines meet on the order key; the dimensions are broadcast by Spark if they are
-    small and shuffled if they are not.
+    small and shuffled if they are not.  An inner join is never dropped by the optimiser, so a report
+    names the dimensions it reads; every key is taken to have its dimension row.
     """
     orders = raw(spark, sf_dir, "orders")
     if start:
@@ -50,9 +51,10 @@ def sales(spark: SparkSession, sf_dir: str, *, start: str | None = None, end: st
     if end:
         orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
     o = orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust_key"), F.to_date("o_orderdate").alias("order_date"))
-    placed = o.join(customers(spark, sf_dir).drop("customer_name"), "cust_key")
+    placed = o.join(customers(spark, sf_dir).drop("customer_name"), "cust_key") if "customer" in dims else o
     li = raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), F.col("l_quantity").alias("quantity"), *(c.alias(n) for n, c in amounts().items()))
-    return li.join(placed, "order_key").join(products(spark, sf_dir).select("part_key", "line", "category"), "part_key")
+    lines = li.join(placed, "order_key")
+    return lines.join(products(spark, sf_dir).select("part_key", "line", "category"), "part_key") if "product" in dims else lines
 
 
 def targets(fact: DataFrame) -> DataFrame:

@@ -164,13 +164,17 @@ def test_furniture(spark):
 def test_parsers_and_chunks():
     md = files.markdown("# A\n\ntext one\nwraps **bold**\n\n**Cap**\n| x | y |\n|---|---|\n| 1 | 2 |\n| 3 |\n\n```\n# no heading\n```\n")
     assert [b.kind for b in md] == ["HEADING", "PARAGRAPH", "TABLE", "PARAGRAPH"] and md[1].text == "text one wraps bold" and md[2].caption == "Cap"
-    assert [t for _, k, t in files.chunks(md) if k == "ROW"] == ["Cap | x=1 | y=2", "Cap | x=3 | y="]
+    assert [t for _, k, t in files.chunks(md) if k == "ROW"] == ["表：Cap\nx | y\n1 | 2", "表：Cap\nx | y\n3 | "]
     html = files.html("<html><head><title>t</title></head><body><h2>H</h2><p>a &amp; b</p><script>x</script><table><tr><th>c</th></tr><tr><td>1</td></tr></table></body></html>")
     assert [(b.kind, b.text) for b in html] == [("HEADING", "H"), ("PARAGRAPH", "a & b"), ("TABLE", "")]
     long = files.chunks([files.Block("PARAGRAPH", "x" * 2000)])
     assert all(len(t) <= files.CHUNK for _, _, t in long)
     assert files.chunks(files.plain_text("Title\n=====\n\nbody. more."))[0][0] == ["Title"]
-    assert [b.text for b in files.body(files.markdown("# Contents\n\nx\n\n# Real\n\ny"))] == ["Real", "y"]
+    assert [b.text for b in files.body(files.markdown("# 修订记录\n\nx\n\n# Real\n\ny"))] == ["Real", "y"]
+    assert files.table_row(None, [], ["a", "b"]) == "a | b"
+    assert [(b.kind, b.text, b.level) for b in files.plain_text("一、总则\n（一）范围\n-\ntext\n------\n\n---  ---\nrow")] == [("HEADING", "一、总则", 1), ("HEADING", "（一）范围", 2), ("PARAGRAPH", "-", 0), ("HEADING", "text", 2), ("PARAGRAPH", "row", 0)]
+    table = files.Block("TABLE", header=["a"], rows=[["1"]])
+    assert [b.caption for b in files.captioned([files.Block("PARAGRAPH", "表：销售"), table, table])] == ["销售", "销售"]
 
 
 def test_files_from_a_folder(spark, tmp_path):
