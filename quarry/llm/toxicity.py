@@ -21,8 +21,10 @@ from __future__ import annotations
 import math
 import unicodedata
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice, takewhile
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,6 @@ HELD_OUT = 2
 SAMPLE = 20_000
 LEAST_SUPPORT, LEAST_WEIGHT = 5, 3.0
 BEGINNINGS = (4, 5, 6)
-MOST_ENTRIES = 20_000
 CUT = 0.3
 #: Phrases in which an entry is harmless; folded like texts.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "scum line", "sore loser bracket", "loser bracket")
@@ -50,15 +51,17 @@ LOOK_ALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "€": "e", "!": "i", "|": "l",
 }
 INVISIBLE = (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)
+#: Mathematical and enclosed letters lie below; from here on all are taken for letters of other scripts, as this one is.
+LAST = 0x20000
 _LETTER, _GAP, _DROP = 0x7E, 0x20, 0
 _LEARNED: dict[str, object] = {}
 
 
 @cache
 def fold_table() -> np.ndarray:
-    """Folded ASCII byte of each code point below 2**16: a-z, ~ for other letters, space, 0 to drop."""
-    out = np.full(1 << 16, _GAP, dtype=np.uint8)
-    for c in range(1 << 16):
+    """Folded ASCII byte of each code point up to LAST: a-z, ~ for other letters, space, 0 to drop."""
+    out = np.full(LAST + 1, _GAP, dtype=np.uint8)
+    for c in range(LAST + 1):
         if 0xD800 <= c < 0xE000:
             continue
         ch = chr(c).lower()[:1]
@@ -80,7 +83,7 @@ def folded(texts: list[bytes]) -> list[str]:
     ! and | only fold between letters, so that punctuation at a word's end stays a gap.
     """
     joined = "\n".join(t.decode("utf-8", "replace").replace("\n", " ") for t in texts)
-    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32), 0xFFFF)
+    points = np.minimum(np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32), LAST)
     out = fold_table()[points]
     mark = np.isin(points, MARKS)
     if mark.any() and len(out) > 2:
@@ -148,7 +151,7 @@ def frequencies(rows: DataFrame) -> pd.DataFrame:
     schema = "term string, before string, n long"
     pairs = rows.mapInArrow(lambda b: count(b, 1, None), schema).groupBy("term", "before").agg(F.sum("n").alias("n"))
     toxic = pairs.groupBy("term").agg(F.sum("n").alias("toxic"), F.count("*").alias("places")).where(F.col("places") >= LEAST_SUPPORT)
-    toxic = toxic.orderBy(F.desc("toxic"), "term").limit(MOST_ENTRIES * 5)  # the terms of a bounded sample; far fewer reach the support
+    # terms with support in a bounded sample: as many as its texts can hold, none left out
     have = {r["term"]: (r["toxic"], r["places"]) for r in toxic.toLocalIterator()}
     wanted = set(have)
     clean = rows.mapInArrow(lambda b: count(b, 0, wanted), schema).groupBy("term").agg(F.sum("n").alias("n"))
@@ -166,11 +169,12 @@ def lexicon(table: pd.DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]
         if places >= support and w >= LEAST_WEIGHT:
             weight[term], count[term] = round(w, 4), a
     out: dict[str, float] = {}
+    ordered = sorted(weight)
     for term in sorted(weight, key=lambda t: (len(t.rstrip()), t.endswith(" "), t)):
         if any(term.startswith(term[: k + 1]) and term[: k + 1] in out for k in range(3, len(term))):
             continue  # a shorter beginning covers it
         if not term.endswith(" "):
-            longer = [t for t in weight if t != term and t.startswith(term)]
+            longer = takewhile(lambda t, term=term: t.startswith(term), islice(ordered, bisect_right(ordered, term), None))
             if any(count[t] >= 0.9 * count[term] for t in longer):
                 continue  # one longer entry says the same, more precisely
         out[term] = weight[term]

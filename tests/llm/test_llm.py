@@ -219,6 +219,11 @@ def test_toxicity_learns_folds_and_holds_out(spark, empty):
     assert X.score(df, none).where("predicted = 1").count() == 0
 
 
+def test_toxicity_folds_letters_beyond_the_first_plane():
+    bold = "".join(chr(0x1D400 + ord(c) - 97 + 26) for c in "idiot")
+    assert X.folded([f"x {bold} \U0001F600 \U00020001".encode()]) == X.folded([b"x idiot \xf0\x9f\x98\x80 \xe4\xb8\x80"])
+
+
 def test_toxicity_exceptions():
     m = X.Matcher({" trash ": 5.0, " clow": 4.0}, ("trash can",))
     assert m.match(X.folded([b"the trash can"])[0]) == (0.0, 0)
