@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.retrieval import effective
+
 
 def furniture(lines: DataFrame, marks: str = r"(?i)confidential|internal use only|page #") -> DataFrame:
     """document_id, text: first or last lines of pages, digits as #, that repeat on two pages or hold a mark."""
@@ -100,3 +102,26 @@ def rows_equal(got: list, wanted: list, *, ordered: bool = False, subset: bool =
             return False
         del a[at]
     return True
+
+
+def without_note(documents: DataFrame, chunks: DataFrame, note: str) -> DataFrame:
+    """Documents none of whose chunks holds the note that tells on which basis their figures stand."""
+    return documents.join(chunks.where(F.col("text").contains(note)).select("document_id"), "document_id", "left_anti")
+
+
+def wrong_versions(documents: DataFrame) -> DataFrame:
+    """logical_key, day, problem: of keys with several versions, on the day the newest begins, an old one that is still in force or a new one that is not.
+
+    NO_END where the oldest version has no last day: such a pair tells nothing about the filter.
+    """
+    version = F.struct("version", "effective_from", "effective_to")
+    pairs = documents.groupBy("logical_key").agg(F.min(version).alias("old"), F.max(version).alias("new"), F.countDistinct("version").alias("n")).where("n > 1")
+    day = F.col("new.effective_from")
+    old_found, new_found = (effective(F.col(f"{x}.effective_from"), F.col(f"{x}.effective_to"), day) for x in ("old", "new"))
+    problem = F.when(F.col("old.effective_to").isNull(), "NO_END").when(old_found, "OLD_FOUND").when(~new_found, "NEW_MISSING")
+    return pairs.select("logical_key", day.alias("day"), problem.alias("problem")).where("problem is not null")
+
+
+def divided_terms(terms: DataFrame, words: Column) -> DataFrame:
+    """Terms of a dictionary that the given segmentation does not give back as one word."""
+    return terms.where(~((F.size(words) == 1) & (words[0] == F.lower("term"))))

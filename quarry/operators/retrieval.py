@@ -10,8 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-
 RRF_K = 60
 FUSED, FINAL = 30, 8
 DENSE_FLOOR, RERANK_FLOOR = 0.60, 0.07
@@ -143,6 +141,43 @@ def refused(best: DataFrame, unseen: DataFrame, *, floor: float = DENSE_FLOOR) -
     return best.join(topics, "query_id", "full").select("query_id", ((F.coalesce("best", F.lit(0.0)) < floor) | (F.coalesce("n_unseen", F.lit(0)) > 0)).alias("refused"))
 
 
+def valid_payloads(points: DataFrame, required: tuple[str, ...], payload: str = "payload") -> DataFrame:
+    """Points whose payload is a JSON object with all required text fields, which become columns; others are left out whole."""
+    parsed = points.withColumn("_p", F.from_json(payload, ", ".join(f"`{x}` string" for x in required)))
+    known = parsed.where(F.col("_p").isNotNull())
+    for x in required:
+        known = known.where(F.col(f"_p.{x}").isNotNull())
+    return known.select(*(c for c in points.columns if c != payload and c not in required), *(F.col(f"_p.{x}").alias(x) for x in required))
+
+
+def counted(points: DataFrame, **filters) -> DataFrame:
+    """n, n_all: points that pass the filters of permitted(), and all."""
+    kept = permitted(points, **filters).agg(F.count("*").alias("n"))
+    return kept.crossJoin(points.agg(F.count("*").alias("n_all")))  # one row each
+
+
+def scrolled(points: DataFrame, vectors: tuple[str, ...] = ("embedding",)) -> DataFrame:
+    """All points with their payload; the vectors are not read."""
+    return points.drop(*vectors)
+
+
+def embedded(texts: DataFrame, embed: Callable[[list[str]], list], *, key: str, text: str = "text", size: int = 16) -> DataFrame:
+    """key, embedding: texts go to the model in batches of size; a batch that comes back with another count is an error that names it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for at in range(0, len(f), size):
+                some = f[text].iloc[at : at + size].fillna("").tolist()
+                vectors = embed(some)
+                if len(vectors) != len(some):
+                    raise ValueError(f"{len(vectors)} vectors for {len(some)} texts from {key} {f[key].iloc[at]} on")
+                out.extend(vectors)
+            yield pd.DataFrame({key: f[key], "embedding": out})
+
+    return texts.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, embedding array<double>")
+
+
 TABLE = ["document_id", "section", "caption"]
 
 
@@ -173,4 +208,4 @@ def completed(hits: DataFrame, rows: DataFrame, *, query: str | None = None, mos
     return hits.select(*own, "chunk_id", "score", F.lit(False).alias("expanded")).unionByName(added)
 
 
-__all__ = ["best_over_queries", "completed", "dense_top", "effective", "fused", "permitted", "refused", "reranked", "rewritten", "table_positions", "unseen_topics"]
+__all__ = ["best_over_queries", "completed", "counted", "dense_top", "effective", "embedded", "fused", "permitted", "refused", "reranked", "rewritten", "scrolled", "table_positions", "unseen_topics", "valid_payloads"]

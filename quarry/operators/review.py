@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a finding costs.
@@ -108,3 +108,48 @@ def progress(required: int, done: int, failed: int, gaps: int, rounds: int, most
 def retry_route(wanted: list[str], budgets: dict[str, int]) -> str:
     """The first of replan, expand, tool, analysis that is wanted and has budget; else done."""
     return next((r for r in ("replan", "expand", "tool", "analysis") if r in wanted and budgets.get(r, 0) > 0), "done")
+
+
+#: Tables whose missing rows are named one by one.
+MOST_LIMITS = 3
+
+
+def table_limits(cited: DataFrame, *, task: str = "task_id", most: int = MOST_LIMITS) -> DataFrame:
+    """task, place, text: a sentence for each incompletely cited table, at most so many, then one that counts the others.
+
+    cited: task, document_id, document (shown name), section, caption, row_no, n_rows.
+    """
+    tables = cited.groupBy(task, "document_id", "section", "caption").agg(F.min("document").alias("document"), F.countDistinct("row_no").alias("covered"), F.max("n_rows").alias("total")).where("covered < total")
+    w = Window.partitionBy(task)
+    ranked = tables.withColumns({"place": F.row_number().over(w.orderBy("document", "caption", "total", "covered", "document_id", "section")).cast("long"), "n": F.count("*").over(w)})
+    shown = F.concat(F.lit("表格「"), "caption", F.lit("」（"), "document", F.lit("）共 "), F.col("total").cast("string"), F.lit(" 行，已引用 "), F.col("covered").cast("string"), F.lit(" 行"))
+    others = F.concat(F.lit("另有 "), (F.col("n") - most).cast("string"), F.lit(" 张表不完整"))
+    return ranked.where(F.col("place") <= most + 1).select(task, "place", F.when(F.col("place") <= most, shown).otherwise(others).alias("text"))
+
+
+def rendered_source() -> Column:
+    """What a reader sees of a piece of evidence: title, section unless the title names it, page; or the query's short fingerprint."""
+    section = F.coalesce("section", F.lit(""))
+    named = F.when((section != "") & ~F.col("title").contains(section), F.concat(F.lit("（"), section, F.lit("）"))).otherwise("")
+    page = F.when(F.coalesce("page_no", F.lit(0)) > 0, F.concat(F.lit("，第 "), F.col("page_no").cast("string"), F.lit(" 页"))).otherwise("")
+    document = F.concat(F.lit("《"), "title", F.lit("》"), named, page)
+    query = F.concat(F.lit("业务数据库查询 "), F.substring(F.coalesce("fingerprint", F.lit("")), 1, 12))
+    return F.when(F.col("source_type") == "DOCUMENT", document).when(F.col("source_type") == "SQL", query).otherwise(F.col("title"))
+
+
+def merged_citations(evidence: DataFrame, *, task: str = "task_id") -> DataFrame:
+    """task, place, text: evidence that reads alike is one citation, with its table rows, else its result rows, else how many there are.
+
+    evidence: task, ordinal, source_type, title, section, page_no, fingerprint, caption, row_no (from 1), slice_no (from 0).
+    """
+    rows = evidence.withColumn("source", rendered_source())
+    groups = rows.groupBy(task, "source").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"), F.min_by("caption", "ordinal").alias("caption"))
+    tables = ranges(rows.where("row_no is not null"), "row_no", task, "source").withColumnRenamed("ranges", "in_table")
+    results = ranges(rows.where("slice_no is not null").withColumn("slice_no", F.col("slice_no") + 1), "slice_no", task, "source").withColumnRenamed("ranges", "in_result")
+    name = F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit("表「"), "caption", F.lit("」"))).otherwise("该表")
+    suffix = F.when(F.col("in_table").isNotNull(), F.concat(F.lit("（"), name, F.lit("第 "), "in_table", F.lit(" 行）")))
+    suffix = suffix.when(F.col("in_result").isNotNull(), F.concat(F.lit("（结果第 "), "in_result", F.lit(" 行）")))
+    suffix = suffix.when(F.col("n") > 1, F.concat(F.lit("（"), F.col("n").cast("string"), F.lit(" 条）"))).otherwise("")
+    both = groups.join(tables, [task, "source"], "left").join(results, [task, "source"], "left")
+    place = F.row_number().over(Window.partitionBy(task).orderBy("first", "source")).cast("long")
+    return both.select(task, place.alias("place"), F.concat("source", suffix).alias("text"))

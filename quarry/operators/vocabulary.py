@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
@@ -62,3 +62,20 @@ def top(scores: DataFrame, query: str, key: str, k: int) -> DataFrame:
     """The k best of each query, ties by key.  Spark limits each partition's groups before the shuffle."""
     w = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """token: the lines of a list of stop words, trimmed; none if there is no such file, as the weights keep frequent words down anyway."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "token string")
+    return lines.select(F.trim("value").alias("token")).where("token <> ''").distinct()
+
+
+def without_stop_words(tokens: DataFrame, stop: DataFrame) -> DataFrame:
+    return tokens.join(stop, "token", "left_anti")

@@ -76,3 +76,26 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
 def replace_partition(df: DataFrame, path: str, column: str) -> None:
     """Replaces just the partitions that df has rows for."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+
+
+def reloaded(df: DataFrame, path: str) -> DataFrame:
+    """Replaces a table by df as a whole and reads it back; df must not come from that table."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ingestion_reports(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One report for each document: its chunks, those without a sparse vector, those published, and how the attempt ended.
+
+    A file that cannot be read in principle is unsupported, which is not a failure of the process.
+    """
+    n = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"), F.count(F.when(F.coalesce("n_terms", F.lit(0)) == 0, 1)).alias("empty_sparse_chunks"), F.count(F.when(F.col("status") == "ACTIVE", 1)).alias("published_count"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_count", "empty_sparse_chunks", "published_count")]
+    ok = F.col("error_summary").isNull()
+    return documents.join(n, "document_id", "left").select("document_id", "status", *counts, ok.alias("ok"), (~ok & ~F.col("has_text_layer")).alias("unsupported"), "error_summary")
+
+
+def write_reports(reports: DataFrame, path: str) -> DataFrame:
+    """Reports as JSON lines, read back."""
+    reports.write.mode("overwrite").json(path)
+    return reports.sparkSession.read.schema(reports.schema).json(path)

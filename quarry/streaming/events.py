@@ -154,3 +154,13 @@ def heartbeats(events: DataFrame, idle_seconds: int, late: str = LATE) -> DataFr
 def durations(traces: DataFrame) -> DataFrame:
     """Counts and durations of nodes by outcome."""
     return traces.groupBy("node", "outcome").agg(F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY millis)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY millis)").alias("p95"))
+
+
+def idle_frames(events: DataFrame, key: str, seconds: int) -> DataFrame:
+    """key, at: a heartbeat frame for every so many seconds without an event between two events of a key; an event at that very moment comes first."""
+    w = Window.partitionBy(key).orderBy("ts", "event_id")
+    micros, step = F.unix_micros(F.col("ts").cast("timestamp")), seconds * 1_000_000
+    gaps = events.select(key, micros.alias("_from"), F.lead(micros).over(w).alias("_to"))
+    n = F.expr(f"(_to - _from - 1) div {step}")
+    frames = gaps.where(n >= 1).select(key, F.explode(F.sequence(F.col("_from") + step, F.col("_from") + n * step, F.lit(step).cast("long"))).alias("_at"))
+    return frames.select(key, F.timestamp_micros("_at").alias("at"))
