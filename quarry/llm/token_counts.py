@@ -6,8 +6,9 @@ pre-token.  Such a position is proven stable: pre-tokens are matched from left t
 looks at nothing before its start, so from a common start on both encodings agree with that of the
 whole text, as long as the left one is not affected by its own end.  A margin of code points before that
 end is never used: no match, look-ahead or special string decides anything farther back.  Where an
-overlap holds no common start (one endless pre-token), the overlap is doubled, at last to the rest
-of the text.
+overlap holds no common start, the overlap is doubled, at last to all of the left chunk; if that holds none either
+(one endless pre-token), the left chunk is doubled, so that all its encodings together are about twice the last one.
+A chunk is encoded once and its encoding is handed on when the right neighbour becomes the left one.
 
 Two engines give encodings with offsets.  The library does for any tokenizer; its word ids tell where
 pre-tokens begin.  For a byte-level byte-pair tokenizer whose file is shown to say just what BytePairs
@@ -158,27 +159,27 @@ def count_long(text: str, engine: BytePairs | Library, edge: int, chunk: int = C
         return engine.count(text), 0
     total = splices = 0
     begin, end, cut = 0, chunk, 0  # the left chunk, and where (in the text) its own part begins
+    size, known = engine.starts(text[:end], 1, end)
     while True:
-        last = end >= len(text)
-        size, known = engine.starts(text[begin:end], 0 if cut == begin else cut - begin, end - begin)
         skip = 0 if cut == begin else known[cut - begin]
-        if last:
+        if end >= len(text):
             return total + size - skip, splices
         width = overlap
-        while True:
+        while end - width > cut:
             right = end - width
-            if right <= cut:  # no common start in the whole chunk: take it and the next one together
-                end = min(len(text), end + chunk)
-                break
             right_end = min(len(text), right + chunk)
-            _, theirs = engine.starts(text[right:right_end], 1, width - edge)
-            joined = next((right + p for p in sorted(theirs) if right + p - begin in known and right + p > cut), None)
+            right_size, theirs = engine.starts(text[right:right_end], 1, right_end - right)
+            joined = min((right + p for p in theirs if p <= width - edge and right + p > cut and right + p - begin in known), default=None)
             if joined is not None:
                 total += known[joined - begin] - skip
                 splices += 1
-                begin, end, cut = right, right_end, joined
+                # its encoding is handed on
+                begin, end, cut, size, known = right, right_end, joined, right_size, theirs
                 break
             width *= 2
+        else:  # no common start in the whole chunk: twice as much of the text
+            end = min(len(text), begin + 2 * (end - begin))
+            size, known = engine.starts(text[begin:end], 1, end - begin)
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, fast: bool = True) -> DataFrame:
