@@ -18,6 +18,7 @@ class ColumnSpec:
     name: str
     level: str = PUBLIC
     roles: tuple[str, ...] = ()
+    kind: str = "string"
 
     def visible_to(self, role: str) -> bool:
         return not self.roles or role in self.roles
@@ -30,6 +31,8 @@ class TableSpec:
     #: Column that holds the region's key, if rows are limited by a principal's regions.
     scope: str | None = None
     fact: bool = False
+    #: Column whose predicates say which days a query reads.
+    time: str | None = None
 
     def column(self, name: str) -> ColumnSpec | None:
         return next((c for c in self.columns if c.name.lower() == name.lower()), None)
@@ -58,7 +61,8 @@ class Principal:
 @dataclass(frozen=True)
 class Catalog:
     tables: tuple[TableSpec, ...]
-    joins: frozenset[frozenset[str]]
+    #: Pairs of (table, column) that may be equal in a join.
+    edges: frozenset[frozenset[tuple[str, str]]]
     metrics: tuple[Metric, ...] = ()
     functions: frozenset[str] = field(default_factory=frozenset)
 
@@ -69,9 +73,18 @@ class Catalog:
     def table(self, name: str) -> TableSpec | None:
         return self.by_name.get(name.lower())
 
+    @cached_property
+    def joins(self) -> frozenset[frozenset[str]]:
+        """Pairs of tables that may be joined."""
+        return frozenset(frozenset(t for t, _ in e) for e in self.edges)
+
     def join_allowed(self, left: str, right: str) -> bool:
         return left == right or frozenset((left, right)) in self.joins
 
+    def edge(self, left: tuple[str, str], right: tuple[str, str]) -> bool:
+        """Whether two columns may be equal in a join: an edge, or one column of two readings of a table."""
+        return left == right or frozenset((left, right)) in self.edges
+
     def metric(self, code: str) -> Metric | None:
         return next((m for m in self.metrics if m.code == code), None)
 
@@ -109,34 +122,35 @@ class Catalog:
 
 
 def _cols(*names: str, **special: ColumnSpec) -> tuple[ColumnSpec, ...]:
-    return tuple(special.get(n, ColumnSpec(n)) for n in names)
+    """A name, or a name and a type."""
+    return tuple(special.get(n) or ColumnSpec(n.split()[0], kind=n.partition(" ")[2] or "string") for n in names)
 
 
 #: The functions that governed SQL may call.
-FUNCTIONS = frozenset(
-    "sum count avg min max round abs ceil floor date year month quarter date_format str_to_date date_add date_sub datediff last_day timestampdiff coalesce ifnull nullif if cast convert concat substring trim upper lower".split()
-)
+FUNCTIONS = frozenset((
+    "sum", "count", "avg", "min", "max", "round", "abs", "ceil", "floor",
+    "date", "year", "month", "quarter", "date_format", "str_to_date", "date_add", "date_sub", "datediff", "last_day", "timestampdiff",
+    "coalesce", "ifnull", "nullif", "if", "cast", "convert", "concat", "substring", "trim", "upper", "lower",
+))
 #: Functions that are refused for good, however a query is repaired; the last three run code in Spark.
-FORBIDDEN = frozenset("sleep benchmark load_file get_lock release_lock sys_exec sys_eval java_method reflect try_reflect".split())
+FORBIDDEN = frozenset(("sleep", "benchmark", "load_file", "get_lock", "release_lock", "sys_exec", "sys_eval", "java_method", "reflect", "try_reflect"))
 
 CATALOG = Catalog(
     tables=(
-        TableSpec("fact_sales", _cols("order_key", "order_date", "region_key", "channel", "line", "category", "cust_key", "part_key", "quantity", "gross", "discount", "returned", "net"), scope="region_key", fact=True),
-        TableSpec("sales_target", _cols("period_month", "region_key", "line", "target"), scope="region_key", fact=True),
-        TableSpec("inventory", _cols("week", "region_key", "line", "available", "safety"), scope="region_key", fact=True),
-        TableSpec("dim_region", _cols("region_key", "region_name", "province_count")),
+        TableSpec("fact_sales", _cols("order_key bigint", "order_date date", "region_key bigint", "channel", "line", "category", "cust_key bigint", "part_key bigint", "quantity double", "gross decimal(18,4)", "discount decimal(18,4)", "returned decimal(18,4)", "net decimal(18,4)"), scope="region_key", fact=True, time="order_date"),
+        TableSpec("sales_target", _cols("period_month date", "region_key bigint", "line", "target double"), scope="region_key", fact=True, time="period_month"),
+        TableSpec("inventory", _cols("week date", "region_key bigint", "line", "available double", "safety double"), scope="region_key", fact=True, time="week"),
+        TableSpec("dim_region", _cols("region_key bigint", "region_name", "province_count int")),
         TableSpec("dim_channel", _cols("channel")),
         TableSpec("dim_line", _cols("line")),
-        TableSpec("dim_product", _cols("part_key", "product_name", "line", "category", "list_price", list_price=ColumnSpec("list_price", INTERNAL))),
-        TableSpec("dim_customer", _cols("cust_key", "customer_name", "region_key", "channel", customer_name=ColumnSpec("customer_name", SENSITIVE, ("ADMIN",))), scope="region_key"),
+        TableSpec("dim_product", _cols("part_key bigint", "product_name", "line", "category", "list_price", list_price=ColumnSpec("list_price", INTERNAL, kind="decimal(12,2)"))),
+        TableSpec("dim_customer", _cols("cust_key bigint", "customer_name", "region_key bigint", "channel", customer_name=ColumnSpec("customer_name", SENSITIVE, ("ADMIN",))), scope="region_key"),
     ),
-    joins=frozenset(
-        map(
-            frozenset,
-            (
-                ("fact_sales", "dim_region"), ("fact_sales", "dim_channel"), ("fact_sales", "dim_line"), ("fact_sales", "dim_product"), ("fact_sales", "dim_customer"),
-                ("dim_product", "dim_line"), ("sales_target", "dim_region"), ("sales_target", "dim_line"), ("inventory", "dim_region"), ("inventory", "dim_line"), ("dim_customer", "dim_region"), ("dim_customer", "dim_channel"),
-            ),
+    edges=frozenset(
+        frozenset(((left, column), (right, column)))
+        for left, right, column in (
+            ("fact_sales", "dim_region", "region_key"), ("fact_sales", "dim_channel", "channel"), ("fact_sales", "dim_line", "line"), ("fact_sales", "dim_product", "part_key"), ("fact_sales", "dim_customer", "cust_key"),
+            ("dim_product", "dim_line", "line"), ("sales_target", "dim_region", "region_key"), ("sales_target", "dim_line", "line"), ("inventory", "dim_region", "region_key"), ("inventory", "dim_line", "line"), ("dim_customer", "dim_region", "region_key"), ("dim_customer", "dim_channel", "channel"),
         )
     ),
     metrics=(

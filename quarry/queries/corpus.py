@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import impact as I
 from quarry.operators import quality as Q
 from quarry.operators import retrieval as R
+from quarry.operators import vector_index as N
 from quarry.operators import vocabulary as V
 from quarry.queries.registry import query
 from quarry.sources import files
@@ -40,18 +43,35 @@ def asked_tokens(spark, sf):
     return V.postings(worded(spark, sf, "benchmark", "item_id"), "item_id")
 
 
-def sparse_hits(spark, sf):
-    """Vocabulary and hits are written once: the texts are cut into tokens twice, for the vocabulary and for the weights."""
-    vocab = vocabulary(spark, sf)
-    asked = V.sparse_weights(asked_tokens(spark, sf), vocab, "item_id")
-    return settled(V.top(V.sparse_scores(asked, weights(spark, sf, vocab), "item_id", "doc_id"), "item_id", "doc_id", 20))
+def tokens_of(docs):
+    """doc_id, most, token: the greatest count is made before texts are cut, once a text."""
+    return docs.withColumn("most", X.greatest_count(F.col("words"))).select("doc_id", "most", F.explode("words").alias("token"))
 
 
-def shared_hits(spark, sf):
+def asked_postings(spark, sf):
+    """item_id, token, c of the questions; doc_id, token, c, most of the documents for the questions' tokens alone: texts are cut and counted once."""
+    asked = settled(asked_tokens(spark, sf))
+    wanted = I.told(asked.select("token").distinct())
+    return asked, settled(tokens_of(worded(spark, sf)).join(wanted, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("c"), F.first("most").alias("most")))
+
+
+def weighted(spark, sf, asked, posted):
+    """(item_id, token, q; doc_id, token, w): weights as the frozen vocabulary gives them, for the questions' tokens."""
+    idf = settled(V.with_idf(posted.groupBy("token").agg(F.count("*").alias("df")), raw(spark, sf, "documents").count())).select("token", "idf")
+    most = asked.withColumn("most", F.max("c").over(Window.partitionBy("item_id"))).join(I.told(idf), "token")
+    q = most.select("item_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("q"))
+    return q, posted.join(I.told(idf), "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w"))
+
+
+def sparse_hits(spark, sf, asked, posted):
+    q, w = weighted(spark, sf, asked, posted)
+    return settled(I.search(I.build(w, "doc_id"), q, "item_id"))
+
+
+def shared_hits(asked, posted):
     """The twenty documents with the most different tokens in common: a list that knows neither counts nor rarity."""
-    words = worded(spark, sf).select("doc_id", F.explode(F.array_distinct("words")).alias("token"))
-    common = asked_tokens(spark, sf).select("item_id", "token").join(words, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
-    return settled(V.top(common, "item_id", "doc_id", 20))
+    ones = posted.select("doc_id", "token", F.lit(1.0).alias("w"))
+    return settled(I.search(I.build(ones, "doc_id"), asked.select("item_id", "token", F.lit(1.0).alias("q")), "item_id"))
 
 
 @query("doc_frequency", sql("SELECT token, df FROM df", WORDS))
@@ -88,7 +108,7 @@ def sparse_weights(spark, sf):
 
 @query("sparse_topk", sql("SELECT item_id, doc_id, score, rank FROM top", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES))
 def sparse_topk(spark, sf):
-    return sparse_hits(spark, sf).select("item_id", "doc_id", "score", "rank")
+    return sparse_hits(spark, sf, *asked_postings(spark, sf)).select("item_id", "doc_id", "score", "rank")
 
 
 DENSE = "dt AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dt QUALIFY rank <= 20)"
@@ -110,6 +130,49 @@ def dense_best(spark, sf):
     return R.best_over_queries(dense_hits(spark, sf), "vec_id").select("vec_id", F.round("score", 4).alias("score"))
 
 
+def vector_index(spark, sf):
+    v = raw(spark, sf, "embeddings")
+    return N.build(v, N.fit(v, key="vec_id"), key="vec_id"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query("vector_index_exact", sql("SELECT query_id, vec_id, round(score, 4) AS score, rank FROM dr", DENSE))
+def vector_index_exact(spark, sf):
+    """dense_topk through the inverted file, lists that cannot hold a better row left out."""
+    found = N.search(*vector_index(spark, sf), exact=True)
+    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("vector_index_recall", sql("SELECT query_id, CAST(count(*) AS BIGINT) AS wanted, true AS enough, true AS fewer FROM dr GROUP BY 1", DENSE))
+def vector_index_recall(spark, sf):
+    """Each question's wanted rows, whether all questions together find at least 0.9 of them, and whether fewer rows than all were compared."""
+    index, queries = vector_index(spark, sf)
+    probes = N.probes_for(index, raw(spark, sf, "embeddings"), key="vec_id")
+    found = settled(N.search(index, queries, probes=probes))
+    n = raw(spark, sf, "embeddings").count()
+    each = N.recall(found, dense_hits(spark, sf), "vec_id").join(found.select("query_id", "n_scored").distinct(), "query_id")
+    every = Window.partitionBy(F.lit(1))  # a row for each question
+    return each.select("query_id", F.col("n").alias("wanted"), (F.avg("recall").over(every) >= 0.9).alias("enough"), (F.col("n_scored") < n).alias("fewer"))
+
+
+PAIRED = "held AS (SELECT doc_id FROM documents JOIN embeddings ON vec_id = doc_id), hq AS (SELECT doc_id AS query_id, token, (1 + ln(c)) / (1 + ln(max(c) OVER (PARTITION BY doc_id))) * idf AS w FROM tf JOIN ids USING (token) WHERE doc_id % 20 = 0 AND doc_id IN (SELECT doc_id FROM held)), hs AS (SELECT query_id, w.doc_id, round(sum(hq.w * w.w), 6) AS score FROM hq JOIN ids USING (token) JOIN w ON w.token_id = ids.token_id WHERE w.doc_id IN (SELECT doc_id FROM held) GROUP BY 1, 2), hr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hs QUALIFY rank <= 20)"
+HYBRID = "hl AS (SELECT query_id, doc_id, rank FROM hr UNION ALL SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dt WHERE query_id IN (SELECT doc_id FROM held) AND vec_id IN (SELECT doc_id FROM held) QUALIFY rank <= 20), hf AS (SELECT query_id, doc_id, round(CAST(sum(CAST(round(1.0 / (60 + rank), 12) AS DECIMAL(20,12))) AS DOUBLE), 12) AS rrf FROM hl GROUP BY 1, 2)"
+
+
+@query("hybrid_store", sql("SELECT query_id, doc_id, round(rrf, 8) AS rrf, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS place FROM hf QUALIFY place <= 30", WORDS, NUMBERED, WEIGHTS, PAIRED, DENSE, HYBRID))
+def hybrid_store(spark, sf):
+    """One store of rows with a text and a vector: rows whose id is divisible by 20 ask with both; the exact dense list and the sparse one are fused."""
+    both = raw(spark, sf, "documents").select("doc_id", "text").join(raw(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    ask = F.col("doc_id") % 20 == 0
+    index = N.build(both, N.fit(both, key="doc_id"), key="doc_id")
+    dense = N.search(index, both.where(ask).select(F.col("doc_id").alias("query_id"), "embedding"), exact=True)
+    every = settled(tokens_of(worded(spark, sf)).groupBy("doc_id", "token").agg(F.count("*").alias("c"), F.first("most").alias("most")))
+    idf = settled(V.with_idf(every.groupBy("token").agg(F.count("*").alias("df")), raw(spark, sf, "documents").count())).select("token", "idf")
+    held = settled(every.join(both.select("doc_id"), "doc_id", "left_semi").join(idf, "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w")))
+    asked = held.where(ask).select(F.col("doc_id").alias("query_id"), "token", F.col("w").alias("q"))
+    sparse = I.search(I.build(held, "doc_id"), asked, "query_id")
+    return R.fused([dense, sparse], "query_id", "doc_id").select("query_id", "doc_id", F.round("rrf", 8).alias("rrf"), "place")
+
+
 SHARED = "shared AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT item_id, doc_id, count(*) AS score FROM q JOIN tf USING (token) GROUP BY 1, 2) QUALIFY rank <= 20)"
 FUSE = "l AS (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM shared), rrf AS (SELECT item_id, doc_id, round(CAST(sum(CAST(round(1.0 / (60 + rank), 12) AS DECIMAL(20,12))) AS DOUBLE), 12) AS rrf FROM l GROUP BY 1, 2)"
 
@@ -117,13 +180,15 @@ FUSE = "l AS (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, do
 @query("rrf_fusion", sql("SELECT item_id, doc_id, round(rrf, 8) AS rrf, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS place FROM rrf QUALIFY place <= 30", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES, SHARED, FUSE))
 def rrf_fusion(spark, sf):
     """The sparse list and the list of shared tokens."""
-    return R.fused([sparse_hits(spark, sf), shared_hits(spark, sf)], "item_id", "doc_id").select("item_id", "doc_id", F.round("rrf", 8).alias("rrf"), "place")
+    both = asked_postings(spark, sf)
+    return R.fused([sparse_hits(spark, sf, *both), shared_hits(*both)], "item_id", "doc_id").select("item_id", "doc_id", F.round("rrf", 8).alias("rrf"), "place")
 
 
 @query("recall_at_k", sql("SELECT item_id AS query_id, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM top t WHERE t.item_id = e.item_id AND rank <= 8) THEN 1 ELSE 0 END), 6) AS recall, count(*) AS expected FROM (SELECT item_id, doc_id FROM shared WHERE rank <= 10) e GROUP BY 1", WORDS, NUMBERED, WEIGHTS, QUESTIONS, SCORES, SHARED))
 def recall_at_k(spark, sf):
-    hits = sparse_hits(spark, sf).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key"), "rank")
-    wanted = shared_hits(spark, sf).where("rank <= 10").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key"))
+    both = asked_postings(spark, sf)
+    hits = sparse_hits(spark, sf, *both).select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key"), "rank")
+    wanted = shared_hits(*both).where("rank <= 10").select(F.col("item_id").alias("query_id"), F.col("doc_id").alias("key"))
     return Q.recall_at(wanted, hits, 8)
 
 

@@ -54,7 +54,15 @@ ATTEMPTS = (
     ("comma_join", "SELECT f.net FROM fact_sales f, dim_region r", "REPAIRABLE"),
     ("cross_join", "SELECT f.net FROM fact_sales f CROSS JOIN dim_region r", "REPAIRABLE"),
     ("using", "SELECT f.net FROM fact_sales f JOIN dim_region r USING (region_key)", "REPAIRABLE"),
-    ("no_such_join", "SELECT f.net FROM fact_sales f JOIN sales_target t ON f.line = t.line", "REPAIRABLE"),
+    ("no_such_join", "SELECT f.net FROM fact_sales f JOIN sales_target t ON f.line = t.line", "SECURITY"),
+    ("alias_of_itself", "SELECT b AS b FROM dim_region", "REPAIRABLE"),
+    ("column_of_another", "SELECT r.net FROM dim_region r", "REPAIRABLE"),
+    ("alias_in_where", "SELECT f.net AS x FROM fact_sales f WHERE x > 1", "REPAIRABLE"),
+    ("hiding_cte", "WITH dim_customer AS (SELECT customer_name AS customer_name FROM dim_customer) SELECT customer_name FROM dim_customer", "SECURITY"),
+    ("hidden_in_derived", "SELECT t.n FROM (SELECT MAX(customer_name) AS n FROM dim_customer) t", "SECURITY"),
+    ("true_join", "SELECT f.net FROM fact_sales f JOIN dim_region r ON 1 = 1", "REPAIRABLE"),
+    ("one_sided_join", "SELECT f.net FROM fact_sales f JOIN dim_region r ON f.region_key = f.region_key", "REPAIRABLE"),
+    ("other_column_join", "SELECT f.net FROM fact_sales f JOIN dim_region r ON f.cust_key = r.region_key", "REPAIRABLE"),
     ("bind", "SELECT region_name FROM dim_region WHERE region_name = :who", "REPAIRABLE"),
     ("broken", "SELECT region_name FROM", "REPAIRABLE"),
     ("show", "SHOW TABLES", "SECURITY"),
@@ -63,24 +71,71 @@ ATTEMPTS = (
 )
 
 
-@query("governed_checks", "SELECT label, outcome FROM (VALUES " + ", ".join(f"('{label}', '{wanted}')" for label, _, wanted in ATTEMPTS) + ") t(label, outcome)")
+#: How many rows the accepted texts give, in SQL of their own.
+ACCEPTED = {
+    "plain": "(SELECT count(*) FROM region)",
+    "count": "1",
+    "join": "(SELECT count(DISTINCT n_regionkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)",
+    "with": "(SELECT least(5, count(DISTINCT p_brand)) FROM lineitem JOIN part ON l_partkey = p_partkey)",
+    "derived": "(SELECT least(1000, count(*)) FROM lineitem)",
+    "case": "1",
+    "like_null": "(SELECT count(DISTINCT p_brand) FROM part WHERE p_brand LIKE '%1%')",
+}
+
+
+def star(spark, sf) -> dict:
+    """The tables that the registered texts read."""
+    nations = T.raw(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region_key")).agg(F.count("*").cast("int").alias("province_count"))
+    regions = T.raw(spark, sf, "region").select(F.col("r_regionkey").alias("region_key"), F.col("r_name").alias("region_name")).join(nations, "region_key")
+    return {"fact_sales": T.sales(spark, sf), "dim_region": regions, "dim_line": T.products(spark, sf).select("line").distinct()}
+
+
+@query("governed_checks", "SELECT label, outcome, CAST(n_rows AS BIGINT) AS n_rows FROM (VALUES " + ", ".join(f"('{label}', '{wanted}', {ACCEPTED.get(label, 'NULL')})" for label, _, wanted in ATTEMPTS) + ") t(label, outcome, n_rows)")
 def governed_checks(spark, sf):
-    """What the guard says of each text."""
+    """What the guard says of each text, and how many rows the tables give to those that it lets through."""
+    tables = star(spark, sf)
 
-    def outcome(text: str) -> str:
+    def outcome(text: str) -> tuple[str, int | None]:
         try:
-            G.check(spark, text)
+            return "OK", len(G.execute(spark, tables, text, seconds=None).rows)
         except G.Refused as e:
-            return e.kind
-        return "OK"
+            return e.kind, None
 
-    return spark.createDataFrame([(label, outcome(text)) for label, text, _ in ATTEMPTS], "label string, outcome string")
+    return spark.createDataFrame([(label, *outcome(text)) for label, text, _ in ATTEMPTS], "label string, outcome string, n_rows long")
+
+
+#: Kinds of predicates over a month m, and the days they read in SQL.
+KINDS = (
+    ("order_date >= '{m}' AND order_date < DATE_ADD(DATE('{m}'), INTERVAL 1 MONTH)", "m", "m + INTERVAL 1 MONTH"),
+    ("order_date BETWEEN '{m}' AND LAST_DAY('{m}')", "m", "last_day(m)"),
+    ("order_date = '{m}' OR order_date = DATE_ADD(DATE('{m}'), INTERVAL 10 DAY)", "m", "m + INTERVAL 10 DAY"),
+    ("NOT (order_date < DATE_SUB(DATE('{m}'), INTERVAL 7 DAY) OR order_date > '{m}')", "m - INTERVAL 7 DAY", "m"),
+    ("DATE_FORMAT(order_date, '%Y-%m') = SUBSTRING('{m}', 1, 7)", "m", "m + INTERVAL 1 MONTH"),
+    ("YEAR(order_date) = YEAR('{m}')", "date_trunc('year', m)", "date_trunc('year', m) + INTERVAL 1 YEAR"),
+    ("order_date >= '{m}' AND (order_date < DATE_ADD(DATE('{m}'), INTERVAL 1 MONTH) OR line = 'Brand#11')", "NULL", "NULL"),
+)
+
+
+@query(
+    "governed_ranges",
+    "WITH months AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, o_orderpriority AS p FROM orders), k AS (SELECT m, max(p) AS p, CAST((year(m) * 12 + month(m)) % 7 AS INTEGER) AS kind FROM months GROUP BY m) "
+    "SELECT CAST(m AS VARCHAR) AS month, kind, CASE kind " + " ".join(f"WHEN {i} THEN CAST(CAST({a} AS DATE) AS VARCHAR)" for i, (_, a, _) in enumerate(KINDS)) + " END AS first_day, CASE kind " + " ".join(f"WHEN {i} THEN CAST(CAST({b} AS DATE) AS VARCHAR)" for i, (_, _, b) in enumerate(KINDS)) + " END AS last_day, CASE WHEN kind = 6 THEN NULL ELSE p END AS channel FROM k",
+)
+def governed_ranges(spark, sf):
+    """A text of each month of the orders, in one of seven ways to say which days it reads; from its predicates the guard tells them and the fixed channel."""
+    months = T.raw(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "month").alias("m")).agg(F.max("o_orderpriority").alias("p"))
+    found = []
+    for r in months.collect():  # a row for each month of the business
+        kind = (r["m"].year * 12 + r["m"].month) % len(KINDS)
+        where = KINDS[kind][0].format(m=r["m"].isoformat())
+        scope = "" if kind == 6 else f" AND channel = '{r['p']}'"
+        checked = G.check(spark, f"SELECT SUM(net) AS n FROM fact_sales WHERE ({where}){scope}")
+        found.append((r["m"].isoformat(), kind, *(checked.time_range or (None, None)), checked.filters.get("channel")))
+    return spark.createDataFrame(found, "month string, kind int, first_day string, last_day string, channel string")
 
 
 def governed(spark, sf, text: str, schema: str, who: Principal | None = None, **options):
-    nations = T.raw(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region_key")).agg(F.count("*").cast("int").alias("province_count"))
-    regions = T.raw(spark, sf, "region").select(F.col("r_regionkey").alias("region_key"), F.col("r_name").alias("region_name")).join(nations, "region_key")
-    result = G.execute(spark, {"fact_sales": T.sales(spark, sf), "dim_region": regions}, text, who=who, seconds=None, **options)
+    result = G.execute(spark, star(spark, sf), text, who=who, seconds=None, **options)
     return spark.createDataFrame([tuple(r) for r in result.rows], schema)
 
 

@@ -1,8 +1,7 @@
 """Document files: scan, guards, and parsers to blocks and chunks.
 
 Readers start from Spark's binaryFile source, so any store that Spark reads will do.  A parser works
-on one file's bytes in an Arrow batch; PDF text needs a library that may be missing, and such files
-are marked instead of failing the job.
+on one file's bytes in an Arrow batch; PDF files have a reader of their own (parsed_pdf), whose layout is Spark's work.
 """
 
 from __future__ import annotations
@@ -252,6 +251,45 @@ def parsed(files: DataFrame) -> DataFrame:
     return files.select("path", "format", "content").mapInPandas(run, f"path string, blocks {BLOCKS}")
 
 
+def pdf_blocks(items: list[dict] | None) -> list[Block] | None:
+    """Blocks of a PDF file's lines and tables (pdf.content), in reading order; a caption line is the table's below it, also on the next page."""
+    if items is None:
+        return None
+    out: list[Block] = []
+    held: list[str] = []
+    caption = None
+
+    def flush() -> None:
+        if held:
+            out.extend(plain_text("\n".join(held)))
+            held.clear()
+
+    for i, x in enumerate(items):
+        below = items[i + 1] if i + 1 < len(items) else None
+        if x["text"] is None:
+            flush()
+            out.append(Block("TABLE", caption=caption, header=list(x["header"]), rows=[list(r) for r in x["rows"]]))
+            caption = None
+        elif below is not None and below["text"] is None and (m := CAPTION.match(x["text"].strip())):
+            caption = m[1].strip()
+        else:
+            held.append(x["text"])
+    flush()
+    return captioned(out)
+
+
+def parsed_pdf(files: DataFrame) -> DataFrame:
+    """path, blocks of PDF files (null where one cannot be read; none for a scanned one)."""
+    from quarry.sources import pdf
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [pdf_blocks(None if x is None else list(x)) for x in f["items"]]
+            yield pd.DataFrame({"path": f["path"], "blocks": [None if b is None else [vars(x) for x in b] for b in found]})
+
+    return pdf.content(files).mapInPandas(run, f"path string, blocks {BLOCKS}")
+
+
 #: Headings of sections that only frame a document.
 FRAME = re.compile("^(修订历史|版本变更记录|修订记录|附件目录)$")
 CAPTION = re.compile(r"^表[：:]\s*(.+)$")

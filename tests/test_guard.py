@@ -15,6 +15,13 @@ GOOD = [
     "SELECT SUM(CASE WHEN line = 'A' THEN net END) / NULLIF(SUM(net), 0) AS share FROM fact_sales WHERE channel IN ('BUILDING', 'x') AND NOT (line = 'b')",
     "SELECT p.line, SUM(f.net) AS n FROM fact_sales f JOIN dim_product p ON f.part_key = p.part_key JOIN dim_line l ON p.line = l.line GROUP BY p.line",
     "SELECT region_name FROM dim_region WHERE region_name = 'a;b -- c'",
+    "SELECT SUM(net) AS total FROM fact_sales GROUP BY line HAVING total > 3 ORDER BY total",
+    "SELECT MONTH(order_date) AS m, SUM(net) AS n FROM fact_sales GROUP BY m ORDER BY n",
+    "WITH dim_line AS (SELECT line AS l FROM dim_line) SELECT l FROM dim_line",
+    "WITH a AS (SELECT YEAR(order_date) AS y, SUM(net) AS n FROM fact_sales GROUP BY YEAR(order_date)), b AS (SELECT y + 1 AS y, n AS n FROM a) SELECT a.y AS y, a.n - b.n AS d FROM a JOIN b ON a.y = b.y",
+    "SELECT r.region_name, x.n FROM (SELECT region_key AS k, SUM(net) AS n FROM fact_sales GROUP BY region_key) x JOIN dim_region r ON x.k = r.region_key",
+    "SELECT f.net FROM fact_sales f LEFT JOIN dim_region r ON f.region_key = r.region_key AND r.region_name <> 'x'",
+    "SELECT line FROM dim_line WHERE line IN (SELECT line FROM dim_product) AND line = (SELECT MAX(line) FROM dim_product)",
 ]
 BAD = [
     ("DROP TABLE fact_sales", G.SECURITY),
@@ -48,7 +55,29 @@ BAD = [
     ("SELECT f.net FROM fact_sales f, dim_region r", G.REPAIRABLE),
     ("SELECT f.net FROM fact_sales f CROSS JOIN dim_region r", G.REPAIRABLE),
     ("SELECT f.net FROM fact_sales f JOIN dim_region r USING (region_key)", G.REPAIRABLE),
-    ("SELECT f.net FROM fact_sales f JOIN sales_target t ON f.line = t.line", G.REPAIRABLE),
+    ("SELECT f.net FROM fact_sales f JOIN sales_target t ON f.line = t.line", G.SECURITY),
+    ("SELECT b AS b FROM dim_region", G.REPAIRABLE),
+    ("SELECT r.net FROM dim_region r", G.REPAIRABLE),
+    ("SELECT f.net AS x FROM fact_sales f WHERE x > 1", G.REPAIRABLE),
+    ("SELECT line AS customer_name FROM dim_line WHERE customer_name = 'x'", G.REPAIRABLE),
+    ("WITH dim_customer AS (SELECT customer_name AS customer_name FROM dim_customer) SELECT customer_name FROM dim_customer", G.SECURITY),
+    ("WITH x AS (SELECT customer_name AS n FROM dim_customer) SELECT n FROM x", G.SECURITY),
+    ("SELECT t.n FROM (SELECT MAX(customer_name) AS n FROM dim_customer) t", G.SECURITY),
+    ("SELECT cust_key FROM dim_customer ORDER BY customer_name", G.SECURITY),
+    ("SELECT line FROM dim_line WHERE line IN (SELECT customer_name FROM dim_customer)", G.SECURITY),
+    ("WITH x AS (SELECT line FROM dim_line) SELECT region_name FROM x", G.REPAIRABLE),
+    ("SELECT x.n FROM (SELECT line AS l FROM dim_line) x", G.REPAIRABLE),
+    ("WITH a AS (SELECT line FROM dim_line), b AS (SELECT line FROM a) SELECT b.line FROM b JOIN c ON b.line = c.line", G.SECURITY),
+    ("SELECT f.net FROM fact_sales f JOIN dim_region r ON 1 = 1", G.REPAIRABLE),
+    ("SELECT f.net FROM fact_sales f JOIN dim_region r ON f.region_key = f.region_key", G.REPAIRABLE),
+    ("SELECT f.net FROM fact_sales f JOIN dim_region r ON f.region_key = 3", G.REPAIRABLE),
+    ("SELECT f.net FROM fact_sales f JOIN dim_region r ON f.region_key > r.region_key", G.REPAIRABLE),
+    ("SELECT f.net FROM fact_sales f JOIN dim_region r ON f.region_key = r.region_key OR 1 = 1", G.REPAIRABLE),
+    ("SELECT f.net FROM fact_sales f JOIN dim_region r ON f.cust_key = r.region_key", G.REPAIRABLE),
+    ("SELECT region_key FROM fact_sales f JOIN dim_region r ON f.region_key = r.region_key", G.REPAIRABLE),
+    ("SELECT x.line FROM (SELECT line, part_key FROM fact_sales) x JOIN inventory i ON x.line = i.line", G.SECURITY),
+    ("SELECT line, net FROM fact_sales GROUP BY line", G.REPAIRABLE),
+    ("SELECT line FROM dim_line WHERE line = (SELECT customer_name FROM dim_customer LIMIT 1)", G.SECURITY),
     ("SELECT SOUNDEX(region_name) FROM dim_region", G.REPAIRABLE),
     ("SELECT ROW_NUMBER() OVER (ORDER BY net) FROM fact_sales", G.REPAIRABLE),
     ("SELECT line FROM fact_sales WHERE EXISTS (SELECT line FROM dim_line)", G.REPAIRABLE),
@@ -90,6 +119,52 @@ def test_time_range_and_filters(spark):
     assert G.check(spark, "SELECT line FROM fact_sales WHERE channel = 'BUILDING' AND region_key = 2").filters == {"channel": "BUILDING", "region_key": "2"}
 
 
+RANGES = [
+    ("order_date >= '1997-01-01'", None),
+    ("order_date >= '1997-01-01' AND order_date <= '1997-02-01'", ("1997-01-01", "1997-02-01")),
+    ("'1997-01-01' <= order_date AND '1997-02-01' > order_date", ("1997-01-01", "1997-02-01")),
+    ("order_date BETWEEN '1997-01-01' AND LAST_DAY('1997-02-05')", ("1997-01-01", "1997-02-28")),
+    ("order_date = '1997-01-05'", ("1997-01-05", "1997-01-05")),
+    ("order_date IN ('1997-01-05', '1997-03-05', '1996-12-01')", ("1996-12-01", "1997-03-05")),
+    ("order_date >= '1997-01-01' AND order_date < '1997-02-01' OR order_date >= '1996-01-01' AND order_date < '1996-02-01'", ("1996-01-01", "1997-02-01")),
+    ("order_date >= '1997-01-01' AND order_date < '1997-02-01' OR line = 'order_date >= 1990-01-01'", None),
+    ("NOT (order_date < '1997-01-01' OR order_date >= '1997-02-01')", ("1997-01-01", "1997-02-01")),
+    ("NOT (order_date >= '1997-01-01' AND order_date < '1997-02-01')", None),
+    ("YEAR(order_date) = 1997", ("1997-01-01", "1998-01-01")),
+    ("YEAR(order_date) BETWEEN 1996 AND 1997", ("1996-01-01", "1998-01-01")),
+    ("DATE_FORMAT(order_date, '%Y-%m') = '1997-12'", ("1997-12-01", "1998-01-01")),
+    ("MONTH(order_date) = 5", None),
+    ("order_date >= DATE_SUB(DATE('1997-01-08'), INTERVAL 7 DAY) AND order_date < DATE_ADD(DATE('1997-01-01'), INTERVAL 1 MONTH)", ("1997-01-01", "1997-02-01")),
+    ("order_date >= STR_TO_DATE('05/01/1997', '%d/%m/%Y') AND order_date <= :until", ("1997-01-05", "1997-06-30")),
+    ("line = '>= 1997-01-01' AND channel <> '<= 1998-01-01'", None),
+    ("order_date >= '1997-01-01' AND order_date >= '1997-03-01' AND order_date < '1998-01-01'", ("1997-03-01", "1998-01-01")),
+]
+
+
+@pytest.mark.parametrize(("where", "days"), RANGES)
+def test_intervals(spark, where, days):
+    assert G.check(spark, f"SELECT SUM(net) AS n FROM fact_sales WHERE {where}", binds={"until": "1997-06-30"}).time_range == days
+
+
+def test_intervals_of_several_readings(spark):
+    two = "WITH a AS (SELECT line, SUM(net) AS n FROM fact_sales WHERE order_date >= '1997-07-01' AND order_date < '1997-10-01' GROUP BY line), b AS (SELECT line, SUM(net) AS n FROM fact_sales WHERE {} GROUP BY line) SELECT a.line, a.n - b.n AS d FROM a JOIN b ON a.line = b.line"
+    assert G.check(spark, two.format("order_date >= '1996-07-01' AND order_date < '1996-10-01'")).time_range == ("1996-07-01", "1997-10-01")
+    assert G.check(spark, two.format("net > 0")).time_range is None
+    twice = "WITH a AS (SELECT line, order_date, SUM(net) AS n FROM fact_sales GROUP BY line, order_date) SELECT x.line, x.n - y.n AS d FROM a x JOIN a y ON x.line = y.line WHERE x.order_date = '1997-01-01' AND y.order_date = '1996-01-01'"
+    assert G.check(spark, twice).time_range == ("1996-01-01", "1997-01-01")
+    assert G.check(spark, "SELECT SUM(t.target) AS n FROM sales_target t WHERE t.period_month >= '1997-01-01' AND t.period_month <= '1997-06-01'").time_range == ("1997-01-01", "1997-06-01")
+
+
+def test_fixed_dimensions(spark):
+    fixed = lambda where: G.check(spark, f"SELECT SUM(f.net) AS n FROM fact_sales f JOIN dim_region r ON f.region_key = r.region_key WHERE {where}").filters
+    assert fixed("r.region_name = 'ASIA'") == {"region_name": "ASIA"}
+    assert fixed("r.region_name IN ('ASIA') AND 'x' = f.channel") == {"region_name": "ASIA", "channel": "x"}
+    assert fixed("r.region_name IN ('ASIA', 'AFRICA')") == {}
+    assert fixed("r.region_name = 'ASIA' OR r.region_name = 'AFRICA'") == {}
+    assert fixed("r.region_name = 'ASIA' OR f.line = 'x'") == {}
+    assert fixed("NOT r.region_name = 'ASIA' AND f.line = 'a = b'") == {"line": "a = b"}
+
+
 def test_execution_is_scoped_and_bounded(spark, sf):
     tables = {"fact_sales": T.sales(spark, sf), "dim_customer": T.customers(spark, sf)}
     sql = "SELECT region_key, COUNT(*) AS n FROM fact_sales GROUP BY region_key"
