@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.functions import segments as G
 from quarry.functions import text as X
 from quarry.operators import quality as Q
 from quarry.operators import retrieval as R
@@ -88,6 +90,37 @@ def dictionary_round_trip(spark, sf):
     return Q.divided_terms(terms, X.letter_words(F.col("term")))
 
 
+TYPES = "w AS (SELECT word, CAST(count(*) AS DOUBLE) AS freq FROM (SELECT unnest(string_split(lower(p_type), ' ')) AS word FROM part UNION ALL SELECT unnest(string_split(lower(p_name), ' ')) FROM part) WHERE word <> '' GROUP BY 1), c AS (SELECT word, round(ln(freq / (SELECT sum(freq) FROM w)), 9) AS cost FROM w)"
+
+
+def type_words(spark, sf):
+    """word, freq: of the parts' types and names; a part's name and type without spaces are the runs."""
+    p = raw(spark, sf, "part")
+    words = p.select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).unionAll(p.select(F.explode(F.split(F.lower("p_name"), " "))))
+    return words.where("word <> ''").groupBy("word").agg(F.count("*").alias("freq")), p.select(F.replace(F.lower(F.concat("p_name", "p_type")), F.lit(" "), F.lit("")).alias("run")).distinct()
+
+
+@query("segmented_terms", "WITH RECURSIVE " + TYPES + ", r AS (SELECT DISTINCT replace(lower(p_name || p_type), ' ', '') AS run FROM part), p(run, pos, total, words) AS (SELECT run, 0, CAST(0 AS DOUBLE), '' FROM r UNION ALL SELECT run, pos + length(word), round(total + cost, 9), words || CASE WHEN pos = 0 THEN '' ELSE ' ' END || word FROM p JOIN c ON substr(run, pos + 1, length(word)) = word WHERE pos < length(run)) SELECT run, words FROM p WHERE pos = length(run) QUALIFY row_number() OVER (PARTITION BY run ORDER BY total DESC) = 1")
+def segmented_terms(spark, sf):
+    """Names and types written without spaces, cut again along the best path through the word graph, by joins."""
+    words, runs = type_words(spark, sf)
+    return G.graph_best(runs, words).select("run", F.array_join("words", " ").alias("words"))
+
+
+@query("term_round_trip", "SELECT DISTINCT replace(lower(p_name || p_type), ' ', '') AS term, CAST(len(string_split(p_name || ' ' || p_type, ' ')) AS INTEGER) AS general, 1 AS own, 3 AS between FROM part")
+def term_round_trip(spark, sf):
+    """How many words a term is without being a user term, as one, and with a word before and behind it."""
+    words, runs = type_words(spark, sf)
+    terms = runs.select(F.row_number().over(Window.orderBy("run")).alias("id"), F.col("run").alias("term"))  # the types are few
+    around = terms.select((F.col("id") + 1_000_000).alias("id"), F.concat(F.lit("small"), "term", F.lit("bolt")).alias("text"))
+    texts = terms.select("id", F.col("term").alias("text"))
+    count = lambda found, name: found.select("id", F.size("words").alias(name))
+    plain, own = G.gathered(words), G.gathered(words, terms)
+    out = terms.join(count(G.segmented(texts, plain, key="id", runs=G.LETTERS), "general"), "id").join(count(G.segmented(texts, own, key="id", runs=G.LETTERS), "own"), "id")
+    between = count(G.segmented(around, own, key="id", runs=G.LETTERS), "between").withColumn("id", F.col("id") - 1_000_000)
+    return out.join(between, "id").select("term", "general", "own", "between")
+
+
 @query("embedding_batches", "SELECT doc_id, CAST(coalesce(length(text), 0) AS DOUBLE) AS first, 2 AS dim FROM documents")
 def embedding_batches(spark, sf):
     """A stand-in model whose vectors tell their text's length; batches of 16."""
