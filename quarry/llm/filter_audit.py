@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, hinted, pieces, ready
+from quarry.llm.common import documents, hinted, pieces, ready, written
 
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, UPPER_PERCENT = 200, 50, 2
@@ -67,7 +67,8 @@ def mask_counts(docs: DataFrame, labels: DataFrame, part: str = "source") -> Dat
     """part, mask, n, good, toxic: rows by the set of filters that they fail, E included."""
     says = lambda c: F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(c)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(says("quality"), says("toxic")).where("quality + toxic > 0")
-    ids = examined(docs, part).groupBy("digest", "part", "doc_id").agg(F.count("*").alias("n"), F.first("mask").alias("mask"))
+    # two plans read this; written, whole texts are read once
+    ids = written(examined(docs, part).groupBy("digest", "part", "doc_id").agg(F.count("*").alias("n"), F.first("mask").alias("mask")), "rows")
     ids = ids.join(hinted(known), "doc_id", "left").select("digest", "part", "doc_id", "mask", "n", *((F.col("n") * F.coalesce(c, F.lit(0))).alias(k) for c, k in (("quality", "good"), ("toxic", "toxic"))))
     # a part's rows of one text: all of them, and those of its least id, which alone may be free of E
     kinds = ("n", "good", "toxic")
