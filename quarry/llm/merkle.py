@@ -247,7 +247,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     ready(docs.sparkSession)
     # a tree's name is never null, and '' comes before '+', before all names that are given
     named = leaves(docs).select("doc_id", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("")).alias("tree"), F.col("leaf").alias("node"), "tampered")
-    rows = placed(named, "tree", "doc_id", "node")
+    rows = placed(written(named, "leaves"), "tree", "doc_id", "node")  # sorting reads its rows twice
     if not rows.limit(1).count():
         return rows.sparkSession.createDataFrame([], ", ".join(f"{k} {t}" for k, t in RESULT.items()))
     trees = rounds(rows)
