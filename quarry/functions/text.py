@@ -86,17 +86,6 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def greatest_count(words: Column) -> Column:
-    """How often the most frequent word stands in a list; 0 for none."""
-    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("most"))
-
-    def step(held: Column, word: Column) -> Column:
-        run = F.when(word == held["word"], held["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return F.struct(word.alias("word"), run.alias("run"), F.greatest(held["most"], run).alias("most"))
-
-    return F.aggregate(F.sort_array(words), start, step, lambda held: held["most"])
-
-
 def inverse_frequency(df: Column, n: Column) -> Column:
     """Smoothed: ln((N + 1) / (df + 1)) + 1."""
     return F.log((n + 1) / (df + 1)) + 1

@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from quarry.sources.shared import settled
 
 #: Bands of a unit of weight, rows of a part, postings of the first look, places of a score.
-BANDS, BLOCK, SEED, DIGITS = 8, 65_536, 20_000, 6
+BANDS, BLOCK, SEED, DIGITS = 8, 65_536, 4_000, 6
 #: Below a threshold by so much is below it for sure, however sums are rounded.
 SLACK = 1e-5
-#: Rows that are told to all tasks.
-TOLD = 500_000
 
 
 @dataclass
@@ -50,16 +48,13 @@ def build(postings: DataFrame, key: str) -> Impact:
     return Impact(rows, blocks, key)
 
 
-def told(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(TOLD + 1).count() <= TOLD else df
-
-
 def met(index: Impact, asked: DataFrame, query: str) -> DataFrame:
     """query, key, part of the score: asked (query, token, q, band, parts) with the postings of its blocks."""
-    large = told(index.blocks.where("parts > 1").select("token", "band", "parts"))
+    large = index.blocks.where("parts > 1").select("token", "band", "parts")
     rows = index.rows.join(large, ["token", "band"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(index.key), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return told(spread).join(rows, ["token", "band", "part"]).groupBy(query, index.key).agg(F.sum(F.col("q") * F.col("w")).alias("partial"))
+    # a table has a known size: Spark broadcasts it if that is small and shuffles it otherwise; so do the small tables below
+    spread = settled(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
+    return spread.join(rows, ["token", "band", "part"]).groupBy(query, index.key).agg(F.sum(F.col("q") * F.col("w")).alias("partial"))
 
 
 def kth(scores: DataFrame, query: str, by: Column, k: int) -> DataFrame:
@@ -79,7 +74,7 @@ def search(index: Impact, asked: DataFrame, query: str, k: int = 20) -> DataFram
     blocks = mine.join(index.blocks.select("token", "band", "top", "parts"), "token")
 
     first = met(index, blocks.where(F.col("before") < SEED).select(query, "token", "q", "band", "parts"), query)
-    threshold = told(settled(kth(first, query, F.col("partial"), k)))
+    threshold = settled(kth(first, query, F.col("partial"), k))
 
     least = Window.partitionBy(query).orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, 0)
     split = mine.join(threshold, query, "left").withColumn("below", F.sum("bound").over(least)).withColumn("total", F.sum("bound").over(Window.partitionBy(query)))
@@ -90,11 +85,11 @@ def search(index: Impact, asked: DataFrame, query: str, k: int = 20) -> DataFram
     found = met(index, wide.select(query, "token", "q", "band", "parts"), query)
 
     rest = split.groupBy(query).agg(F.first("floor").alias("floor"), F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("bound"))).alias("rest"))
-    candidates = settled(found.join(told(rest), query).where(F.col("partial") + F.col("rest") >= F.col("floor")).select(query, key, "partial"))
+    candidates = settled(found.join(rest, query).where(F.col("partial") + F.col("rest") >= F.col("floor")).select(query, key, "partial"))
 
     others = split.where("not essential").select(query, "token", "q")
-    looked = candidates.select(query, key).join(told(others), query)
-    again = told(others.select("token").distinct())
+    looked = candidates.select(query, key).join(others, query)
+    again = others.select("token").distinct()
     added = looked.join(index.rows.join(again, "token", "left_semi").select("token", key, "w"), ["token", key]).select(query, key, (F.col("q") * F.col("w")).alias("partial"))
     score = candidates.unionByName(added).groupBy(query, key).agg(F.round(F.sum("partial"), DIGITS).alias("score")).where("score > 0")
     best = Window.partitionBy(query).orderBy(F.desc("score"), key)

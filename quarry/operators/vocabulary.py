@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,23 @@ def postings(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
     return docs.select(key, F.explode(words).alias("token")).groupBy(key, "token").agg(F.count("*").alias("c"))
 
 
+def counted_words(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
+    """key, token, c, most: each text's different words with their counts, and its greatest count.  An id is one text, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens, counts, most = [], [], [], []
+            for k, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = Counter(some or ())
+                ids += [k] * len(n)
+                tokens += n.keys()
+                counts += n.values()
+                most += [max(n.values(), default=0)] * len(n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string()), pa.array(counts, pa.int64()), pa.array(most, pa.int64())], names=[key, "token", "c", "most"])
+
+    return docs.select(F.col(key).cast("long").alias(key), words).mapInArrow(run, f"{key} long, token string, c long, most long")
+
+
 def document_frequency(docs: DataFrame, words: str = "words") -> DataFrame:
     return docs.select(F.explode(F.array_distinct(words)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 

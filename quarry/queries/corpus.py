@@ -14,7 +14,7 @@ from quarry.operators import vocabulary as V
 from quarry.queries.registry import query
 from quarry.sources import files
 from quarry.sources.shared import settled
-from quarry.sources.tables import raw
+from quarry.sources.tables import raw, spread
 
 WORDS = "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS words FROM documents), tf AS (SELECT doc_id, token, count(*) AS c FROM (SELECT doc_id, unnest(words) AS token FROM docs) GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1)"
 NUMBERED = "ids AS (SELECT token, df, row_number() OVER (ORDER BY df DESC, token) - 1 AS token_id, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM df)"
@@ -28,7 +28,7 @@ def sql(body: str, *ctes: str) -> str:
 
 
 def worded(spark, sf, table="documents", key="doc_id"):
-    return raw(spark, sf, table).select(key, X.letter_words(F.col("text")).alias("words"))
+    return spread(raw(spark, sf, table).select(key, "text"), key).select(key, X.letter_words(F.col("text")).alias("words"))
 
 
 def vocabulary(spark, sf):
@@ -43,24 +43,19 @@ def asked_tokens(spark, sf):
     return V.postings(worded(spark, sf, "benchmark", "item_id"), "item_id")
 
 
-def tokens_of(docs):
-    """doc_id, most, token: the greatest count is made before texts are cut, once a text."""
-    return docs.withColumn("most", X.greatest_count(F.col("words"))).select("doc_id", "most", F.explode("words").alias("token"))
-
-
 def asked_postings(spark, sf):
     """item_id, token, c of the questions; doc_id, token, c, most of the documents for the questions' tokens alone: texts are cut and counted once."""
     asked = settled(asked_tokens(spark, sf))
-    wanted = I.told(asked.select("token").distinct())
-    return asked, settled(tokens_of(worded(spark, sf)).join(wanted, "token", "left_semi").groupBy("doc_id", "token").agg(F.count("*").alias("c"), F.first("most").alias("most")))
+    wanted = asked.select("token").distinct()
+    return asked, settled(V.counted_words(worded(spark, sf), "doc_id").join(wanted, "token", "left_semi"))
 
 
 def weighted(spark, sf, asked, posted):
     """(item_id, token, q; doc_id, token, w): weights as the frozen vocabulary gives them, for the questions' tokens."""
     idf = settled(V.with_idf(posted.groupBy("token").agg(F.count("*").alias("df")), raw(spark, sf, "documents").count())).select("token", "idf")
-    most = asked.withColumn("most", F.max("c").over(Window.partitionBy("item_id"))).join(I.told(idf), "token")
+    most = asked.withColumn("most", F.max("c").over(Window.partitionBy("item_id"))).join(idf, "token")
     q = most.select("item_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("q"))
-    return q, posted.join(I.told(idf), "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w"))
+    return q, posted.join(idf, "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w"))
 
 
 def sparse_hits(spark, sf, asked, posted):
@@ -165,7 +160,7 @@ def hybrid_store(spark, sf):
     ask = F.col("doc_id") % 20 == 0
     index = N.build(both, N.fit(both, key="doc_id"), key="doc_id")
     dense = N.search(index, both.where(ask).select(F.col("doc_id").alias("query_id"), "embedding"), exact=True)
-    every = settled(tokens_of(worded(spark, sf)).groupBy("doc_id", "token").agg(F.count("*").alias("c"), F.first("most").alias("most")))
+    every = settled(V.counted_words(worded(spark, sf), "doc_id"))
     idf = settled(V.with_idf(every.groupBy("token").agg(F.count("*").alias("df")), raw(spark, sf, "documents").count())).select("token", "idf")
     held = settled(every.join(both.select("doc_id"), "doc_id", "left_semi").join(idf, "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w")))
     asked = held.where(ask).select(F.col("doc_id").alias("query_id"), "token", F.col("w").alias("q"))

@@ -20,7 +20,9 @@ from quarry.queries.trails import TABLE, table_rows
 from quarry.sources import sinks
 from quarry.sources.shared import folder
 from quarry.sources.tables import raw
+from quarry.sources.versions import Table
 from quarry.streaming import events as S
+from quarry.streaming.handover import followed
 
 
 def new_path(spark, name: str) -> str:
@@ -46,6 +48,46 @@ def chunk_scroll(spark, sf):
     return R.scrolled(raw(spark, sf, "embeddings"))
 
 
+@query("versioned_reload", "SELECT CAST(n AS INTEGER) AS version, o_orderkey, o_orderstatus FROM orders, (SELECT unnest([0, 1, 2]) AS n) WHERE (n = 0 AND o_orderstatus = 'F') OR (n = 1 AND o_orderstatus <> 'F') OR (n = 2 AND o_orderstatus <> 'F' AND o_orderkey % 3 = 0)")
+def versioned_reload(spark, sf):
+    """A table of orders reloaded twice, the second time from itself; every version is read back."""
+    t = Table(spark, new_path(spark, "orders"))
+    o = raw(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    t.replace(o.where("o_orderstatus = 'F'"))
+    t.replace(o.where("o_orderstatus <> 'F'"))
+    t.replace(t.read().where("o_orderkey % 3 = 0"))
+    out = None
+    for n in t.numbers():
+        rows = t.read(n).select(F.lit(n).cast("int").alias("version"), "o_orderkey", "o_orderstatus")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("bounded_log", "SELECT event_id, user_id FROM events ORDER BY event_id DESC LIMIT 1500")
+def bounded_log(spark, sf):
+    """All events in four parts of a log, cut back to the newest 1500."""
+    e = raw(spark, sf, "events").select("event_id", "user_id")
+    top = e.agg(F.max("event_id")).first()[0]
+    t = Table(spark, new_path(spark, "log"))
+    for k in range(4):
+        t.append(e.where((F.col("event_id") > top * k // 4 - (k == 0)) & (F.col("event_id") <= top * (k + 1) // 4)), "event_id")
+    t.trimmed(1500)
+    t.retain(1)
+    return t.read()
+
+
+@query("replay_then_live", "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100")
+def replay_then_live(spark, sf):
+    """The events reach a log in two halves; the first is replayed after a cursor, the second comes through the stream, which is started twice."""
+    e = raw(spark, sf, "events").select("event_id", "user_id", "event_type")
+    half = e.agg(F.max("event_id")).first()[0] // 2
+    path, sink, state = (new_path(spark, n) for n in ("log", "sink", "state"))
+    e.where(F.col("event_id") <= half).write.parquet(path)
+    followed(spark, path, sink, state, after=100, per_trigger=100)
+    e.where(F.col("event_id") > half).write.mode("append").parquet(path)
+    return followed(spark, path, sink, state, after=100, per_trigger=100)
+
+
 @query("full_reload", "SELECT c_custkey, c_mktsegment FROM customer")
 def full_reload(spark, sf):
     """A table that held other rows is replaced by all customers."""

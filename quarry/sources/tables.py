@@ -12,6 +12,12 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of fewer files than cores, dealt out anew by key so that all cores work; a table of more files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation_key, region_key, region_name: one row a nation; the 25 nations and 5 regions are fixed, so broadcast."""
     n, r = raw(spark, sf_dir, "nation"), raw(spark, sf_dir, "region")
