@@ -151,19 +151,28 @@ class Usual:
         n = np.diff(some.first)
         mean = sums(costs(some, np.repeat(lang, n), self.told, self.order), some.first) / np.maximum(n, 1)
         middle, mad = (np.array([self.bands.get(int(g), (0.0, np.inf))[i] for g in lang]) for i in (0, 1))
-        return np.abs(mean - middle) <= self.width * np.maximum(mad, 1e-3) * np.sqrt(1 + SHORT / np.maximum(n, 1))
+        # rounded as the scores are that the band is made of, so that joined scores tell the same
+        return np.abs(np.round(mean, 4) - middle) <= self.width * np.maximum(mad, 1e-3) * np.sqrt(1 + SHORT / np.maximum(n, 1))
 
 
-def usual(docs: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, order: int = FIRST_ORDER, width: float = USUAL) -> Usual | None:
-    """Fitted on all documents; None if its model is not to be told."""
+def usual(docs: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, order: int = FIRST_ORDER, width: float = USUAL) -> tuple[DataFrame, Usual | None]:
+    """The rows to learn from, and what tells which of them are usual; None if the rows are just those.
+
+    Fitted on all documents at every size.  A model that may be told tells texts where they are read; beyond that rows are
+    scored by joins, like in the second pass, and those within the band are kept.
+    """
     model = kneser_ney(count_ngrams(docs, languages=languages, order=order), order)
     told = arrays(model, order)
     if told is None:
-        return None
+        rows = written(docs.select("text", "lang", F.monotonically_increasing_id().alias("doc_id")), "rows")
+        scored = written(score(rows, model, languages=languages, order=order, told=False, counted=False), "scored")
+        off = F.abs(F.col("bits") - F.col("middle")) <= width * F.greatest(F.col("mad"), F.lit(1e-3)) * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("chars"), F.lit(1)))
+        kept = scored.where("bits is not null").join(F.broadcast(deviations(scored)), "g", "left").where(F.coalesce(off, F.lit(True))).select("doc_id")
+        return rows.join(kept, "doc_id", "left_semi"), None
     scored = written(score(docs, model, languages=languages, order=order, counted=False), "scored")
     found = {r["g"]: (r["middle"], r["mad"]) for r in deviations(scored).collect()}  # a row for each language of the inventory
     dropped(scored)
-    return Usual(told, found, order, width)
+    return docs, Usual(told, found, order, width)
 
 
 def discounts(table: DataFrame) -> DataFrame:
@@ -382,7 +391,8 @@ def deviations(scored: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     ready(docs.sparkSession)
-    model = kneser_ney(count_ngrams(docs, languages=languages, order=order, only=usual(docs, languages=languages)), order)
+    learned, only = usual(docs, languages=languages)
+    model = kneser_ney(count_ngrams(learned, languages=languages, order=order, only=only), order)
     scored = written(score(docs, model, languages=languages, order=order), "scored")
     banded = scored.join(F.broadcast(bands(scored, width=width, least=least)), "g", "left")  # a row for each language of the inventory
     half = F.col("half") * F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("chars"), F.lit(1)))
