@@ -98,17 +98,42 @@ class BytePairs:
     def count(self, text: str) -> int:
         return len(self.engine.encode_to_numpy(text, allowed_special="all"))
 
-    def starts(self, text: str, low: int, high: int) -> tuple[int, dict[int, int]]:
-        """Number of tokens, and for stable positions (code points) from low to high the index of the token that begins there."""
+    def starts(self, text: str) -> tuple[int, ByteStarts]:
+        """Number of tokens, and the stable positions."""
         ids = self.engine.encode_to_numpy(text, allowed_special="all")
-        begin = np.concatenate(([0], np.cumsum(self.lengths[ids])))
-        out, done, at = {}, 0, 0
-        for m in _STABLE.finditer(text, max(low, 1), max(high, 0)):
-            done, at = done + len(text[at : m.start()].encode("utf-8", "replace")), m.start()
-            k = int(np.searchsorted(begin, done))
-            if begin[k] == done:
-                out[at] = k
-        return len(ids), out
+        return len(ids), ByteStarts(text, np.concatenate(([0], np.cumsum(self.lengths[ids]))))
+
+
+class ByteStarts:
+    """Stable positions (code points) of an encoding, looked up when they are asked for."""
+
+    def __init__(self, text: str, begin: np.ndarray) -> None:
+        self.text, self.begin = text, begin
+
+    def index(self, p: int) -> int | None:
+        """The token that begins at a position, if it is stable."""
+        if not _STABLE.match(self.text, p):
+            return None
+        done = len(self.text[:p].encode("utf-8", "replace"))
+        k = int(np.searchsorted(self.begin, done))
+        return k if self.begin[k] == done else None
+
+    def before(self, high: int) -> Iterator[int]:
+        """Stable positions from 1 to high."""
+        return (m.start() for m in _STABLE.finditer(self.text, 1, max(high + 1, 1)))
+
+
+class WordStarts:
+    """The same for positions that are known."""
+
+    def __init__(self, known: dict[int, int]) -> None:
+        self.known = known
+
+    def index(self, p: int) -> int | None:
+        return self.known.get(p)
+
+    def before(self, high: int) -> Iterator[int]:
+        return (p for p in sorted(self.known) if 1 <= p <= high)
 
 
 class Library:
@@ -120,9 +145,9 @@ class Library:
     def count(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def starts(self, text: str, low: int, high: int) -> tuple[int, dict[int, int]]:
+    def starts(self, text: str) -> tuple[int, WordStarts]:
         found = self.tokenizer.encode(text, add_special_tokens=False)
-        return len(found.ids), {p: i for p, i in starts(found) if low <= p <= high}
+        return len(found.ids), WordStarts(dict(starts(found)))
 
 
 def engine(path: str, tokenizer) -> BytePairs | Library:
@@ -159,19 +184,20 @@ def count_long(text: str, engine: BytePairs | Library, edge: int, chunk: int = C
         return engine.count(text), 0
     total = splices = 0
     begin, end, cut = 0, chunk, 0  # the left chunk, and where (in the text) its own part begins
-    size, known = engine.starts(text[:end], 1, end)
+    size, known = engine.starts(text[:end])
     while True:
-        skip = 0 if cut == begin else known[cut - begin]
+        skip = 0 if cut == begin else known.index(cut - begin)
         if end >= len(text):
             return total + size - skip, splices
         width = overlap
         while end - width > cut:
             right = end - width
             right_end = min(len(text), right + chunk)
-            right_size, theirs = engine.starts(text[right:right_end], 1, right_end - right)
-            joined = min((right + p for p in theirs if p <= width - edge and right + p > cut and right + p - begin in known), default=None)
+            right_size, theirs = engine.starts(text[right:right_end])
+            common = (right + p for p in theirs.before(width - edge) if right + p > cut and theirs.index(p) is not None)
+            joined = next((p for p in common if known.index(p - begin) is not None), None)
             if joined is not None:
-                total += known[joined - begin] - skip
+                total += known.index(joined - begin) - skip
                 splices += 1
                 # its encoding is handed on
                 begin, end, cut, size, known = right, right_end, joined, right_size, theirs
@@ -179,7 +205,7 @@ def count_long(text: str, engine: BytePairs | Library, edge: int, chunk: int = C
             width *= 2
         else:  # no common start in the whole chunk: twice as much of the text
             end = min(len(text), begin + 2 * (end - begin))
-            size, known = engine.starts(text[begin:end], 1, end - begin)
+            size, known = engine.starts(text[begin:end])
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, fast: bool = True) -> DataFrame:
