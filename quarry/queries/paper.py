@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.queries.registry import query
-from quarry.sources import pdf
+from quarry.sources import files, pdf
 from quarry.sources.shared import settled
 from quarry.sources.tables import raw
 
@@ -20,8 +20,8 @@ def printed_texts(spark, sf):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            files = [pdf.rendered(pdf.typeset([w.decode() for w in (t or "").encode().split()], PER_LINE, PER_PAGE), bool(k % 2)) for k, t in zip(f["doc_id"], f["text"], strict=True)]
-            yield pd.DataFrame({"path": f["doc_id"].astype(str), "content": files})
+            made = [pdf.rendered(pdf.typeset([w.decode() for w in (t or "").encode().split()], PER_LINE, PER_PAGE), bool(k % 2)) for k, t in zip(f["doc_id"], f["text"], strict=True)]
+            yield pd.DataFrame({"path": f["doc_id"].astype(str), "content": made})
 
     return raw(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").mapInPandas(run, "path string, content binary")
 
@@ -47,12 +47,12 @@ def printed_tables(spark, sf):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            files = []
+            made = []
             for rows in f["rows"]:
                 cells = [[str(x["c_custkey"]), x["c_name"], x["c_mktsegment"], x["balance"]] for x in rows]
                 pages = [pdf.ruled_table([["key", "name", "segment", "balance"], *cells[i : i + TABLE_ROWS]]) for i in range(0, len(cells), TABLE_ROWS)]
-                files.append(pdf.rendered([[("text", pdf.LEFT, pdf.TOP, pdf.SIZE, f"page {n}"), *p] for n, p in enumerate(pages, 1)]))
-            yield pd.DataFrame({"path": f["path"], "content": files})
+                made.append(pdf.rendered([[("text", pdf.LEFT, pdf.TOP, pdf.SIZE, f"page {n}"), *p] for n, p in enumerate(pages, 1)]))
+            yield pd.DataFrame({"path": f["path"], "content": made})
 
     return rows.mapInPandas(run, "path string, content binary")
 
@@ -67,3 +67,18 @@ def pdf_tables(spark, sf):
     found = pdf.tables(settled(pdf.marks(printed_tables(spark, sf))))
     rows = found.select(F.col("path").cast("long").alias("file"), "page", F.posexplode("rows").alias("row_no", "r"))
     return rows.select("file", "page", (F.col("row_no") + 1).alias("row_no"), F.col("r")[0].cast("long").alias("key"), F.col("r")[1].alias("name"), F.col("r")[2].alias("segment"), F.col("r")[3].alias("balance"))
+
+
+@query(
+    "upload_checks",
+    "WITH f AS (SELECT page_id, page_id % 4 AS s, (page_id // 4) % 5 AS c FROM pages), k AS (SELECT *, CASE s WHEN 0 THEN 'HTML' WHEN 1 THEN 'PDF' WHEN 2 THEN 'DOCX' END AS format, CASE c WHEN 1 THEN 'PDF' WHEN 2 THEN 'DOCX' END AS magic FROM f) "
+    "SELECT page_id, format, CASE WHEN format IS NULL THEN 'unknown format' WHEN magic <> format THEN 'content is ' || magic WHEN magic IS NULL AND format <> 'HTML' THEN 'no header of ' || format WHEN c = 3 THEN 'binary content' WHEN c = 4 THEN 'not UTF-8' END AS rejected FROM k",
+)
+def upload_checks(spark, sf):
+    """Every page as a file of one of four names and five contents: as it is, with the first bytes of a PDF or a ZIP file, with a NUL, with a byte that is no UTF-8."""
+    p, k = raw(spark, sf, "pages"), F.col("page_id")
+    path = F.concat(F.lit("page"), F.element_at(F.array(*map(F.lit, (".html", ".pdf", ".docx", ".bin"))), (k % 4 + 1).cast("int")))
+    first = F.element_at(F.array(*(F.lit(bytes(x)) for x in (b"", b"%PDF-1.4", b"PK\x03\x04", b"a\x00b", b"\xff"))), (F.floor(k / 4) % 5 + 1).cast("int"))
+    content = F.concat(first, F.encode("html", "utf-8"))
+    form = files.format_of(path)
+    return p.select("page_id", form.alias("format"), files.rejection(form, content).alias("rejected"))

@@ -35,6 +35,40 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), format_of(F.col("path")).alias("format"), F.sha2("content", 256).alias("checksum"), "content").where(F.col("size") <= MOST_BYTES)
 
 
+#: Bytes that say what a file is.
+HEAD = 4096
+
+
+def rejection(form: Column, content: Column) -> Column:
+    """Why a file is not taken: its name's format is unknown, or its first bytes are not of that format; null if it is taken."""
+    head = F.substring(content, 1, HEAD)
+    told = F.hex(F.substring(content, 1, 4))
+    magic = F.when(told == "25504446", "PDF").when(told == "504B0304", "DOCX")
+    whole = lambda n: F.is_valid_utf8(F.substring(content, 1, n).cast("string"))
+    # a character may be cut at the end of the head
+    text = whole(HEAD) | ((F.octet_length(content) > HEAD) & (whole(HEAD - 1) | whole(HEAD - 2) | whole(HEAD - 3)))
+    return (
+        F.when(form.isNull(), "unknown format")
+        .when(magic.isNotNull() & (magic != form), F.concat(F.lit("content is "), magic))
+        .when(magic.isNull() & form.isin("PDF", "DOCX"), F.concat(F.lit("no header of "), form))
+        .when(magic.isNull() & F.hex(head).rlike("^(?:..)*?00"), "binary content")
+        .when(magic.isNull() & ~text, "not UTF-8")
+    )
+
+
+def examined(spark: SparkSession, path: str) -> DataFrame:
+    """Every file that is not empty (Spark lists no empty ones) once: path, size, format, checksum, content, rejected (the reason, null if it is taken; content is only there if it is).
+
+    Files over the limit are told by their size alone, their content is not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    form = format_of(F.col("path")).alias("format")
+    small = files.where(F.col("length") <= MOST_BYTES).select("path", F.col("length").alias("size"), form, F.sha2("content", 256).alias("checksum"), "content")
+    small = small.withColumn("rejected", rejection(F.col("format"), F.col("content"))).withColumn("content", F.when(F.col("rejected").isNull(), F.col("content")))
+    large = files.where(F.col("length") > MOST_BYTES).select("path", F.col("length").alias("size"), form, F.lit(None).cast("string").alias("checksum"), F.lit(None).cast("binary").alias("content"), F.concat(F.lit("over "), F.lit(MOST_BYTES), F.lit(" bytes")).alias("rejected"))
+    return small.unionByName(large)
+
+
 def format_of(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     out = F.lit(None).cast("string")
