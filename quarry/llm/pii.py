@@ -85,7 +85,7 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", lambda v: mod97(F.regexp_replace(v, " ", "")), 0.9, r"iban|account|bank|konto|compte|banque|cuenta|banco", 0.1, False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", lambda v: ~v.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"ssn|social|security|sozial|sécurité|seguridad", 0.5, False),
     # a long run of letters and digits is a key or password only near a word that says so
-    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,200}+(?![A-Za-z0-9+/_-])", _SECRET, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 0.2, _SECRET, 0.6, False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])", _SECRET, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"), 0.2, _SECRET, 0.6, False),
 )
 
 

@@ -60,3 +60,12 @@ def test_chunks_are_encoded_once():
     text = "head words " * 300 + "b" * 60_000 + " tail words" * 300
     assert T.count_long(text, own, edge)[0] == own.count(text)
     assert sum(seen) < 8 * len(text)
+
+
+def test_long_secret(spark):
+    """A key of any length near a word that says so."""
+    from quarry.llm import pii
+
+    key = "aB3" * 400
+    got = pii.redact(spark.createDataFrame([(1, f"the api_key = {key} is here")], "doc_id long, text string")).first()
+    assert key not in got.text and got.text.startswith("the api_key") and got.text.endswith("is here")
