@@ -110,7 +110,7 @@ def retry_route(wanted: list[str], budgets: dict[str, int]) -> str:
     return next((r for r in ("replan", "expand", "tool", "analysis") if r in wanted and budgets.get(r, 0) > 0), "done")
 
 
-#: Tables whose missing rows are named one by one.
+#: The Chinese phrases of limits and citations below.  MOST_LIMITS: tables whose missing rows are named one by one.
 MOST_LIMITS = 3
 
 

@@ -326,6 +326,7 @@ def parsed_pdf(files: DataFrame) -> DataFrame:
 
 #: Headings of sections that only frame a document.
 FRAME = re.compile("^(修订历史|版本变更记录|修订记录|附件目录)$")
+#: Fixed value: how a table's caption begins.
 CAPTION = re.compile(r"^表[：:]\s*(.+)$")
 
 
