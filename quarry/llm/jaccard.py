@@ -4,9 +4,10 @@ A document's set is its distinct shingles of SIZE words.  Two documents link whe
 100 * |x & y| >= PERCENT * |x | y|.  The join finds every link between different sets and
 counts them for each document; documents of equal sets are one node, one row in all that follows.
 
-1. Global order.  All shingles of all texts are counted in a sketch of fixed size (two rows of
-   counters, summed over the tasks in levels).  The order is (estimate, hash), rare shingles first.
-   An estimate that is off costs time, never a link: any total order gives the same result.
+1. Global order.  All shingles of all texts are counted in a sketch (two rows of counters, summed over the
+   tasks in levels), which grows with the texts within SKETCH_BITS: in a sketch that is too small rare shingles
+   look like common ones, prefixes share by chance, and clusters grow together.  The order is (estimate, hash), rare
+   shingles first.  An estimate that is off costs time, never a link: any total order gives the same result.
 2. Clusters.  If two sets link, their prefixes in the global order share a shingle, and at their
    first common one the rest that is left must still hold enough.  Prefix shingles are dealt by ranges
    of (shingle, size, node), so that a frequent shingle is split over many tasks, and read as a stream.
@@ -43,7 +44,8 @@ from quarry.llm.textkernel import LOWER, U, Words, shingle_sets, windows
 
 SIZE = 5
 PERCENT = 80
-SKETCH_BITS = 19
+#: Least and most counters of a sketch's row, as powers of two, and bytes of text for each.
+SKETCH_BITS, SKETCH_BYTES = (19, 23), 768
 FRAGMENTS = 4
 #: Of a shingle of more nodes than this only sizes are compared when clusters are made.
 FEW = 48
@@ -60,35 +62,48 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -((-percent * (a + b)) // (100 + percent))
 
 
-def count_sketch(docs: DataFrame, *, size: int = SIZE, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Two rows of 2**bits counters over all shingles of all texts; the driver gets just these."""
-    part = 1 << 14
+def sketch_bits(docs: DataFrame) -> int:
+    """Counters of a row for the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(max((int(size) // SKETCH_BYTES).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the greatest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def count_sketch(docs: DataFrame, *, size: int = SIZE, bits: int | None = None) -> np.ndarray:
+    """Two rows of 2**bits counters (of 16 bits: what is more counts as the most) over all shingles of all texts; the driver gets just these."""
+    bits, part = sketch_bits(docs) if bits is None else bits, 1 << 14
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << bits), dtype=np.int64)
+        total = np.zeros((2, 1 << bits), dtype=np.uint32)
         for batch in batches:
             for _, texts in pieces(batch):
                 hashes, inside = windows(Words([t.translate(LOWER) for t in texts]), size)
                 for row, at in enumerate(slots(hashes[inside], bits)):
-                    total[row] += np.bincount(at, minlength=1 << bits)
+                    np.add.at(total[row], at, 1)
         flat = total.reshape(-1, part)
         some = np.flatnonzero(flat.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([flat[i].astype(np.int64).tobytes() for i in some], pa.binary())], names=["part", "counts"])
+        for at in range(0, len(some), 64):
+            few = some[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(few, pa.int32()), pa.array([narrow(flat[i]) for i in few], pa.binary())], names=["part", "counts"])
 
     def add(key: tuple, frames: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part, dtype=np.int64)
         for x in frames["counts"]:
-            total += np.frombuffer(x, dtype=np.int64)
-        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+            total += np.frombuffer(x, dtype=f"u{len(x) // part}").astype(np.int64)
+        return pd.DataFrame({"part": [key[0]], "counts": [narrow(total)]})
 
     parts = docs.select("text").mapInArrow(run, "part int, counts binary")
     near = F.floor(F.spark_partition_id() / LEVEL).cast("int").alias("near")
     parts = parts.select("part", near, "counts").groupBy("part", "near").applyInPandas(add, "part int, counts binary")
     parts = parts.groupBy("part").applyInPandas(add, "part int, counts binary")
-    out = np.zeros((2 << bits) // part * part, dtype=np.int64).reshape(-1, part)
+    out = np.zeros((2 << bits) // part * part, dtype=np.uint16).reshape(-1, part)
     for r in parts.toLocalIterator():
-        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return np.minimum(out.reshape(2, -1), 2**31 - 1).astype(np.int32)
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=f"u{len(r['counts']) // part}").astype(np.int64).clip(max=0xFFFF)
+    return out.reshape(2, -1)
 
 
 def slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

@@ -117,3 +117,17 @@ def test_fragments_cut_the_global_order():
     cx, cy = J.cuts(x, ex, places), J.cuts(y, ey, places)
     parts = [np.intersect1d(x[cx[f] : cx[f + 1]], y[cy[f] : cy[f + 1]]).size for f in range(4)]
     assert sum(parts) == np.intersect1d(a, b).size and all(parts)
+
+
+def test_the_sketch_grows_with_the_texts(spark, monkeypatch):
+    r = random.Random(9)
+    rows = list(enumerate(near_copies(30, 80, 4, 7) + [" ".join(f"w{r.randrange(10_000)}" for _ in range(400)) for _ in range(60)]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert J.sketch_bits(df) == J.SKETCH_BITS[0] and J.sketch_bits(df.where("false")) == J.SKETCH_BITS[0]
+    monkeypatch.setattr(J, "SKETCH_BITS", (14, 17))
+    monkeypatch.setattr(J, "SKETCH_BYTES", 4)
+    assert J.sketch_bits(df) in (15, 16)
+    sketch = J.count_sketch(df)
+    shingles = sum(len(t.split()) - 4 for _, t in rows)
+    assert sketch.shape == (2, 1 << J.sketch_bits(df)) and sketch.sum(axis=1).tolist() == [shingles] * 2
+    assert sorted((x.doc_id, x.component_id) for x in J.classes(df, with_links=False).collect()) == list(enumerate(brute_components(rows)))
