@@ -34,7 +34,7 @@ def printed_texts(spark, sf):
 )
 def pdf_text(spark, sf):
     """Every document as a PDF file, read back page by page and line by line."""
-    lines = pdf.text_lines(pdf.marks(printed_texts(spark, sf)))
+    lines = pdf.text_lines(settled(pdf.marks(printed_texts(spark, sf))))  # the layout reads the marks several times
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
     return lines.groupBy(F.col("path").cast("long").alias("doc_id"), "page").agg(F.count("*").alias("n_lines"), F.sha2(text, 256).alias("hash"))
 
