@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import blocks as B
 from quarry.operators import impact as I
 from quarry.operators import quality as Q
 from quarry.operators import retrieval as R
@@ -65,8 +66,8 @@ def sparse_hits(spark, sf, asked, posted):
 
 def shared_hits(asked, posted):
     """The twenty documents with the most different tokens in common: a list that knows neither counts nor rarity."""
-    ones = posted.select("doc_id", "token", F.lit(1.0).alias("w"))
-    return settled(I.search(I.build(ones, "doc_id"), asked.select("item_id", "token", F.lit(1.0).alias("q")), "item_id"))
+    one = F.lit(1.0).alias("w")
+    return settled(B.search(B.pack(posted.select("doc_id", "token", one), "doc_id"), B.pack(asked.select("item_id", "token", one), "item_id"), "doc_id", "item_id"))
 
 
 @query("doc_frequency", sql("SELECT token, df FROM df", WORDS))
@@ -162,9 +163,9 @@ def hybrid_store(spark, sf):
     dense = N.search(index, both.where(ask).select(F.col("doc_id").alias("query_id"), "embedding"), exact=True)
     every = settled(V.counted_words(worded(spark, sf), "doc_id"))
     idf = settled(V.with_idf(every.groupBy("token").agg(F.count("*").alias("df")), raw(spark, sf, "documents").count())).select("token", "idf")
-    held = settled(every.join(both.select("doc_id"), "doc_id", "left_semi").join(idf, "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w")))
-    asked = held.where(ask).select(F.col("doc_id").alias("query_id"), "token", F.col("w").alias("q"))
-    sparse = I.search(I.build(held, "doc_id"), asked, "query_id")
+    held = every.join(both.select("doc_id"), "doc_id", "left_semi").join(idf, "token").select("doc_id", "token", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w"))
+    packed = B.pack(held, "doc_id")
+    sparse = B.search(packed, packed.where(ask).withColumnRenamed("doc_id", "query_id"), "doc_id", "query_id")
     return R.fused([dense, sparse], "query_id", "doc_id").select("query_id", "doc_id", F.round("rrf", 8).alias("rrf"), "place")
 
 
