@@ -120,11 +120,13 @@ def table_limits(cited: DataFrame, *, task: str = "task_id", most: int = MOST_LI
     cited: task, document_id, document (shown name), section, caption, row_no, n_rows.
     """
     tables = cited.groupBy(task, "document_id", "section", "caption").agg(F.min("document").alias("document"), F.countDistinct("row_no").alias("covered"), F.max("n_rows").alias("total")).where("covered < total")
-    w = Window.partitionBy(task)
-    ranked = tables.withColumns({"place": F.row_number().over(w.orderBy("document", "caption", "total", "covered", "document_id", "section")).cast("long"), "n": F.count("*").over(w)})
+    # each task's first tables by a limited rank and their number by a count: no task sorts all tables of one
+    w = Window.partitionBy(task).orderBy("document", "caption", "total", "covered", "document_id", "section")
+    ranked = tables.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most + 1).withColumn("place", F.col("place").cast("long"))
+    ranked = ranked.join(tables.groupBy(F.col(task).alias("_task")).agg(F.count("*").alias("n")), F.col(task).eqNullSafe(F.col("_task")))
     shown = F.concat(F.lit("表格「"), "caption", F.lit("」（"), "document", F.lit("）共 "), F.col("total").cast("string"), F.lit(" 行，已引用 "), F.col("covered").cast("string"), F.lit(" 行"))
     others = F.concat(F.lit("另有 "), (F.col("n") - most).cast("string"), F.lit(" 张表不完整"))
-    return ranked.where(F.col("place") <= most + 1).select(task, "place", F.when(F.col("place") <= most, shown).otherwise(others).alias("text"))
+    return ranked.select(task, "place", F.when(F.col("place") <= most, shown).otherwise(others).alias("text"))
 
 
 def rendered_source() -> Column:

@@ -21,7 +21,7 @@ TABLE = "rows AS (SELECT o_orderkey AS document_id, o_orderpriority AS section,
 
 
 def table_rows(spark, sf):
-    li, o = T.raw(spark, sf, "lineitem"), T.raw(spark, sf, "orders")
+    li, o = T.dealt(T.raw(spark, sf, "lineitem"), "l_orderkey"), T.raw(spark, sf, "orders")
     key = F.concat(F.col("o_orderkey").cast("string"), F.lit("#"), F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))
     return li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("o_orderkey").alias("document_id"), F.col("o_orderpriority").alias("section"), F.col("o_orderstatus").alias("caption"), F.col("l_linenumber").alias("char_start"), key.alias("chunk_id"), "l_returnflag", F.col("l_extendedprice").alias("score"))
 

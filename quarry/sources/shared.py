@@ -23,6 +23,16 @@ def folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or local
 
 
+#: Spark's setting for the bytes of an Arrow batch, and its default.
+BATCH, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of 4 MB, unless the session says otherwise: a Python worker holds several, and their values take many times their bytes."""
+    if spark.conf.get(BATCH) == DEFAULT:
+        spark.conf.set(BATCH, "4m")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written once and read back: what comes of it no longer depends on how a plan is run again."""
     path = f"{folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import bounded
+
 MONEY, RATE = "decimal(12,2)", "decimal(5,2)"
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a part that one task sorts.
+PART = 250_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """A large table dealt out by key in parts of about PART rows, which joins and windows by the key keep: what a task sorts does not grow with the table.  One of up to four parts stays as it is."""
+    n = df.count()
+    return df.repartition(-(-n // PART), key) if n > 4 * PART else df
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows of a table of fewer files than cores, dealt out anew by key so that all cores work; a table of more files stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -58,7 +71,7 @@ def sales(spark: SparkSession, sf_dir: str, *, start: str | None = None, end: st
         orders = orders.where(F.col("o_orderdate") < F.lit(end).cast("timestamp_ntz"))
     o = orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust_key"), F.to_date("o_orderdate").alias("order_date"))
     placed = o.join(customers(spark, sf_dir).drop("customer_name"), "cust_key") if "customer" in dims else o
-    li = raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), F.col("l_quantity").alias("quantity"), *(c.alias(n) for n, c in amounts().items()))
+    li = dealt(raw(spark, sf_dir, "lineitem"), "l_orderkey").select(F.col("l_orderkey").alias("order_key"), F.col("l_partkey").alias("part_key"), F.col("l_quantity").alias("quantity"), *(c.alias(n) for n, c in amounts().items()))
     lines = li.join(placed, "order_key")
     return lines.join(products(spark, sf_dir).select("part_key", "line", "category"), "part_key") if "product" in dims else lines
 
