@@ -14,6 +14,8 @@ RRF_K = 60
 FUSED, FINAL = 30, 8
 DENSE_FLOOR, RERANK_FLOOR = 0.60, 0.07
 TABLE_ROWS = 12
+#: Rows that are scored at once.
+SCORED = 1024
 
 
 def effective(start: Column, end: Column, day: Column) -> Column:
@@ -37,8 +39,8 @@ def permitted(chunks: DataFrame, *, roles: tuple[str, ...] = (), day: date | Non
 def dense_top(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, block: int = 512) -> DataFrame:
     """query_id, key, score, rank by cosine; a zero vector scores 0; the query's own row takes part.
 
-    Queries go out in blocks of proven size.  Each Arrow batch is scored by one matrix product and
-    only its k best rows for each query leave the task.
+    Queries go out in blocks of proven size.  SCORED rows are scored by one matrix product and only a
+    task's k best rows for each query leave it.
     """
     spark, parts = vectors.sparkSession, []
     held = []
@@ -68,15 +70,17 @@ def _dense_block(spark, vectors: DataFrame, rows: list, key: str, vector: str, k
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix = shared.value
-        for b in batches:
-            b = b[b[vector].notna()].sort_values(key, kind="stable")
+        keys, scores = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for b in (b.iloc[i : i + SCORED] for b in batches for i in range(0, len(b), SCORED)):
+            b = b[b[vector].notna()]
             if not len(b) or not len(ids):
                 continue
-            own = b[key].to_numpy(np.int64)
-            score = np.round(matrix @ unit(np.stack(b[vector].to_numpy()).astype(np.float64)).T, 6)
-            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            n = best.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(ids, n), key: own[best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()})
+            score = np.round(matrix @ unit(np.stack(b[vector].to_numpy()).astype(np.float64)).T, 6) + 0.0
+            keys = np.concatenate([keys, np.broadcast_to(b[key].to_numpy(np.int64), score.shape)], axis=1)
+            scores = np.concatenate([scores, score], axis=1)
+            best = np.lexsort((keys, -scores), axis=1)[:, :k]
+            keys, scores = np.take_along_axis(keys, best, axis=1), np.take_along_axis(scores, best, axis=1)
+        yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1]), key: keys.ravel(), "score": scores.ravel()})
 
     return vectors.select(F.col(key).cast("long").alias(key), vector).mapInPandas(run, f"query_id long, {key} long, score double")
 

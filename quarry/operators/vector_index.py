@@ -31,6 +31,8 @@ from quarry.sources.shared import settled
 #: Sampled rows for each list, most lists (they bound what is told to tasks), rounds of fitting.
 SAMPLE, MOST_LISTS, ROUNDS = 64, 4096, 12
 BLOCK, ASKED = 8192, 2048
+#: Rows of a matrix of scores that are held at once.
+HELD = 256
 #: Rounding of scores, and what an angle may be off by.
 DIGITS, SLACK = 6, 1e-5
 
@@ -86,9 +88,7 @@ def build(vectors: DataFrame, centroids: np.ndarray, *, key: str, vector: str =
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             m = unit(_matrix(b.column(1)))
             similar = m @ shared.value.T if m.shape[1] == shared.value.shape[1] else np.zeros((len(m), len(shared.value)))
             own = np.argmax(similar, axis=1)
@@ -103,6 +103,13 @@ def build(vectors: DataFrame, centroids: np.ndarray, *, key: str, vector: str =
     return Index(rows.drop("angle"), lists, centroids, key)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most HELD rows at a time, as each is compared with every centroid."""
+    for b in batches:
+        for i in range(0, b.num_rows, HELD):
+            yield b.slice(i, HELD)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as rows; an offset or a null in the batch is as Arrow has it."""
     width = len(column[0]) if len(column) else 0
@@ -114,9 +121,7 @@ def probed(queries: DataFrame, index: Index, vector: str = "embedding") -> DataF
     shared = queries.sparkSession.sparkContext.broadcast(index.centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in slices(batches):
             m = unit(_matrix(b.column(1)))
             similar = m @ shared.value.T if m.shape[1] == shared.value.shape[1] else np.zeros((len(m), len(shared.value)))
             order = np.argsort(-similar, axis=1, kind="stable")
@@ -143,12 +148,15 @@ def scored(wanted: DataFrame, index: Index, k: int) -> DataFrame:
         left = left.sort_by("row")
         own = left["row"].to_numpy()
         x, y = (np.stack([np.frombuffer(v, dtype=np.float64) for v in t[c].to_pylist()]) for t, c in ((left, "v"), (right, "q")))
-        score = np.round(y @ x.T, DIGITS) + 0.0
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        n = best.shape[1]
-        told = np.zeros(best.shape, dtype=np.int64)
+        n = min(k, len(own))
+        keys, scores = np.zeros((len(y), n), dtype=np.int64), np.zeros((len(y), n))
+        for i in range(0, len(y), HELD):  # a part of the matrix at a time
+            score = np.round(y[i : i + HELD] @ x.T, DIGITS) + 0.0
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            keys[i : i + HELD], scores[i : i + HELD] = own[best], np.take_along_axis(score, best, axis=1)
+        told = np.zeros(keys.shape, dtype=np.int64)
         told[:, 0] = len(own)  # each block's pairs count once for a question
-        return pa.table({"query_id": np.repeat(right["query_id"].to_numpy(), n), key: own[best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel(), "n_scored": told.ravel()})
+        return pa.table({"query_id": np.repeat(right["query_id"].to_numpy(), n), key: keys.ravel(), "score": scores.ravel(), "n_scored": told.ravel()})
 
     grid = ["list", "i", "j"]
     return rows.groupBy(*grid).cogroup(questions.groupBy(*grid)).applyInArrow(compare, f"query_id long, {key} long, score double, n_scored long")
