@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.sources.shared import bounded, settled
+
+#: Texts whose words are counted at once.
+COUNTED = 256
 
 
 def postings(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
@@ -18,10 +22,14 @@ def postings(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
 
 
 def counted_words(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
-    """key, token, c, most: each text's different words with their counts, and its greatest count.  An id is one text, so nothing is shuffled."""
+    """key, token, c, most: each text's different words with their counts, and its greatest count.
+
+    A text is counted where it stands and nothing is shuffled; only texts that share an id are counted by joins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # a few rows at a time: words as Python strings take many times their bytes
+        for batch in (b.slice(i, COUNTED) for b in batches for i in range(0, b.num_rows, COUNTED)):
             ids, tokens, counts, most = [], [], [], []
             for k, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n = Counter(some or ())
@@ -31,7 +39,16 @@ def counted_words(docs: DataFrame, key: str, words: str = "words") -> DataFrame:
                 most += [max(n.values(), default=0)] * len(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string()), pa.array(counts, pa.int64()), pa.array(most, pa.int64())], names=[key, "token", "c", "most"])
 
-    return docs.select(F.col(key).cast("long").alias(key), words).mapInArrow(run, f"{key} long, token string, c long, most long")
+    bounded(docs.sparkSession)
+    rows = docs.select(F.col(key).cast("long").alias(key), words)
+    again = rows.groupBy(key).count().where("count > 1").select(F.col(key).alias("again"))
+    schema = f"{key} long, token string, c long, most long"
+    if not again.limit(1).count():
+        return rows.mapInArrow(run, schema)
+    again, same = settled(again), F.col(key).eqNullSafe(F.col("again"))
+    several = postings(rows.join(again, same, "left_semi"), key, words)
+    most = several.groupBy(F.col(key).alias("again")).agg(F.max("c").alias("most"))
+    return rows.join(again, same, "left_anti").mapInArrow(run, schema).unionByName(several.join(most, same).select(key, "token", "c", "most"))
 
 
 def document_frequency(docs: DataFrame, words: str = "words") -> DataFrame:
@@ -51,8 +68,6 @@ def with_ids(frequency: DataFrame, known: DataFrame | None = None, *, limit: int
     if ranges == 1:
         numbered = fresh.withColumn("token_id", F.row_number().over(Window.orderBy(F.desc("df"), "token")) + F.lit(first - 1))
     else:
-        from quarry.sources.shared import settled
-
         sorted_ = settled(fresh.repartitionByRange(ranges, F.desc("df"), "token").withColumn("_p", F.spark_partition_id()))
         own = F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("df"), "token"))
         sizes = sorted_.groupBy("_p").count().withColumn("_b", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -69,7 +84,7 @@ def with_idf(vocabulary: DataFrame, n_docs: int) -> DataFrame:
 
 def sparse_weights(counted: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """key, token_id, w for tokens of the vocabulary; the greatest count is over all tokens of a text."""
-    most = counted.withColumn("most", F.max("c").over(Window.partitionBy(key)))
+    most = counted if "most" in counted.columns else counted.withColumn("most", F.max("c").over(Window.partitionBy(key)))
     return most.join(vocabulary.select("token", "token_id", "idf"), "token").select(key, "token_id", X.term_weight(F.col("c"), F.col("most"), F.col("idf")).alias("w"))
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import blocks as B
-from quarry.operators import impact as I
 from quarry.operators import quality as Q
 from quarry.operators import retrieval as R
 from quarry.operators import vector_index as N
@@ -37,7 +36,7 @@ def vocabulary(spark, sf):
 
 
 def weights(spark, sf, vocab):
-    return V.sparse_weights(V.postings(worded(spark, sf), "doc_id"), vocab, "doc_id")
+    return V.sparse_weights(V.counted_words(worded(spark, sf), "doc_id"), vocab, "doc_id")
 
 
 def asked_tokens(spark, sf):
@@ -61,7 +60,7 @@ def weighted(spark, sf, asked, posted):
 
 def sparse_hits(spark, sf, asked, posted):
     q, w = weighted(spark, sf, asked, posted)
-    return settled(I.search(I.build(w, "doc_id"), q, "item_id"))
+    return settled(B.search(B.pack(w, "doc_id"), B.pack(q.withColumnRenamed("q", "w"), "item_id"), "doc_id", "item_id"))
 
 
 def shared_hits(asked, posted):
@@ -77,7 +76,7 @@ def doc_frequency(spark, sf):
 
 @query("term_frequency", sql("SELECT doc_id, count(*) AS distinct_words, max(c) AS most, CAST(sum(c) AS BIGINT) AS words FROM tf GROUP BY 1", WORDS))
 def term_frequency(spark, sf):
-    return V.postings(worded(spark, sf), "doc_id").groupBy("doc_id").agg(F.count("*").alias("distinct_words"), F.max("c").alias("most"), F.sum("c").alias("words"))
+    return V.counted_words(worded(spark, sf), "doc_id").groupBy("doc_id").agg(F.count("*").alias("distinct_words"), F.max("c").alias("most"), F.sum("c").alias("words"))
 
 
 @query("vocab_ids", sql("SELECT token, df, token_id FROM ids", WORDS, NUMBERED))
