@@ -34,11 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or local
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, whoever computed it may be lost."""
+#: Spark's setting that removes a query's shuffle files when it has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, whoever computed it may be lost.
+
+    small: it takes little disk: zstd, and the shuffle files that it was made from go at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, "false")
+    if small:
+        spark.conf.set(TIDY, "true")
+    try:
+        (df.write.option("compression", "zstd") if small else df.write).parquet(path)
+    finally:
+        if small:
+            spark.conf.set(TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path  # noqa: SLF001
     return out

@@ -12,20 +12,22 @@ grouped by unit and folded by Spark's higher-order aggregate:
   takes, again and again, the edge of best rank whose ends are boundaries with just one boundary
   between them, the leftmost among equals, which is the library's result.
 
-Each unit's ids are decoded again by the bytes of their pieces.  Units that occur most often, at most HOT
-of them (a proven bound), are told to all tasks by their 64-bit hashes; occurrences of the others are
-joined by unit.  A unit that still has over LONGEST characters (one character repeated, say) is encoded by the
-library's own code where it stands.  Characters without a piece become byte pieces.
+Units that occur most often, at most HOT of them (a proven bound), are told to all tasks by their 64-bit
+hashes; occurrences of the others are joined by unit.  Characters without a piece become byte pieces.
 
-encode() gives whole id sequences, decoded() texts.  The query has a digest of every document's ids and one
-of the text that they decode to, both sums over pieces (characters) by their places, so that they can be
-put together from the units' parts without moving a document's ids:
+A unit that still has over LONGEST characters (one character repeated, say) is cut into windows, whose edges come from
+the same join; they are folded from left to right in order of the windows.  For a byte-pair model a sequence of pieces is the
+merging of its text just if the merging of each two neighbours leaves those two pieces: the first merge across a border
+would also be made in those two alone.  So the last piece of every prefix is the one edge that stands the piece before it.
+
+The ids of every document are put together in order, and decoded again from there.  encode() gives of each row:
 
 * ids_digest: the sum of (id + 1) * (M * place + 7) modulo 2**31 - 1, M = 1000003; the place of a piece is 4 times
   the code point (of the text with word marks, the first being 0) that it begins at, plus the number of the
   byte for byte pieces;
 * text_digest: the sum of c * (M * place + 7) over the decoded characters c, by the code point's place in the
-  text with its leading word mark; round_trip says whether it and n_decoded are those of the given text.
+  text with its leading word mark; round_trip says whether it and n_decoded are those of the given text;
+* with whole also the ids and the decoded text themselves.
 
 Defined results: null and empty texts have no pieces; repeated rows are encoded each; a text with a
 word mark of its own decodes to a space there, as in the library, and counts as equal.
@@ -34,10 +36,11 @@ word mark of its own decodes to a space there, as in the library, and counts as
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,8 @@ HOT = 1 << 19
 SINGLE = 1 << 19
 #: Code points whose single pieces are looked up by number.
 DIRECT = 1 << 11
+#: Score of a character without a piece.
+UNKNOWN = -1e4
 PRIME, PLACE = (1 << 31) - 1, 1_000_003
 
 
@@ -62,6 +67,7 @@ def processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+@cache
 def is_unigram(path: str) -> bool:
     """A byte-pair model's scores are its ranks: whole numbers."""
     sp = processor(path)
@@ -81,6 +87,15 @@ def merged_alone(text: str, ranks: dict[str, int]) -> tuple[list[str], bool]:
         parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
 
+@cache
+def all_ranks(path: str) -> dict[str, int]:
+    """Merge rank of each normal piece."""
+    sp = processor(path)
+    normal = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    order = {s: r for r, s in enumerate(sorted(set(normal.values()), reverse=True))}
+    return {p: order[s] for p, s in normal.items()}
+
+
 @cache
 def reachable(path: str) -> tuple[frozenset[str], bool]:
     """Pieces that merging can form, and whether one pass over a unit's edges by rank is enough.
@@ -91,10 +106,7 @@ def reachable(path: str) -> tuple[frozenset[str], bool]:
     order, and each edge need be looked at once.  Where that fails, the fold looks for the best edge
     again after each merge.
     """
-    sp = processor(path)
-    normal = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-    order = {s: r for r, s in enumerate(sorted(set(normal.values()), reverse=True))}
-    ranks = {p: order[s] for p, s in normal.items()}
+    ranks = all_ranks(path)
     alone = {p: merged_alone(p, ranks) for p in ranks}
     formed = frozenset(p for p, (parts, _) in alone.items() if len(parts) == 1)
     return formed, all(alone[p][1] for p in formed)
@@ -260,7 +272,7 @@ def folded_pairs(grouped: DataFrame, path: str, once: bool = False) -> DataFrame
         # once nothing merges the sign says so, and further steps cost nothing
         return F.when(state < 0, state).otherwise(F.coalesce(state.bitwiseAND(F.bitwise_not(first["inner"])), -state))
 
-    start_state = bit(F.length("unit") + 1) - 1  # all of the first length + 1 bits
+    start_state = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), F.length("unit") + 1))  # all of the first length + 1 bits, up to 63
     if once:
         folded = F.aggregate("edges", start_state, merge)
     else:
@@ -287,7 +299,7 @@ def folded_pairs(grouped: DataFrame, path: str, once: bool = False) -> DataFrame
     return merged.select("unit", "n", path_ids(F.col("unit"), whole, first_byte).alias("ids"))
 
 
-def folded_viterbi(grouped: DataFrame, first_byte: int, unknown: float = -1e4) -> DataFrame:
+def folded_viterbi(grouped: DataFrame, first_byte: int, unknown: float = UNKNOWN) -> DataFrame:
     """Best-scored path.  grouped has edges (end, start, id, score), sorted by end and start."""
     none = F.expr("cast(array() as array<struct<start:int,id:int>>)")
     first = F.array(F.struct(F.lit(0.0).cast("double").alias("score"), none.alias("path")))
@@ -304,12 +316,17 @@ def folded_viterbi(grouped: DataFrame, first_byte: int, unknown: float = -1e4) -
     return grouped.select("unit", "n", path_ids(F.col("unit"), found, first_byte).alias("ids"))
 
 
+def longest_piece(path: str) -> int:
+    sp = processor(path)
+    return max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
+
+
 def encode_units(units: DataFrame, path: str) -> DataFrame:
     """unit, n, ids."""
     sp = processor(path)
     table = piece_table(units.sparkSession, path)
     first_byte = sp.piece_to_id("<0x00>")
-    longest = max(len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)))
+    longest = longest_piece(path)
     if is_unigram(path):
         lattice = edges(units, table, longest)
         edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), "score")
@@ -337,57 +354,82 @@ def piece_bytes(path: str) -> list[bytes]:
     return [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.get_piece_size())]
 
 
-def spread(values: list[int], places: list[int]) -> tuple[int, int]:
-    """What a unit's values add to a digest: the sum, which counts by where the unit stands, and the rest; both below PRIME, as a unit may be of any length."""
-    return sum(values) % PRIME, sum(v * ((PLACE * p + 7) % PRIME) for v, p in zip(values, places)) % PRIME
-
-
-def parts_of(ids: list[int], table: list[tuple[bytes, int, bool]]) -> tuple[int, int, int, int, int, int]:
-    """n_pieces, sum and rest of the ids, length, sum and rest of the decoded text of one unit."""
-    places, at, byte = [], 0, 0
-    for i in ids:
-        _, length, is_byte = table[i]
-        places.append(4 * at + byte)
-        if is_byte:
-            # the character's first byte tells how many there are
-            if byte == 0:
-                lead = table[i][0][0]
-                left = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-            byte += 1
-            if byte == left:
-                at, byte = at + 1, 0
-        else:
-            at += length
-    text = b"".join([table[i][0] for i in ids]).decode("utf-8", "replace")
-    return len(ids), *spread([i + 1 for i in ids], places), len(text), *spread([ord(c) for c in text], list(range(len(text))))
+@lru_cache(maxsize=1 << 18)
+def joins(path: str, a: str, b: str) -> bool:
+    """Whether the merging of the two texts together leaves these two."""
+    return merged_alone(a + b, all_ranks(path))[0] == [a, b]
 
 
-PARTS = ["n_pieces", "id_sum", "id_rest", "n_decoded", "text_sum", "text_rest"]
+class Fold:
+    """The pieces of one unit, from edges that come in order of their starts: for each end the last piece of the text up to there."""
 
+    def __init__(self, path: str) -> None:
+        self.path, self.unigram = path, is_unigram(path)
+        self.size, self.id, self.text, self.score = [0], [-1], [""], [0.0]
 
-def piece_facts(path: str) -> list[tuple[bytes, int, bool]]:
-    """Bytes, characters and whether it is a byte, of each id."""
+    def edge(self, start: int, id_: int, text: str) -> None:
+        end = start + len(text)
+        score = 0.0
+        if self.unigram:
+            score = self.score[start] + (processor(self.path).get_score(id_) if id_ >= 0 else UNKNOWN)
+            taken = end >= len(self.size) or not self.size[end] or score > self.score[end]
+        else:
+            taken = start == 0 or joins(self.path, self.text[start], text)
+        if taken:
+            for own, none in ((self.size, 0), (self.id, -1), (self.text, ""), (self.score, 0.0)):
+                own.extend([none] * (end + 1 - len(own)))
+            self.size[end], self.id[end], self.text[end], self.score[end] = len(text), id_, text, score
+
+    def ids(self, first_byte: int) -> list[int]:
+        out, at = [], len(self.size) - 1
+        while at:
+            out += [self.id[at]] if self.id[at] >= 0 else [first_byte + b for b in reversed(self.text[at].encode())]
+            at -= self.size[at]
+        return out[::-1]
+
+
+def encode_long(units: DataFrame, path: str) -> DataFrame:
+    """unit, ids of distinct units of any length: windows, their edges by the join with the pieces, and a fold in order of the windows."""
     sp = processor(path)
-    return [(b, len(sp.id_to_piece(i)), sp.is_byte(i)) for i, b in enumerate(piece_bytes(path))]
-
-
-def encoded_units(docs: DataFrame, path: str, whole: bool) -> DataFrame:
-    """unit, n, PARTS (of its ids and of what they decode to), and with whole also ids: a table in the shared folder."""
+    first_byte, longest = sp.piece_to_id("<0x00>"), longest_piece(path)
+    units = written(units.select(F.monotonically_increasing_id().alias("key"), "unit"), "long_units")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_facts(path)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(2)
-            found = [parts_of(x, table) for x in ids.to_pylist()]
-            columns = list(zip(*found, strict=True)) if found else [()] * len(PARTS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), pa.int64()) for c in columns), *([ids] if whole else [])], names=["unit", "n", *PARTS, *(["ids"] if whole else [])])
-
-    schema = "unit string, n long, " + ", ".join(f"{p} long" for p in PARTS) + (", ids array<int>" if whole else "")
-    return written(encode_units(count_units(docs, path), path).select("unit", "n", "ids").mapInArrow(run, schema), "units")
-
-
-def hot_units(table: DataFrame, path: str, most: int | None = None) -> tuple[np.ndarray, np.ndarray, list | None]:
-    """(sorted hashes, PARTS by column, ids) of the units above a count that at most so many units reach."""
+            for key, unit in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i in range(0, len(unit), LONGEST << 10):
+                    at = range(i, min(len(unit), i + (LONGEST << 10)), LONGEST)
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([unit[k : k + LONGEST + longest - 1] for k in at], pa.string())], names=["key", "at", "unit"])
+
+    windows = written(units.mapInArrow(cut, "key long, at long, unit string"), "windows")
+    lattice = edges(windows.select("unit", F.lit(1).cast("long").alias("n")).distinct(), piece_table(units.sparkSession, path), longest).where(F.col("start") < LONGEST)
+    edge = F.col("start").cast("long") * (1 << 32) + F.col("size") * (1 << 24) + F.coalesce("id", F.lit(-1)) + 1
+    of_window = lattice.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    ordered = windows.join(of_window, "unit").select("key", "at", "unit", "edges").repartition("key").sortWithinPartitions("key", "at")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([state.ids(first_byte)], pa.list_(pa.int32()))], names=["key", "ids"])
+
+        now, state = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, at, text = (batch.column(c)[i].as_py() for c in range(3))
+                if key != now:
+                    if state:
+                        yield done()
+                    now, state = key, Fold(path)
+                for x in batch.column(3)[i].values.to_numpy().tolist():
+                    start = x >> 32
+                    state.edge(at + start, (x & (1 << 24) - 1) - 1, text[start : start + (x >> 24 & 255)])
+        if state:
+            yield done()
+
+    return units.join(ordered.mapInArrow(fold, "key long, ids array<int>"), "key").select("unit", "ids")
+
+
+def hot_units(table: DataFrame, path: str, most: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+    """(sorted hashes, where the ids of each begin and one more for the end, ids) of the units above a count that at most so many units reach; and the other units."""
     most = HOT if most is None else most
     level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double"))) + 64).cast("int")
     sizes = dict(table.groupBy(level.alias("level")).count().collect())  # at most 128 rows
@@ -396,21 +438,37 @@ def hot_units(table: DataFrame, path: str, most: int | None = None) -> tuple[np.
         if total + sizes[k] > most:
             break
         total, least = total + sizes[k], k
-    listed = "ids" in table.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("unit", *PARTS, *(["ids"] if listed else []))]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(columns[0].to_pylist()).view(np.int64)), *columns[1:]], names=["hash", *PARTS, *(["ids"] if listed else [])])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], names=["hash", "ids"])
 
     # the units themselves stay where they are: the driver gets numbers
-    schema = "hash long, " + ", ".join(f"{p} long" for p in PARTS) + (", ids array<int>" if listed else "")
-    rows = table.where(level >= least).mapInArrow(run, schema).toArrow()
+    rows = table.where(level >= least).select("unit", "ids").mapInArrow(run, "hash long, ids array<int>").toArrow()
     hashes = rows["hash"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    parts = np.stack([rows[p].to_numpy()[order].astype(np.int32) for p in PARTS])
-    ids = rows["ids"].to_pylist() if listed else None
-    return hashes[order], parts, [ids[i] for i in order] if ids else None
+    sizes_of, flat = listed(rows["ids"])
+    begin = np.concatenate(([0], np.cumsum(sizes_of)))
+    told = hashes[order], np.concatenate(([0], np.cumsum(sizes_of[order]))), flat[ragged(begin[:-1][order], sizes_of[order])].astype(code_type(path))
+    return told, table.where(level < least).select("unit", "ids")
+
+
+def listed(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many values each row of a column of lists has, and all of them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
+
+
+def code_type(path: str) -> type:
+    """Ids on their way take two bytes if the vocabulary allows; the largest number stands for a unit whose ids come apart."""
+    return np.uint16 if processor(path).get_piece_size() < (1 << 16) - 1 else np.uint32
 
 
 def hashes_of(units: list[str]) -> np.ndarray:
@@ -420,85 +478,155 @@ def hashes_of(units: list[str]) -> np.ndarray:
     return span_hashes(mix(points.astype(np.uint64) + U(0x9E3779B9)), np.concatenate(([0], ends[:-1])).astype(np.int64) if units else ends, ends)
 
 
-def places_of(sums: np.ndarray, rests: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
-    """What units at these places add to a digest; places count step each."""
-    return (sums * ((PLACE * step * at) % PRIME) + rests) % PRIME
+def digests(values: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each text the sum of its values by their places."""
+    return summed(values * ((PLACE * places + 7) % PRIME) % PRIME, first) % PRIME
 
 
-def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
-    """row, doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip, and with whole also ids, for each row of docs.
+def summed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate(([0], np.cumsum(x)))[first])
 
-    Only occurrences of units that are not hot are shuffled.
-    """
-    spark = docs.sparkSession
-    ready(spark)
-    table = encoded_units(docs, path, whole)
-    shared = spark.sparkContext.broadcast(hot_units(table, path))
-    names = ["row", "doc_id", "at", "place", "unit", "n_units", "n_pieces", "ids_part", "n_decoded", "text_part", "text_given", "parts"]
-    part = pa.struct([("place", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    types = [*[pa.int64()] * 4, pa.string(), *[pa.int64()] * 6, pa.list_(part)]
+
+def own_places(first: np.ndarray) -> np.ndarray:
+    """Of each item its number in its text."""
+    return np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+
+
+class Decoder:
+    """What ids decode to, and where in the text they stand."""
+
+    def __init__(self, path: str) -> None:
+        sp = processor(path)
+        known = piece_bytes(path)
+        self.sizes = np.array([len(b) for b in known], dtype=np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(known), dtype=np.uint8)
+        self.byte = np.array([sp.is_byte(i) for i in range(len(known))])
+        value = np.array([b[0] if b else 0 for b in known])
+        #: Characters that begin with a piece: none with a byte inside a character.
+        self.chars = np.where(self.byte, (value & 0xC0) != 0x80, [len(sp.id_to_piece(i)) for i in range(len(known))]).astype(np.int64)
+
+    def places(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        chars = self.chars[ids]
+        after = np.cumsum(chars)
+        after -= np.repeat(np.concatenate(([0], after))[first[:-1]], np.diff(first))
+        inside = self.byte[ids] & (chars == 0)
+        if not inside.any():
+            return 4 * (after - chars)
+        number = np.arange(len(ids))
+        return np.where(inside, 4 * (after - 1) + number - np.maximum.accumulate(np.where(inside, 0, number)), 4 * (after - chars))
+
+    def texts(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
+        """Texts with the space of the leading word mark."""
+        sizes = self.sizes[ids]
+        at = np.concatenate(([0], np.cumsum(sizes)))[first].tolist()
+        whole = self.bytes[ragged(self.begin[ids], sizes)].tobytes()
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+
+def occurrences(docs: DataFrame, path: str, told: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+    """Of each row the ids of hot units (code), a unit of another kind being one mark in it (place null); and of each such unit a row with its place."""
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+    schema = "row long, doc_id long, place long, unit string, n_units long, code binary, given_chars long, given long"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, parts, ids_of = shared.value
-        facts = piece_facts(path)
-        newline = len(processor(path).encode("\n"))
+        hashes, begin, flat = shared.value
+        kind = flat.dtype
         for batch in batches:
             for rows, texts in pieces(batch):
                 u = Units(texts, path)
-                of = np.repeat(np.arange(len(texts)), np.diff(u.first))
-                place = np.arange(len(of)) - u.first[:-1][of]
-                at = u.starts - u.offsets[:-1][of]
+                n = len(u.starts)
                 found = np.minimum(np.searchsorted(hashes, u.hashes), max(len(hashes) - 1, 0))
-                known = hashes[found] == u.hashes if len(hashes) else np.zeros(len(of), dtype=bool)
-                own = np.zeros((len(PARTS), len(of)), dtype=np.int64)
-                own[:, known] = parts[:, found[known]]
-                encoded = {}
-                for i in np.flatnonzero(~known & (u.ends - u.starts > LONGEST)).tolist():
-                    encoded[i] = processor(path).encode("\n" + u.text[u.starts[i] : u.ends[i]])[newline:]
-                    own[:, i] = parts_of(encoded[i], facts)
-                    known[i] = True
-                position = np.arange(len(u.points)) - np.repeat(u.offsets[:-1], np.diff(u.offsets))
+                known = hashes[found] == u.hashes if len(hashes) else np.zeros(n, dtype=bool)
+                sizes = np.ones(n, dtype=np.int64)
+                sizes[known] = np.diff(begin)[found[known]]
+                code = np.full(int(sizes.sum()), np.iinfo(kind).max, dtype=kind)
+                code[np.repeat(known, sizes)] = flat[ragged(begin[:-1][found[known]], sizes[known])]
+                at = np.concatenate(([0], np.cumsum(sizes)))[u.first] * kind.itemsize
                 given = np.where(u.points == ord(MARK), 32, u.points).astype(np.int64)
-
-                def summed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-                    return np.diff(np.concatenate(([0], np.cumsum(x)))[first])
-
-                none = np.zeros(len(texts), dtype=np.int64)
-                columns = [
-                    rows.column(0), rows.column(1), *[pa.nulls(len(texts), pa.int64())] * 2, pa.nulls(len(texts), pa.string()), pa.array(np.diff(u.first)), pa.array(summed(own[0], u.first)),
-                    pa.array(summed(places_of(own[1], own[2], at, 4), u.first) % PRIME), pa.array(summed(own[3], u.first)), pa.array(summed(places_of(own[4], own[5], at, 1), u.first) % PRIME),
-                    pa.array(summed(places_of(given, given * 7, position, 1), u.offsets) % PRIME if len(given) else none),
-                ]
-                listed = None
-                if whole:
-                    listed = [[{"place": int(place[i]), "ids": encoded[i] if i in encoded else ids_of[found[i]]} for i in range(a, b) if known[i]] for a, b in zip(u.first[:-1].tolist(), u.first[1:].tolist())]
-                columns.append(pa.array(listed, types[-1]) if whole else pa.nulls(len(texts), types[-1]))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                chars = np.diff(u.offsets)
+                numbers, none, no = np.diff(u.first), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.string())
+                coded = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(code)])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), none, no, pa.array(numbers), coded, pa.array(chars), pa.array(digests(given, own_places(u.offsets), u.offsets))], names=names)
                 rare = np.flatnonzero(~known)
-                some, zero = pa.array(of[rare]), pa.array(np.zeros(len(rare), np.int64))
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(some), rows.column(1).take(some), pa.array(at[rare]), pa.array(place[rare]), pa.array(u.listed(rare), pa.string()), *[zero] * 6, pa.nulls(len(rare), types[-1])], names=names)
-
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [*["long"] * 4, "string", *["long"] * 6, "array<struct<place:long,ids:array<int>>>"], strict=True))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
-    rows = written(rows, "occurrences")
-    sums = ["n_units", "n_pieces", "ids_part", "n_decoded", "text_part", "text_given"]
-    known = rows.where("unit is null").select("row", "doc_id", *sums, *(["parts"] if whole else []))
-    rare = rows.where("unit is not null").select("row", "doc_id", "at", "place", "unit").join(table.drop("n"), "unit")
-    zero = F.lit(0).cast("long")
-    placed = lambda kind, step: places_of(F.col(f"{kind}_sum"), F.col(f"{kind}_rest"), F.col("at"), step)
-    rare = rare.select("row", "doc_id", zero.alias("n_units"), "n_pieces", placed("id", 4).alias("ids_part"), "n_decoded", placed("text", 1).alias("text_part"), zero.alias("text_given"), *([F.array(F.struct("place", "ids")).alias("parts")] if whole else []))
-    whole_ids = [F.flatten(F.transform(F.sort_array(F.flatten(F.collect_list("parts"))), lambda x: x["ids"])).alias("ids")] if whole else []
-    out = known.union(rare).groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in sums), *whole_ids)
-    # decoding takes the word mark before the text away
-    text, given = (F.pmod(F.col(c) - F.when(F.col("n_units") > 0, 32 * 7).otherwise(0), F.lit(PRIME)) for c in ("text_part", "text_given"))
-    size = F.greatest(F.col("n_decoded") - 1, zero)
-    return out.select("row", "doc_id", "n_units", "n_pieces", F.pmod("ids_part", F.lit(PRIME)).alias("ids_digest"), size.alias("n_decoded"), text.alias("text_digest"), (text == given).alias("round_trip"), *(["ids"] if whole else []))
+                of = np.repeat(np.arange(len(texts)), numbers)[rare]
+                nothing = pa.nulls(len(rare), pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(of)), nothing, pa.array(rare - u.first[:-1][of]), pa.array(u.listed(rare), pa.string()), nothing, pa.nulls(len(rare), pa.binary()), nothing, nothing], names=names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(rows.mapInArrow(run, schema), "occurrences", small=True)
+
+
+def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
+    """row, doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip, and with whole also ids and text (decoded), for each row of docs."""
+    ready(docs.sparkSession)
+    told, others = hot_units(written(encode_units(count_units(docs, path), path).select("unit", "n", "ids"), "units", small=True), path)
+    rows = occurrences(docs, path, told)
+    rare = rows.where("unit is not null").select("row", "place", "unit")
+    long = rare.where(F.length("unit") > LONGEST)
+    joined = rare.join(others, "unit")
+    if not long.isEmpty():
+        joined = joined.unionByName(long.join(encode_long(long.select("unit").distinct(), path), "unit"))
+    own = F.struct("doc_id", "n_units", "code", "given_chars", "given")
+    known = rows.where("unit is null").select("row", "place", own.alias("own"), F.lit(None).cast("array<int>").alias("ids"))
+    nothing = F.lit(None).cast("struct<doc_id:long,n_units:long,code:binary,given_chars:long,given:long>")
+    parts = known.union(joined.select("row", "place", nothing, "ids"))
+    # nulls come first: a row's own, then its units in order
+    parts = parts.repartition("row").sortWithinPartitions("row", "place")
+    schema = "row long, doc_id long, n_units long, n_pieces long, ids_digest long, n_decoded long, text_digest long, round_trip boolean" + (", ids array<int>, text string" if whole else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, kind = Decoder(path), code_type(path)
+        mark = np.iinfo(kind).max
+
+        def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
+            whole_rows = batch.filter(pc.is_null(batch.column(1)))
+            doc_id, units, code, given_chars, given = whole_rows.column(2).flatten()
+            codes = code.to_pylist()
+            code = np.frombuffer(b"".join(codes), dtype=kind)
+            sizes, flat = listed(batch.filter(pc.is_valid(batch.column(1))).column(3))
+            apart = code == mark
+            counts = np.ones(len(code), dtype=np.int64)
+            counts[apart] = sizes
+            ids = np.empty(int(counts.sum()), dtype=np.int64)
+            here = np.repeat(apart, counts)
+            ids[here], ids[~here] = flat, code[~apart]
+            first = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum([len(c) // kind().itemsize for c in codes])))]
+            n_units = units.to_numpy()
+            texts = decoder.texts(ids, first)
+            chars = np.array([len(t) for t in texts], dtype=np.int64)
+            offsets = np.concatenate(([0], np.cumsum(chars)))
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+            digest = digests(points, own_places(offsets), offsets)
+            same = (digest == given.to_numpy()) & (chars == given_chars.to_numpy())
+            # decoding takes the word mark before the text away
+            columns = [whole_rows.column(0), doc_id, units, pa.array(np.diff(first)), pa.array(digests(ids + 1, decoder.places(ids, first), first)), pa.array(np.maximum(chars - 1, 0)), pa.array((digest - np.where(n_units > 0, 32 * 7, 0)) % PRIME), pa.array(same)]
+            if whole:
+                columns += [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())), pa.array([t[1:] for t in texts], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        held: list[pa.RecordBatch] = []  # the last row, whose units may go on in the next batch
+        for batch in batches:
+            begins = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+            if not len(begins):
+                held.append(batch)
+                continue
+            head = [x for x in (*held, batch.slice(0, int(begins[-1]))) if x.num_rows]
+            if head:
+                yield from map(finished, pa.Table.from_batches(head).combine_chunks().to_batches())
+            held = [batch.slice(int(begins[-1]))]
+        if held:
+            yield from map(finished, pa.Table.from_batches(held).combine_chunks().to_batches())
+
+    return parts.mapInArrow(run, schema)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(documents(spark, sf_dir), public_tokenizers.path(MODEL)).drop("row")
+    return encode(documents(spark, sf_dir), public_tokenizers.path(MODEL), whole=True).drop("row")
 
 
 __all__ = ["decoded", "encode", "op8", "units_of"]
