@@ -59,8 +59,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip: encoded and decoded again."""
-    return sentencepiece_lattice.encode(docs, public_tokenizers.path(sentencepiece_lattice.MODEL)).drop("row")
+    """doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip, ids, text: encoded and decoded again."""
+    return sentencepiece_lattice.encode(docs, public_tokenizers.path(sentencepiece_lattice.MODEL), whole=True).drop("row")
 
 
 STAGES = [
