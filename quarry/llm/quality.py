@@ -40,6 +40,8 @@ ORDER = 5
 FIRST_ORDER, USUAL = 3, 1.0
 #: Entries of a model of up to so many are told to all tasks: 12 bytes each.
 TOLD_GRAMS = 1 << 23
+#: Up to so many possible n-grams of a batch have a place each in a table.
+DENSE = 1 << 23
 #: Half-width of the band in median absolute deviations, and the characters at which it is sqrt(2) times as wide.
 WIDTH, SHORT = 6.0, 400.0
 #: Least half-width in bits a character, for a language whose texts hardly differ: below WIDTH deviations of every language measured.
@@ -89,6 +91,40 @@ class Symbols:
             total += self.points[self.at - k].astype(np.uint64) * _AT[k]
         return total
 
+    def codes(self, group: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+        """For each character the number of its n-gram by group, what symbols its digits stand for, and a bound of the numbers; None if 64 bits are too few."""
+        present = np.zeros(int(self.points.max(initial=0)) + 1, dtype=bool)
+        present[self.points] = True
+        symbols = np.flatnonzero(present)
+        base = len(symbols)
+        most = base**order * (int(group.max(initial=0)) + 1)
+        if most >= 1 << 63:
+            return None
+        digit = np.zeros(len(present), dtype=np.uint64)
+        digit[symbols] = np.arange(base)
+        digits = digit[self.points]
+        total = group.astype(np.uint64)
+        for k in range(order - 1, -1, -1):
+            total *= U(base)
+            total += digits[self.at - k]
+        return total, symbols, most
+
+    def distinct(self, group: np.ndarray, order: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Group, n-gram and count of the different n-grams of the batch."""
+        coded = self.codes(group, order)
+        if coded is None:
+            _, at, n = np.unique(keys_of(self.sums(order), group, order), return_index=True, return_counts=True)
+            return group[at], self.listed(at, order), n
+        codes, symbols, _ = coded
+        codes.sort()
+        at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+        n, left = np.diff(np.append(at, len(codes))), codes[at]
+        points = np.empty((len(at), order), dtype=np.uint32)
+        for k in range(order - 1, -1, -1):
+            left, points[:, k] = left // U(len(symbols)), symbols[left % U(len(symbols))]
+        text = points.tobytes().decode("utf-32-le")
+        return left, [text[i : i + order] for i in range(0, len(text), order)], n
+
     def listed(self, which: np.ndarray, order: int) -> list[str]:
         text = self.points.tobytes().decode("utf-32-le")
         return [text[i + 1 - order : i + 1] for i in self.at[which].tolist()]
@@ -130,8 +166,8 @@ def count_ngrams(docs: DataFrame, *, languages: tuple[str, ...] = LANGUAGES, ord
                     texts, lang = [t for t, k in zip(texts, kept.tolist(), strict=True) if k], lang[kept]
                 some = Symbols(texts, order)
                 group = np.repeat(lang, np.diff(some.first))
-                _, at, n = np.unique(keys_of(some.sums(order), group, order), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(group[at], pa.int32()), pa.array(some.listed(at, order), pa.string()), pa.array(n, pa.int64())], names=["g", "gram", "c"])
+                of, grams, n = some.distinct(group, order)
+                yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(grams, pa.string()), pa.array(n, pa.int64())], names=["g", "gram", "c"])
 
     rows = docs.select("text", language(languages=languages).alias("g"))
     return rows.mapInArrow(run, "g int, gram string, c long").groupBy("g", "gram").agg(F.sum("c").alias("c"))
@@ -259,21 +295,49 @@ def arrays(model: tuple[DataFrame, DataFrame, DataFrame], order: int = ORDER) ->
 
 
 def costs(some: Symbols, group: np.ndarray, told: tuple, order: int = ORDER) -> np.ndarray:
-    """Negative log2-probability of each character; 1 bit more than nothing is known for a group without a model."""
+    """Negative log2-probability of each character; 1 bit more than nothing is known for a group without a model.
+
+    It depends on the character's n-gram and group alone, so that each of these is looked up once in a batch.
+    """
+    coded = some.codes(group, order)
+    if coded is None or not len(group):
+        return costs_at(some, group, np.arange(len(group)), told, order)
+    codes, _, most = coded
+    if most <= DENSE:
+        where = np.full(most, -1, dtype=np.int32)
+        where[codes] = np.arange(len(codes), dtype=np.int32)
+        different = np.flatnonzero(where >= 0)
+        values = np.empty(most, dtype=np.float64)
+        values[different] = costs_at(some, group, where[different].astype(np.int64), told, order)
+        return values[codes]
+    by = np.argsort(codes)
+    ordered = codes[by]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    out = np.empty(len(codes), dtype=np.float64)
+    out[by] = costs_at(some, group, by[new], told, order)[np.cumsum(new) - 1]
+    return out
+
+
+def costs_at(some: Symbols, group: np.ndarray, at: np.ndarray, told: tuple, order: int) -> np.ndarray:
+    """The costs of some of the characters."""
     found, less, uniform = told
-    out = np.zeros(len(group), dtype=np.float64)
-    left = np.arange(len(group))
+    group, points = group[at], some.at[at]
+    out = np.zeros(len(at), dtype=np.float64)
+    left = np.arange(len(at))
+
+    def summed(last: int, size: int) -> np.ndarray:
+        total = np.zeros(len(left), dtype=np.uint64)
+        for j in range(size):
+            total += some.points[points[left] - last - j].astype(np.uint64) * _AT[j]
+        return total
+
     for k in range(order, 0, -1):
         if not len(left):
             break
-        total = some.sums(k)[left]
-        value, seen = found[k].find(keys_of(total, group[left], k))
+        value, seen = found[k].find(keys_of(summed(0, k), group[left], k))
         out[left[seen]] += value[seen]
-        left, total = left[~seen], total[~seen]
-        context = np.zeros(len(left), dtype=np.uint64)
-        for j in range(1, k):
-            context += some.points[some.at[left] - j].astype(np.uint64) * _AT[j - 1]
-        value, seen = less[k].find(keys_of(context, group[left], k + 32))
+        left = left[~seen]
+        value, seen = less[k].find(keys_of(summed(1, k - 1), group[left], k + 32))
         out[left[seen]] += value[seen]
     out[left] += np.array([uniform.get(int(g), 1.0) for g in group[left]])
     return out
