@@ -41,6 +41,7 @@ from functools import cache, lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -428,8 +429,8 @@ def encode_long(units: DataFrame, path: str) -> DataFrame:
     return units.join(ordered.mapInArrow(fold, "key long, ids array<int>"), "key").select("unit", "ids")
 
 
-def hot_units(table: DataFrame, path: str, most: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], DataFrame]:
-    """(sorted hashes, where the ids of each begin and one more for the end, ids) of the units above a count that at most so many units reach; and the other units."""
+def hot_units(table: DataFrame, path: str, most: int | None = None) -> tuple[tuple[np.ndarray, ...], DataFrame]:
+    """(sorted hashes, the number of each by falling count, where the ids of each number begin and one more for the end, ids) of the units above a count that at most so many units reach; and the other units."""
     most = HOT if most is None else most
     level = F.when(F.col("n") < 64, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double"))) + 64).cast("int")
     sizes = dict(table.groupBy(level.alias("level")).count().collect())  # at most 128 rows
@@ -441,15 +442,17 @@ def hot_units(table: DataFrame, path: str, most: int | None = None) -> tuple[tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], names=["hash", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes_of(batch.column(0).to_pylist()).view(np.int64)), batch.column(1), batch.column(2)], names=["hash", "n", "ids"])
 
     # the units themselves stay where they are: the driver gets numbers
-    rows = table.where(level >= least).select("unit", "ids").mapInArrow(run, "hash long, ids array<int>").toArrow()
+    rows = table.where(level >= least).select("unit", "n", "ids").mapInArrow(run, "hash long, n long, ids array<int>").toArrow()
     hashes = rows["hash"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
+    order, by_count = np.argsort(hashes), np.argsort(-rows["n"].to_numpy(), kind="stable")
+    number = np.empty(len(order), dtype=np.int32)
+    number[by_count] = np.arange(len(order), dtype=np.int32)
     sizes_of, flat = listed(rows["ids"])
-    begin = np.concatenate(([0], np.cumsum(sizes_of)))
-    told = hashes[order], np.concatenate(([0], np.cumsum(sizes_of[order]))), flat[ragged(begin[:-1][order], sizes_of[order])].astype(code_type(path))
+    begin = np.cumsum(sizes_of) - sizes_of
+    told = hashes[order], number[order], np.concatenate(([0], np.cumsum(sizes_of[by_count]))), flat[ragged(begin[by_count], sizes_of[by_count])]
     return told, table.where(level < least).select("unit", "ids")
 
 
@@ -466,9 +469,28 @@ def ragged(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
 
 
-def code_type(path: str) -> type:
-    """Ids on their way take two bytes if the vocabulary allows; the largest number stands for a unit whose ids come apart."""
-    return np.uint16 if processor(path).get_piece_size() < (1 << 16) - 1 else np.uint32
+def short(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of numbers below 2**21, 7 bits each, all but a number's last with the high bit; and where each number begins, one more for the end."""
+    sizes = 1 + (values >= 1 << 7) + (values >= 1 << 14)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    out = np.empty(int(begin[-1]), dtype=np.uint8)
+    last = begin[1:] - 1
+    out[last] = values & 127
+    for k in (1, 2):
+        some = sizes > k
+        out[last[some] - k] = values[some] >> 7 * k & 127 | 128
+    return out, begin
+
+
+def unshort(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where the last byte of each is."""
+    last = np.flatnonzero(code < 128)
+    sizes = np.diff(last, prepend=-1)
+    values = code[last].astype(np.int64)
+    for k in (1, 2):
+        some = sizes > k
+        values[some] |= (code[last[some] - k].astype(np.int64) & 127) << 7 * k
+    return values, last
 
 
 def hashes_of(units: list[str]) -> np.ndarray:
@@ -524,26 +546,23 @@ class Decoder:
         return [whole[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
 
-def occurrences(docs: DataFrame, path: str, told: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
-    """Of each row the ids of hot units (code), a unit of another kind being one mark in it (place null); and of each such unit a row with its place."""
-    shared = docs.sparkSession.sparkContext.broadcast(told)
+def occurrences(docs: DataFrame, path: str, shared: Broadcast) -> DataFrame:
+    """Of each row the numbers of its units (code): of hot ones from 1 on, 0 for the others (place null); and of each of these a row with its place."""
     schema = "row long, doc_id long, place long, unit string, n_units long, code binary, given_chars long, given long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, begin, flat = shared.value
-        kind = flat.dtype
+        hashes, number = shared.value[:2]
         for batch in batches:
             for rows, texts in pieces(batch):
                 u = Units(texts, path)
                 n = len(u.starts)
                 found = np.minimum(np.searchsorted(hashes, u.hashes), max(len(hashes) - 1, 0))
                 known = hashes[found] == u.hashes if len(hashes) else np.zeros(n, dtype=bool)
-                sizes = np.ones(n, dtype=np.int64)
-                sizes[known] = np.diff(begin)[found[known]]
-                code = np.full(int(sizes.sum()), np.iinfo(kind).max, dtype=kind)
-                code[np.repeat(known, sizes)] = flat[ragged(begin[:-1][found[known]], sizes[known])]
-                at = np.concatenate(([0], np.cumsum(sizes)))[u.first] * kind.itemsize
+                numbered = np.zeros(n, dtype=np.int64)
+                numbered[known] = number[found[known]] + 1
+                code, begin = short(numbered)
+                at = begin[u.first]
                 given = np.where(u.points == ord(MARK), 32, u.points).astype(np.int64)
                 chars = np.diff(u.offsets)
                 numbers, none, no = np.diff(u.first), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.string())
@@ -562,14 +581,17 @@ def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
     """row, doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip, and with whole also ids and text (decoded), for each row of docs."""
     ready(docs.sparkSession)
     told, others = hot_units(written(encode_units(count_units(docs, path), path).select("unit", "n", "ids"), "units", small=True), path)
-    rows = occurrences(docs, path, told)
+    shared = docs.sparkSession.sparkContext.broadcast(told)
+    rows = occurrences(docs, path, shared)
     rare = rows.where("unit is not null").select("row", "place", "unit")
     long = rare.where(F.length("unit") > LONGEST)
     joined = rare.join(others, "unit")
     if not long.isEmpty():
         joined = joined.unionByName(long.join(encode_long(long.select("unit").distinct(), path), "unit"))
+    narrow = "array<smallint>" if processor(path).get_piece_size() <= 1 << 15 else "array<int>"
+    joined = joined.select("row", "place", F.col("ids").cast(narrow).alias("ids"))
     own = F.struct("doc_id", "n_units", "code", "given_chars", "given")
-    known = rows.where("unit is null").select("row", "place", own.alias("own"), F.lit(None).cast("array<int>").alias("ids"))
+    known = rows.where("unit is null").select("row", "place", own.alias("own"), F.lit(None).cast(narrow).alias("ids"))
     nothing = F.lit(None).cast("struct<doc_id:long,n_units:long,code:binary,given_chars:long,given:long>")
     parts = known.union(joined.select("row", "place", nothing, "ids"))
     # nulls come first: a row's own, then its units in order
@@ -578,22 +600,24 @@ def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, kind = Decoder(path), code_type(path)
-        mark = np.iinfo(kind).max
+        decoder = Decoder(path)
+        begin, hot_ids = shared.value[2:]
 
         def finished(batch: pa.RecordBatch) -> pa.RecordBatch:
             whole_rows = batch.filter(pc.is_null(batch.column(1)))
             doc_id, units, code, given_chars, given = whole_rows.column(2).flatten()
             codes = code.to_pylist()
-            code = np.frombuffer(b"".join(codes), dtype=kind)
+            number, last = unshort(np.frombuffer(b"".join(codes), dtype=np.uint8))
             sizes, flat = listed(batch.filter(pc.is_valid(batch.column(1))).column(3))
-            apart = code == mark
-            counts = np.ones(len(code), dtype=np.int64)
+            apart = number == 0
+            counts = np.empty(len(number), dtype=np.int64)
             counts[apart] = sizes
+            hot = number[~apart] - 1
+            counts[~apart] = np.diff(begin)[hot]
             ids = np.empty(int(counts.sum()), dtype=np.int64)
             here = np.repeat(apart, counts)
-            ids[here], ids[~here] = flat, code[~apart]
-            first = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum([len(c) // kind().itemsize for c in codes])))]
+            ids[here], ids[~here] = flat, hot_ids[ragged(begin[hot], counts[~apart])]
+            first = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(last, np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int64))]
             n_units = units.to_numpy()
             texts = decoder.texts(ids, first)
             chars = np.array([len(t) for t in texts], dtype=np.int64)
