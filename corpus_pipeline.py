@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,25 +15,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~F.col(found.columns[-1])).select(*docs.columns)
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number for each row, which a lost executor does not change: its file's number and its place in the file."""
-    try:
-        place = docs.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
-    except AnalysisException:  # no files: they are made
-        return numbered(common.written(docs, "rows"), name)
-    files = place.select(f"{name}_file").distinct().orderBy(f"{name}_file").collect()  # a row for each file
-    known = docs.sparkSession.createDataFrame([(r[0], i << 40) for i, r in enumerate(files)], f"{name}_file string, {name}_first long")
-    out = place.join(common.hinted(known), f"{name}_file")
-    return out.select(*docs.columns, (F.col(f"{name}_first") + F.col(name)).alias(name))
-
-
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join one row stays, that of the smallest id (rows without an id come last, equal ids by their place).
 
     Rows count by themselves: an id may stand for several texts, and a text may repeat under one id or without any.
     """
     name = common.free("row", docs.columns)
-    rows = numbered(docs, name)
+    rows = common.numbered(docs, name)
     found = jaccard.classes(rows.select(F.col(name).alias("doc_id"), "text"), with_links=False)
     others = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name), "component_id"), "copies")
     members = others.unionByName(others.select(F.col("component_id").alias(name), "component_id").distinct())

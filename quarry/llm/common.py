@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -78,6 +79,36 @@ def hinted(df: DataFrame, most: int = TOLD) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def is_plain(df: DataFrame) -> bool:
+    """Whether df is a read of files, column for column: whatever stands above a read may repeat or change its rows."""
+    plan = df._jdf.queryExecution().analyzed()  # noqa: SLF001
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    try:
+        df.select("_metadata.row_index")  # Parquet has it
+    except AnalysisException:
+        return False
+    return True
+
+
+def plain(df: DataFrame, name: str) -> DataFrame:
+    """df if it is a read of files, else df written."""
+    return df if is_plain(df) else written(df, name, small=True)
+
+
+def numbered(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """df, or these columns of it, with a number for each row, which a lost executor or a second run does not change: its file's number and its place in the file."""
+    from pyspark.sql import functions as F
+
+    df = plain(df, "rows")
+    columns = columns or df.columns
+    place = df.select(*columns, F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(name))
+    files = place.select(f"{name}_file").distinct().orderBy(f"{name}_file").collect()  # a row for each file
+    known = df.sparkSession.createDataFrame([(r[0], i << 40) for i, r in enumerate(files)], f"{name}_file string, {name}_first long")
+    out = place.join(hinted(known), f"{name}_file")
+    return out.select(*columns, (F.col(f"{name}_first") + F.col(name)).alias(name))
+
+
 def free(name: str, taken) -> str:
     """name, with as many trailing _ as are needed to differ from the names taken."""
     while name in taken:

@@ -45,13 +45,15 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, pieces, ready, written
+from quarry.llm.common import documents, dropped, is_plain, numbered, pieces, ready, written
 from quarry.llm.textkernel import U, mix, span_hashes
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 LONGEST = 62
 HOT = 1 << 19
+#: Spark's setting for the groups that a task aggregates by hash before it sorts all rows instead, and so many: a unit takes about a kB.
+HASHED, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 1 << 17
 #: Bit of a packed edge of one character; below it are 19 bits for its id plus one.
 SINGLE = 1 << 19
 #: Code points whose single pieces are looked up by number.
@@ -140,6 +142,12 @@ def kinds() -> np.ndarray:
     return out
 
 
+@cache
+def mixed() -> np.ndarray:
+    """What each code point gives to its unit's hash."""
+    return mix(np.arange(0x110000, dtype=np.uint64) + U(0x9E3779B9))
+
+
 def breaks(points: np.ndarray) -> np.ndarray:
     """Whether a unit begins at each of a text's code points; the first does."""
     out = np.ones(len(points), dtype=bool)
@@ -178,7 +186,7 @@ class Units:
             starts = np.union1d(starts, np.array(more, dtype=np.int64))
             ends = np.append(starts[1:], size)
         self.starts, self.ends = starts, ends[: len(starts)]
-        self.hashes = span_hashes(mix(self.points.astype(np.uint64) + U(0x9E3779B9)), self.starts, self.ends)
+        self.hashes = span_hashes(mixed()[self.points], self.starts, self.ends)
         #: The first unit of each text; one more for the end.
         self.first = np.searchsorted(self.starts, self.offsets)
 
@@ -497,7 +505,7 @@ def hashes_of(units: list[str]) -> np.ndarray:
     """64-bit hashes of units, as Units has them."""
     ends = np.cumsum([len(u) for u in units]).astype(np.int64)
     points = np.frombuffer("".join(units).encode("utf-32-le"), dtype=np.uint32)
-    return span_hashes(mix(points.astype(np.uint64) + U(0x9E3779B9)), np.concatenate(([0], ends[:-1])).astype(np.int64) if units else ends, ends)
+    return span_hashes(mixed()[points], np.concatenate(([0], ends[:-1])).astype(np.int64) if units else ends, ends)
 
 
 def digests(values: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -546,52 +554,100 @@ class Decoder:
         return [whole[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
 
-def occurrences(docs: DataFrame, path: str, shared: Broadcast) -> DataFrame:
-    """Of each row the numbers of its units (code): of hot ones from 1 on, 0 for the others (place null); and of each of these a row with its place."""
-    schema = "row long, doc_id long, place long, unit string, n_units long, code binary, given_chars long, given long"
+class Numbers:
+    """The numbers of told units, looked up by hash: the top bits say where in the sorted hashes to look."""
+
+    BITS = 20
+
+    def __init__(self, told: tuple[np.ndarray, ...]) -> None:
+        self.hashes, self.number = told[:2]
+        top = (self.hashes >> U(64 - self.BITS)).astype(np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(top, minlength=1 << self.BITS))))
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """From 1 on, 0 for units that are not told."""
+        top = (hashes >> U(64 - self.BITS)).astype(np.int64)
+        at, end = self.begin[top], self.begin[top + 1]
+        out = np.zeros(len(hashes), dtype=np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            same = self.hashes[at[left]] == hashes[left]
+            out[left[same]] = self.number[at[left[same]]].astype(np.int64) + 1
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
+
+
+def coded(rows: DataFrame, path: str, shared: Broadcast) -> DataFrame:
+    """Of each row the numbers of its units (code), and size and digest of its text."""
+    schema = "row long, doc_id long, n_units long, code binary, given_chars long, given long"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, number = shared.value[:2]
+        numbers = Numbers(shared.value)
         for batch in batches:
-            for rows, texts in pieces(batch):
+            for some, texts in pieces(batch):
                 u = Units(texts, path)
-                n = len(u.starts)
-                found = np.minimum(np.searchsorted(hashes, u.hashes), max(len(hashes) - 1, 0))
-                known = hashes[found] == u.hashes if len(hashes) else np.zeros(n, dtype=bool)
-                numbered = np.zeros(n, dtype=np.int64)
-                numbered[known] = number[found[known]] + 1
-                code, begin = short(numbered)
-                at = begin[u.first]
+                number = numbers(u.hashes)
+                code, begin = short(number)
+                binary = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(begin[u.first].astype(np.int32)), pa.py_buffer(code)])
                 given = np.where(u.points == ord(MARK), 32, u.points).astype(np.int64)
-                chars = np.diff(u.offsets)
-                numbers, none, no = np.diff(u.first), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.string())
-                coded = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(code)])
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), none, no, pa.array(numbers), coded, pa.array(chars), pa.array(digests(given, own_places(u.offsets), u.offsets))], names=names)
-                rare = np.flatnonzero(~known)
-                of = np.repeat(np.arange(len(texts)), numbers)[rare]
-                nothing = pa.nulls(len(rare), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(of)), nothing, pa.array(rare - u.first[:-1][of]), pa.array(u.listed(rare), pa.string()), nothing, pa.nulls(len(rare), pa.binary()), nothing, nothing], names=names)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(np.diff(u.first)), binary, pa.array(np.diff(u.offsets)), pa.array(digests(given, own_places(u.offsets), u.offsets))], names=names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, schema), "occurrences", small=True)
+def rare_units(rows: DataFrame, path: str, shared: Broadcast) -> DataFrame:
+    """row, place, unit of every occurrence of a unit that is not told."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(shared.value)
+        for batch in batches:
+            for some, texts in pieces(batch):
+                u = Units(texts, path)
+                number = numbers(u.hashes)
+                rare = np.flatnonzero(number == 0)
+                of = np.repeat(np.arange(len(texts)), np.diff(u.first))[rare]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(of)), pa.array(rare - u.first[:-1][of]), pa.array(u.listed(rare), pa.string())], names=["row", "place", "unit"])
+
+    return rows.mapInArrow(run, "row long, place long, unit string")
+
+
+def encoded_units(docs: DataFrame, path: str) -> DataFrame:
+    """unit, n, ids of all units of up to LONGEST characters, written; their edges are grouped by hash, not by a sort of all edges."""
+    conf = docs.sparkSession.conf
+    before = conf.get(HASHED)
+    conf.set(HASHED, str(GROUPS))
+    try:
+        return written(encode_units(count_units(docs, path), path).select("unit", "n", "ids"), "units", small=True)
+    finally:
+        conf.set(HASHED, before)
 
 
 def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
-    """row, doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip, and with whole also ids and text (decoded), for each row of docs."""
+    """row, doc_id, n_units, n_pieces, ids_digest, n_decoded, text_digest, round_trip, and with whole also ids and text (decoded), for each row of docs.
+
+    Texts are cut twice, for their rare units and for the rest, so that the numbers of their units are on disk once only, in the last shuffle.
+    """
     ready(docs.sparkSession)
-    told, others = hot_units(written(encode_units(count_units(docs, path), path).select("unit", "n", "ids"), "units", small=True), path)
+    if not is_plain(docs):
+        docs = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "texts", small=True)
+    table = encoded_units(docs, path)
+    told, others = hot_units(table, path)
     shared = docs.sparkSession.sparkContext.broadcast(told)
-    rows = occurrences(docs, path, shared)
-    rare = rows.where("unit is not null").select("row", "place", "unit")
+    rows = numbered(docs, "row", ["doc_id", "text"]).select("row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rare = written(rare_units(rows, path, shared), "rare", small=True)
     long = rare.where(F.length("unit") > LONGEST)
     joined = rare.join(others, "unit")
     if not long.isEmpty():
         joined = joined.unionByName(long.join(encode_long(long.select("unit").distinct(), path), "unit"))
     narrow = "array<smallint>" if processor(path).get_piece_size() <= 1 << 15 else "array<int>"
-    joined = joined.select("row", "place", F.col("ids").cast(narrow).alias("ids"))
+    joined = written(joined.select("row", "place", F.col("ids").cast(narrow).alias("ids")), "rare_ids", small=True)
+    dropped(table)
+    dropped(rare)
     own = F.struct("doc_id", "n_units", "code", "given_chars", "given")
-    known = rows.where("unit is null").select("row", "place", own.alias("own"), F.lit(None).cast(narrow).alias("ids"))
+    known = coded(rows, path, shared).select("row", F.lit(None).cast("long").alias("place"), own.alias("own"), F.lit(None).cast(narrow).alias("ids"))
     nothing = F.lit(None).cast("struct<doc_id:long,n_units:long,code:binary,given_chars:long,given:long>")
     parts = known.union(joined.select("row", "place", nothing, "ids"))
     # nulls come first: a row's own, then its units in order
@@ -631,6 +687,11 @@ def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
                 columns += [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())), pa.array([t[1:] for t in texts], pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=names)
 
+        def ended(head: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in pa.Table.from_batches(head).combine_chunks().to_batches():
+                yield finished(x)
+            pa.default_memory_pool().release_unused()
+
         held: list[pa.RecordBatch] = []  # the last row, whose units may go on in the next batch
         for batch in batches:
             begins = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
@@ -639,10 +700,10 @@ def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
                 continue
             head = [x for x in (*held, batch.slice(0, int(begins[-1]))) if x.num_rows]
             if head:
-                yield from map(finished, pa.Table.from_batches(head).combine_chunks().to_batches())
+                yield from ended(head)
             held = [batch.slice(int(begins[-1]))]
         if held:
-            yield from map(finished, pa.Table.from_batches(held).combine_chunks().to_batches())
+            yield from ended(held)
 
     return parts.mapInArrow(run, schema)
 
