@@ -54,6 +54,8 @@ LONGEST = 62
 HOT = 1 << 19
 #: Spark's setting for the groups that a task aggregates by hash before it sorts all rows instead, and so many: a unit takes about a kB.
 HASHED, GROUPS = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 1 << 17
+#: Characters of text that are decoded at once, or one text of more.
+AT_ONCE = 1 << 19
 #: Bit of a packed edge of one character; below it are 19 bits for its id plus one.
 SINGLE = 1 << 19
 #: Code points whose single pieces are looked up by number.
@@ -614,6 +616,17 @@ def rare_units(rows: DataFrame, path: str, shared: Broadcast) -> DataFrame:
     return rows.mapInArrow(run, "row long, place long, unit string")
 
 
+def some_rows(batch: pa.RecordBatch, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows (own, then units) of about limit characters of text each: decoding takes some ten times their size."""
+    begins = np.flatnonzero(batch.column(1).is_null().to_numpy(zero_copy_only=False))
+    chars = batch.column(2).field("given_chars").to_numpy(zero_copy_only=False)[begins].astype(np.int64) + 1
+    before = np.cumsum(chars) - chars
+    cuts = np.flatnonzero(np.diff(before // (limit or AT_ONCE), prepend=-1))
+    ends = np.append(begins[cuts[1:]], batch.num_rows)
+    for a, b in zip(begins[cuts].tolist(), ends.tolist()):
+        yield batch.slice(a, b - a)
+
+
 def encoded_units(docs: DataFrame, path: str) -> DataFrame:
     """unit, n, ids of all units of up to LONGEST characters, written; their edges are grouped by hash, not by a sort of all edges."""
     conf = docs.sparkSession.conf
@@ -689,7 +702,7 @@ def encode(docs: DataFrame, path: str, *, whole: bool = False) -> DataFrame:
 
         def ended(head: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in pa.Table.from_batches(head).combine_chunks().to_batches():
-                yield finished(x)
+                yield from map(finished, some_rows(x))
             pa.default_memory_pool().release_unused()
 
         held: list[pa.RecordBatch] = []  # the last row, whose units may go on in the next batch
