@@ -16,14 +16,16 @@ PER_LINE, PER_PAGE, TABLE_ROWS, OF_FILE = 10, 40, 20, 100
 
 
 def printed_texts(spark, sf):
-    """path, content: a file of each document, words spread over lines and pages; files of odd ids are compact."""
+    """path (the document's id and, as an id may repeat or be null, a number), content: a file of each document, words spread over lines and pages; files of odd ids are compact."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            made = [pdf.rendered(pdf.typeset([w.decode() for w in (t or "").encode().split()], PER_LINE, PER_PAGE), bool(k % 2)) for k, t in zip(f["doc_id"], f["text"], strict=True)]
-            yield pd.DataFrame({"path": f["doc_id"].astype(str), "content": made})
+            made = [pdf.rendered(pdf.typeset([w.decode() for w in (t or "").encode().split()], PER_LINE, PER_PAGE), bool(odd)) for odd, t in zip(f["odd"], f["text"], strict=True)]
+            yield pd.DataFrame({"path": f["path"], "content": made})
 
-    return raw(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").mapInPandas(run, "path string, content binary")
+    dealt = raw(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
+    path = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("#"), F.monotonically_increasing_id().cast("string"))
+    return dealt.select(path.alias("path"), F.coalesce(F.col("doc_id") % 2 != 0, F.lit(False)).alias("odd"), "text").mapInPandas(run, "path string, content binary")
 
 
 @query(
@@ -34,9 +36,9 @@ def printed_texts(spark, sf):
 )
 def pdf_text(spark, sf):
     """Every document as a PDF file, read back page by page and line by line."""
-    lines = pdf.text_lines(settled(pdf.marks(printed_texts(spark, sf))))  # the layout reads the marks several times
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
-    return lines.groupBy(F.col("path").cast("long").alias("doc_id"), "page").agg(F.count("*").alias("n_lines"), F.sha2(text, 256).alias("hash"))
+    pages = pdf.page_texts(settled(pdf.marks(printed_texts(spark, sf))))  # the layout reads the marks several times
+    document = F.nullif(F.substring_index("path", "#", 1), F.lit("")).cast("long")
+    return pages.select(document.alias("doc_id"), "page", "n_lines", F.sha2("text", 256).alias("hash"))
 
 
 def printed_tables(spark, sf):
